@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from evidex.llm.shared import new_path, table, written
 
 SALT = 512
+BROADCAST_ROWS = 500_000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -62,12 +63,16 @@ def exact_dedup(spark: SparkSession, path: str, digest=sha256, state: str | None
     shape = "digest string, first struct<none: boolean, doc_id: bigint, locator: string>, n bigint, batch bigint"
     held = spark.read.schema(shape).parquet(f"{base}/table").groupBy("digest").agg(F.max(F.struct("n", "first")).alias("s")).select("digest", "s.first", "s.n")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("t"), F.col("_metadata.file_path").alias("locator"))
-    rows = rows.select("doc_id", "locator", digest(F.col("t")).alias("digest"), sha256(F.col("t")).alias("text_sha256"), "t")
-
-    single, many = held.where("n = 1"), held.where("n > 1").withColumn("salts", F.ceil(F.col("n") / salt))
-    alone = rows.drop("t", "locator").join(single.select("digest"), "digest").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
-
-    hits = rows.join(many, "digest")
+    thin = written(rows.select("doc_id", F.unhex(sha256(F.col("t"))).alias("sha"), *([digest(F.col("t")).alias("digest")] if digest is not sha256 else [])), "exact-thin")
+    thin = thin.select("doc_id", F.lower(F.hex("sha")).alias("text_sha256"), *["digest"] * (digest is not sha256))
+    thin = thin if digest is not sha256 else thin.withColumn("digest", F.col("text_sha256"))
+    alone = thin.join(held.where("n = 1").select("digest"), "digest").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
+
+    many = written(held.where("n > 1").withColumn("salts", F.ceil(F.col("n") / salt)), "exact-groups")
+    texts = rows.select("doc_id", "locator", digest(F.col("t")).alias("digest"), sha256(F.col("t")).alias("text_sha256"), "t")
+    if many.count() <= BROADCAST_ROWS:  # texts of hits only are shuffled; beyond that size all are
+        texts = texts.withColumn("short", F.xxhash64("digest")).join(F.broadcast(many.select(F.xxhash64("digest").alias("short")).distinct()), "short", "left_semi").drop("short")
+    hits = written(texts.join(many, "digest"), "exact-texts")
     keeper = hits.where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("locator") == F.col("first.locator")))
     keeper = keeper.groupBy("digest", "salts").agg(F.min("t").alias("keeper_t")).select("digest", "keeper_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     dealt = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("salts"))).join(keeper, ["digest", "salt"])
