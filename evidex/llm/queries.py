@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from evidex.llm.byte_bpe import op10_byte_bpe
 from evidex.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from evidex.llm.kneser_ney import op4_kneser_ney
+from evidex.llm.line_dedup import op3_line_dedup
 from evidex.llm.mixing import op5_mixing
+from evidex.llm.quality import op2_quality
 from evidex.llm.simhash_dedup import op1_simhash_dedup
+from evidex.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_quality": op2_quality,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_kneser_ney": op4_kneser_ney,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_toxicity": op9_toxicity,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES = {"op6_exact_dedup": OP6_SQL}
