@@ -87,7 +87,9 @@ def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFra
     per = per.withColumn("rest", F.col("take") - F.col("epochs") * F.col("source_size")).withColumn("count", F.col("epochs") * F.col("blocks") + F.ceil(F.col("rest") / block))
     total = F.sum("count").over(W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     per = per.withColumn("shards", F.ceil(total / shard)).where("count > 0")
-    runs = per.select("*", F.explode(F.expr(f"sequence(0L, (count - 1) div {RUN})")).alias("run")).repartition("rank", "run")
+    runs = per.select("*", F.explode(F.expr(f"sequence(0L, (count - 1) div {RUN})")).alias("run"))
+    # few and short rows become many, which Spark can't foresee: a number of tasks of its own, and no broadcast of what comes of it
+    runs = runs.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "run")
     each = runs.select("*", F.explode(F.expr(f"sequence(run * {RUN}, least(count, (run + 1) * {RUN}) - 1)")).alias("slot"))
     each = each.withColumn("epoch", F.expr("slot div blocks")).withColumn("place", F.expr("slot % blocks"))
     full = F.expr(f"source_size div {block}")
@@ -102,7 +104,7 @@ def mix(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     laid, sources = layout(docs)
     laid = written(laid, "mix-layout")
     spans = laid.where("size > 0").select("rank", "doc_id", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
-    filled = slots(sources, block).join(spans, ["rank", "block"])
+    filled = slots(sources, block).hint("merge").join(spans, ["rank", "block"])
     first = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
     last = F.least(F.col("block") * block + F.col("words") - F.col("start"), F.col("size"))
     return laid, filled.select("rank", "shard", "slot", "epoch", "doc_id", "start", first.alias("first"), last.alias("last")).where("last > first")
