@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from evidex.llm.byte_bpe import op10_byte_bpe
+from evidex.llm.embedding_dedup import op7_embedding_dedup
 from evidex.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from evidex.llm.kneser_ney import op4_kneser_ney
 from evidex.llm.license_scan import OP8_SQL, op8_license_scan
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_kneser_ney": op4_kneser_ney,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
