@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from evidex.llm.arrays import BASE, LOWER, mix, slices, word_hashes, words
 from evidex.llm.shared import crc_remainder, new_path, table
 
-TOKENS = 3_000_000
+TOKENS = 2_500_000
+SCORED = 700_000
 HOT = 512
 ROWS_A_BUCKET = 1_500_000
 BEGIN = np.uint64(0x51ED270B7F3A4C15)
@@ -432,7 +433,7 @@ def scored(docs: DataFrame, counts: Counts) -> DataFrame:
                 held.append(token_hashes(data, offsets))
                 ids.append(b.column(0).slice(i, j - i))
                 n += len(held[-1][0])
-                if n >= TOKENS:
+                if n >= SCORED:
                     yield out(held, ids)
                     held, ids, n = [], [], 0
         if held:
