@@ -17,7 +17,6 @@ rows; an empty table gives none; columns other than doc_id and text are never in
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,12 +93,13 @@ class Network:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at + 1, 0)
 
-    def inputs(self, hashes: np.ndarray, grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        out = np.empty((len(hashes), WORD_DIM + CHAR_DIM), np.float32)
-        out[:, :WORD_DIM] = self.p["word"][self.index(hashes)]
-        if len(hashes):
+    def inputs(self, index: np.ndarray, grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Input vectors of words. index: rows of their vectors; grams: buckets; begin: where each word's buckets begin."""
+        out = np.empty((len(index), WORD_DIM + CHAR_DIM), np.float32)
+        out[:, :WORD_DIM] = self.p["word"][index]
+        if len(index):
             count = np.diff(np.append(begin, len(grams)))
-            out[:, WORD_DIM:] = np.add.reduceat(self.p["gram"][grams], begin, axis=0) / count[:, None]
+            out[:, WORD_DIM:] = np.add.reduceat(self.p["gram"][grams], begin, axis=0) / count[:, None].astype(np.float32)
         return out
 
     def _run(self, x: np.ndarray, mask: np.ndarray, side: str, trace: list | None) -> np.ndarray:
@@ -145,11 +145,9 @@ class Network:
         inside = k < size[None, :]
         return np.where(inside, start[None, :] + k, none), inside[:, :, None].astype(np.float32)
 
-    def gradients(self, index: np.ndarray, grams: list[np.ndarray], mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict, float]:
-        """Of the weighted log loss over a batch. index: word rows (place, window); grams: bucket lists of the words, in that order."""
+    def gradients(self, index: np.ndarray, flat: np.ndarray, count: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict, float]:
+        """Of the weighted log loss over a batch. index: word rows (place, window); flat, count: the words' buckets, in that order, and how many each has."""
         p, shape = self.p, index.shape
-        count = np.array([len(g) for g in grams])
-        flat = np.concatenate(grams)
         begin = np.cumsum(count) - count
         chars = np.add.reduceat(p["gram"][flat], begin, axis=0) / count[:, None].astype(np.float32)
         x = np.concatenate([p["word"][index], chars.reshape(*shape, CHAR_DIM)], axis=2)
@@ -203,7 +201,7 @@ class Model:
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         hashes, grams, begin, first = tokens(data, offsets)
         text, start, size = windows(first)
-        logit = self.network.score(self.network.inputs(hashes, grams, begin), start, size)
+        logit = self.network.score(self.network.inputs(self.network.index(hashes), grams, begin), start, size)
         top = np.maximum.reduceat(logit, np.searchsorted(text, np.arange(len(offsets) - 1))) if len(offsets) > 1 else np.zeros(0)
         return np.stack([top, np.log(np.bincount(text, minlength=len(offsets) - 1))], axis=1)
 
@@ -214,36 +212,60 @@ def train(texts: list[str], y: np.ndarray, totals: tuple[int, int], epochs: int
     if min((y == 0).sum(), (y == 1).sum()) < 2:
         return Model(None, None, share)
     rng = np.random.default_rng(SEED)
-    raw = [t.encode() for t in texts]
-    offsets = np.concatenate(([0], np.cumsum([len(t) for t in raw])))
-    hashes, grams, begin, first = tokens(np.frombuffer(b"".join(raw), np.uint8), offsets)
-    gram_end = np.append(begin, len(grams))
+    parts = [tokens(data, offsets) for _, _, data, offsets in slices(pa.array(texts, pa.string()))]
+    parts = [(h, g.astype(np.uint16), b, f) for h, g, b, f in parts]
+    hashes, grams = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
+    ends = np.cumsum([[0, 0]] + [[len(g), len(h)] for h, g, _, _ in parts], axis=0)
+    gram_end = np.append(np.concatenate([x[2] + e for x, e in zip(parts, ends[:, 0])]), len(grams))
+    first = np.append(np.concatenate([x[3][:-1] + e for x, e in zip(parts, ends[:, 1])]), len(hashes))
+    del parts
     hold = np.zeros(len(y), bool)
     for c in (0, 1):
         members = rng.permutation(np.flatnonzero(y == c))
         hold[members[: max(1, len(members) // 5)]] = True
 
-    seen = (Counter(), Counter())
     gram_seen = np.zeros((2, GRAMS))
+    held: tuple[list, list] = ([np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)])
     for d in np.flatnonzero(~hold):
-        seen[int(y[d])].update(np.unique(hashes[first[d] : first[d + 1]]).tolist())
-        if first[d + 1] > first[d]:
-            gram_seen[int(y[d])][np.unique(grams[begin[first[d]] : gram_end[first[d + 1]]])] += 1
+        held[int(y[d])].append(np.unique(hashes[first[d] : first[d + 1]]))
+        gram_seen[int(y[d])][np.unique(grams[gram_end[first[d]] : gram_end[first[d + 1]]])] += 1
     n = [max(1, int(((y == c) & ~hold).sum())) for c in (0, 1)]
-    odds = {w: np.log((seen[1][w] + 0.3) / (n[1] + 1)) - np.log((seen[0][w] + 0.3) / (n[0] + 1)) for w in seen[0].keys() | seen[1].keys() if seen[0][w] + seen[1][w] >= 3}
-    chosen = sorted(odds, key=lambda w: (-abs(odds[w]) * np.sqrt(seen[0][w] + seen[1][w]), w))[:VOCABULARY]
-    network = Network(np.array(sorted(chosen), np.uint64), rng)
+    found = [np.unique(np.concatenate(h), return_counts=True) for h in held]
+    del held
+    lexicon = np.union1d(found[0][0], found[1][0])
+    seen = np.zeros((2, len(lexicon)))
+    for c in (0, 1):
+        seen[c, np.searchsorted(lexicon, found[c][0])] = found[c][1]
+    odds = np.log((seen[1] + 0.3) / (n[1] + 1)) - np.log((seen[0] + 0.3) / (n[0] + 1))
+    weight = np.where(seen.sum(axis=0) >= 3, np.abs(odds) * np.sqrt(seen.sum(axis=0)), 0)
+    chosen = np.lexsort((lexicon, -weight))[:VOCABULARY]
+    chosen = np.sort(chosen[weight[chosen] > 0])
+    network = Network(lexicon[chosen], rng)
     # the first dimension of either vector begins as log-odds
-    network.p["word"][1:, 0] = [np.clip(odds[int(w)], -4, 8) / 4 for w in network.vocabulary]
+    network.p["word"][1:, 0] = np.clip(odds[chosen], -4, 8) / 4
     network.p["word"][0, 0] = 0
     network.p["gram"][:, 0] = np.clip(np.log((gram_seen[1] + 0.5) / (n[1] + 1)) - np.log((gram_seen[0] + 0.5) / (n[0] + 1)), -2, 4) * (gram_seen.sum(axis=0) >= 3) / 4
 
     text, start, size = windows(first)
-    inputs = network.inputs(hashes, grams, begin)
-    evidence = np.concatenate(([0], np.cumsum(np.maximum(inputs[:, 0], 0) ** 2 + np.maximum(inputs[:, WORD_DIM], 0) ** 2)))
-    heat = evidence[start + size] - evidence[start]
     index = np.append(network.index(hashes), 0)
-    lists = [grams[a:b] for a, b in zip(begin, gram_end[1:])] + [np.zeros(1, np.int64)]
+
+    def over_windows(of, step: int = 2048) -> np.ndarray:
+        """of(inputs of the words from a on, starts less a, sizes) for some windows at a time."""
+        out = np.zeros(len(start), np.float32)
+        for i in range(0, len(start), step):
+            a, b = int(start[i]), int((start[i : i + step] + size[i : i + step]).max())
+            inputs = network.inputs(index[a:b], grams[gram_end[a] : gram_end[b]], gram_end[a:b] - gram_end[a])
+            out[i : i + step] = of(inputs, start[i : i + step] - a, size[i : i + step])
+        return out
+
+    def evidence(inputs: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(np.maximum(inputs[:, 0], 0) ** 2 + np.maximum(inputs[:, WORD_DIM], 0) ** 2)))
+        return total[begin + n] - total[begin]
+
+    heat = over_windows(evidence)
+    count = np.append(np.diff(gram_end), 1)
+    bucket_at = np.append(gram_end[:-1], len(grams))
+    grams = np.append(grams, np.uint16(0))
     adam = Adam(network.p, 0.01)
     fit = ~hold[text]
     for epoch in range(epochs):
@@ -258,9 +280,12 @@ def train(texts: list[str], y: np.ndarray, totals: tuple[int, int], epochs: int
             b = batch[i : i + BATCH]
             at, mask = Network._places(start[b], size[b], len(hashes))
             target = y[text[b]]
-            grads, _ = network.gradients(index[at], [lists[j] for j in at.ravel()], mask, target, np.where(target > 0, lift, 1).astype(np.float32))
+            word = at.ravel()
+            n_of = count[word]
+            buckets = grams[np.repeat(bucket_at[word] - (np.cumsum(n_of) - n_of), n_of) + np.arange(n_of.sum())].astype(np.int64)
+            grads, _ = network.gradients(index[at], buckets, n_of, mask, target, np.where(target > 0, lift, 1).astype(np.float32))
             adam.step(grads)
-        heat = network.score(network.inputs(hashes, grams, begin), start, size)
+        heat = over_windows(network.score)
         adam.rate *= 0.8
     model = Model(network, None, share)
     features = np.stack([np.maximum.reduceat(heat, np.searchsorted(text, np.arange(len(y)))), np.log(np.bincount(text, minlength=len(y)))], axis=1)
