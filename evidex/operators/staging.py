@@ -181,8 +181,8 @@ def inferred(files: DataFrame) -> DataFrame:
     return out.withColumn("product_slug", product_slug(F.col("product_name.value"), F.col("product_type.value")))
 
 
-def entries(files: DataFrame) -> DataFrame:
-    """Manifest entries of files (filename, head_text, content_hash): reason is '' for those that pass; others have nulls."""
+def entries(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Manifest entries of files (filename, head_text, content_hash, and columns to keep): reason is '' for those that pass; others have nulls."""
     out = inferred(files)
     reason = F.lit("")
     for field in ("effective_date", "product_type", "document_type", "insurer"):
@@ -195,4 +195,4 @@ def entries(files: DataFrame) -> DataFrame:
     out = out.withColumn("review", review).withColumn("key", key)
     kept = {"document_id": F.col("key"), **{n: value(n) for n in FIELDS}, "source_file": F.concat(F.lit("data/raw/manual/"), "key", F.lit(".pdf")), "original_filename": F.col("filename"), "content_hash": F.col("content_hash"), "collection_method": F.lit("manual_inbox_rules"), "notes": F.when(F.size("review") > 0, F.concat(F.lit("rule_extract_needs_review:"), F.array_join("review", ","))).otherwise("")}
     inference_map = F.map_from_arrays(F.array(*map(F.lit, FIELDS)), F.array(*FIELDS))
-    return out.select("filename", "reason", *[F.when(fine, c).alias(f"entry_{n}") for n, c in kept.items()], F.when(fine, inference_map).alias("inference"))
+    return out.select(*keep, "filename", "reason", *[F.when(fine, c).alias(f"entry_{n}") for n, c in kept.items()], F.when(fine, inference_map).alias("inference"))
