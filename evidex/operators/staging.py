@@ -136,7 +136,7 @@ def date_candidates() -> Column:
         def one(m: Column) -> Column:
             y, mo, d = groups(m)
             iso = F.concat(F.lpad(y, 4, "0"), F.lit("-"), F.lpad(mo, 2, "0"), F.lit("-"), F.lpad(d, 2, "0"))
-            valid = F.when(F.try_to_date(iso, F.lit("yyyy-MM-dd")).isNotNull() & (y.cast("int") >= 1), iso)
+            valid = F.when(F.try_to_date(iso, "yyyy-MM-dd").isNotNull() & (y.cast("int") >= 1), iso)
             named = F.contains(F.col("filename"), m) if place else F.lit("filename" in tag)
             where = F.when(named, ":filename").otherwise(":text") if place else F.lit("")
             return F.struct(F.lit(rank).alias("rank"), F.when(named, 0).otherwise(1).alias("text_only"), valid.alias("iso"), F.concat(F.lit(f"pattern:{tag}"), where).alias("evidence"), F.lit(confidence).alias("confidence"))

@@ -293,10 +293,10 @@ def q_policy_markers(spark, sf_dir):
     return units.markers(layout.full_text(pages_of(spark, sf_dir)))
 
 
-@query(O.after(O.MARKERS, O.UNITS) + "SELECT document_id, policy_unit_id, policy_unit_name, variant_name, start_char_offset, end_char_offset, tail_cutoff FROM un")
+@query(O.after(O.MARKERS, O.UNITS) + "SELECT document_id, policy_unit_id, policy_unit_name, variant_name, start_char_offset, end_char_offset, coalesce(tail_cutoff, -1) AS tail_cutoff FROM un")
 def q_policy_units(spark, sf_dir):
     texts = layout.full_text(pages_of(spark, sf_dir))
-    return units.units(texts, units.markers(texts)).select("document_id", "policy_unit_id", "policy_unit_name", "variant_name", "start_char_offset", "end_char_offset", "tail_cutoff")
+    return units.units(texts, units.markers(texts)).select("document_id", "policy_unit_id", "policy_unit_name", "variant_name", "start_char_offset", "end_char_offset", F.coalesce("tail_cutoff", F.lit(-1)).alias("tail_cutoff"))
 
 
 @query(O.after(*_FULL, O.UNITS, O.SECTIONS) + "SELECT section_type, variant_name, count(*) AS n, count(policy_unit_id) AS in_unit, count(parent_section_id) AS with_parent FROM sc GROUP BY 1, 2")
@@ -308,7 +308,7 @@ def q_unit_assignment(spark, sf_dir):
 # chunks
 
 
-@query("WITH RECURSIVE src AS (SELECT doc_id, text AS x FROM documents)," + O.chunk_spans("src", "doc_id") + " SELECT doc_id, chunk_index, a AS span_start, b AS span_end FROM cs")
+@query("WITH RECURSIVE src AS (SELECT doc_id, text AS x FROM documents)," + O.chunk_spans("src", "doc_id") + " SELECT doc_id, chunk_index::BIGINT AS chunk_index, a::BIGINT AS span_start, b::BIGINT AS span_end FROM cs")
 def q_chunk_spans(spark, sf_dir):
     return chunking.spans(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("chunk_index", "span_start", "span_end")])
 
@@ -324,7 +324,7 @@ _CHUNKS = (
 )
 
 
-@query(_CHUNKS + "SELECT document_id, chunk_id, section_id, section_type, chunk_index, text, char_start, char_end, char_count, token_estimate FROM ch")
+@query(_CHUNKS + "SELECT document_id, chunk_id, section_id, section_type, chunk_index::BIGINT AS chunk_index, text, char_start, char_end, char_count::BIGINT AS char_count, token_estimate::BIGINT AS token_estimate FROM ch")
 def q_chunks(spark, sf_dir):
     out = _chunks(spark, sf_dir).select("document_id", "chunk_id", "section_id", "section_type", "chunk_index", "text", "char_start", "char_end", "char_count", "token_estimate")
     return out.withColumns({c: F.col(c).cast("long") for c in ("chunk_index", "char_start", "char_end", "char_count", "token_estimate")})
