@@ -127,9 +127,10 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     doc_id repeats are mixed as rows but their texts are read by id: such rows each give the rows of their id.
     """
     laid, filled = mix(docs, block)
-    parts = filled.groupBy("doc_id", "start", "epoch").agg(F.sum(F.col("last") - F.col("first")).alias("n"), F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
-    sizes = laid.select("doc_id", "start", "size").where("size > 0")
-    parts = parts.join(sizes, ["start", "doc_id"]).select(F.col("doc_id").alias("mix_id"), "epoch", F.when(F.col("n") < F.col("size"), F.col("spans")).alias("spans"))
+    parts = filled.groupBy("rank", "start", "epoch").agg(F.sum(F.col("last") - F.col("first")).alias("n"), F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    # a row of some size is alone in where it starts in its source
+    sizes = laid.where("size > 0").select("rank", "start", "doc_id", "size")
+    parts = parts.join(sizes, ["rank", "start"]).select(F.col("doc_id").alias("mix_id"), "epoch", F.when(F.col("n") < F.col("size"), F.col("spans")).alias("spans"))
     blank = laid.where("size = 0").select(F.col("doc_id").alias("mix_id"), F.lit(0).cast("long").alias("epoch"), F.lit(None).cast("array<struct<first: bigint, last: bigint>>").alias("spans"))
     joined = docs.join(parts.unionByName(blank).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("mix_id")))
     listed = F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")
