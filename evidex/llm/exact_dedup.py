@@ -23,7 +23,9 @@ from evidex.llm.shared import new_path, table, written
 
 SALT = 512
 BROADCAST_ROWS = 500_000
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = "spark.sql.streaming.stateStore"
+#: Stores on disk, whose changes alone go to the shared folder, and which don't take disk ahead of need.
+SETTINGS = {f"{STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{STORE}.rocksdb.changelogCheckpointing.enabled": "true", f"{STORE}.rocksdb.allowFAllocate": "false"}
 
 
 def normalised(text: Column) -> Column:
@@ -40,13 +42,15 @@ def keep_state(documents: DataFrame, state: str, out: str, digest=sha256) -> Non
     spark = documents.sparkSession
     keyed = documents.select(digest(normalised(F.col("text"))).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), "locator")
     held = keyed.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "locator")).alias("first"), F.count(F.lit(1)).alias("n"))
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         write = lambda batch, i: batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/batch={i}")
         held.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def exact_dedup(spark: SparkSession, path: str, digest=sha256, state: str | None = None, salt: int = SALT) -> DataFrame:
