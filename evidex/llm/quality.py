@@ -153,8 +153,9 @@ def train(texts: list[str], y: np.ndarray, totals: tuple[int, int], epochs: int
     if min((y == 0).sum(), (y == 1).sum()) < 2:
         return Model(None, None, share)
     rng = np.random.default_rng(SEED)
-    raw = [t.encode() for t in texts]
-    x, bag = passages(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in raw]))))
+    parts = [passages(data, offsets) for _, _, data, offsets in slices(pa.array(texts, pa.string()))]
+    x, bag = np.vstack([x for x, _ in parts]), np.concatenate(([0], np.cumsum(np.concatenate([np.diff(b) for _, b in parts]))))
+    del parts
     hold = np.zeros(len(y), bool)
     for c in (0, 1):
         members = rng.permutation(np.flatnonzero(y == c))
