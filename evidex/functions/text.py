@@ -52,7 +52,8 @@ def after_first(lines: Column) -> Column:
 
 
 def casefold(c: Column | str) -> Column:
-    return F.lower(F.upper(col(c)))
+    """Lower case with the two letters that differ in folded text. lower(upper(x)) won't do: Spark simplifies it to lower(x)."""
+    return F.translate(F.replace(F.lower(col(c)), F.lit("ß"), F.lit("ss")), "ς", "σ")
 
 
 def document_preview(c: Column | str) -> Column:
