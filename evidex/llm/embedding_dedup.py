@@ -252,3 +252,14 @@ def embedding_components(vectors: DataFrame, least: float = LEAST, sigmas: float
 
 def op7_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), u AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.9),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE x = v.vec_id) AS n_links, r.component_id, v.vec_id = r.component_id AS kept
+FROM v JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) r ON r.x = v.vec_id
+"""

@@ -165,3 +165,20 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = without_repeated_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+_EDIT = "len(list_filter(range(a.n + 1), lambda i: left(a.t, i) = left(b.t, i) AND right(a.t, a.n - i - {one}) = right(b.t, a.n - i - {one}))) > 0"
+#: Pairs that share the first or the last half of the shorter line, and of these the ones that one edit parts.
+OP3_SQL = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+p AS (SELECT *, row_number() OVER (ORDER BY doc_id, i) AS pos, regexp_matches(t, '[^\\x20\\x09-\\x0D]') AS filled FROM l),
+f AS (SELECT t, length(t) AS n, min(pos) AS first FROM p WHERE filled GROUP BY t),
+g AS (SELECT * FROM f WHERE n >= {FUZZY}),
+pairs AS (
+  {" UNION ".join(f"SELECT a.t AS x, b.t AS y, a.first AS xf, b.first AS yf FROM g a JOIN g b ON a.n = b.n - {d} AND {side}(a.t, {half}) = {side}(b.t, {half}) AND a.t <> b.t AND {_EDIT.format(one=1 - d)}" for d in (0, 1) for side, half in (("left", "a.n // 2"), ("right", "a.n - a.n // 2")))}
+),
+near AS (SELECT x AS t FROM pairs WHERE yf < xf UNION SELECT y FROM pairs WHERE xf < yf),
+k AS (SELECT p.*, NOT filled OR (p.pos = f.first AND near.t IS NULL) AS stays FROM p LEFT JOIN f ON p.t = f.t AND p.filled LEFT JOIN near ON near.t = p.t AND p.filled),
+o AS (SELECT doc_id, count(*)::INTEGER AS n_lines, count_if(NOT stays)::INTEGER AS n_dropped, coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (stays), '') AS text FROM k GROUP BY doc_id)
+SELECT doc_id, n_lines, n_dropped, sha256(text) AS text_sha256, text FROM o
+"""

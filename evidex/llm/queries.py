@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from evidex.llm.byte_bpe import op10_byte_bpe
-from evidex.llm.embedding_dedup import op7_embedding_dedup
+from evidex.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
 from evidex.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from evidex.llm.kneser_ney import op4_kneser_ney
 from evidex.llm.license_scan import OP8_SQL, op8_license_scan
-from evidex.llm.line_dedup import op3_line_dedup
+from evidex.llm.line_dedup import OP3_SQL, op3_line_dedup
 from evidex.llm.mixing import op5_mixing
 from evidex.llm.quality import op2_quality
 from evidex.llm.simhash_dedup import op1_simhash_dedup
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES = {"op6_exact_dedup": OP6_SQL, "op8_license_scan": OP8_SQL}
+ORACLES = {"op3_line_dedup": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op8_license_scan": OP8_SQL}
