@@ -28,16 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.arrays import Links
+from evidex.llm.arrays import Links, mix
 from evidex.llm.shared import connected_components, table, written
 
 LEAST = 0.9
 SAMPLE = 20_000
-LISTS_A_ROOT = 3
+LISTS_A_ROOT = 1.5
 MOST_LISTS = 2048
 SUBSPACES = 16
 CODES = 64
-SIGMAS = 3.5
+SIGMAS = 2.5
 CHUNK = 4096
 BATCH = 2048
 
@@ -114,61 +114,88 @@ class Index:
         return np.nonzero(far <= (self.radius + left[None, :] + 1e-3) ** 2)
 
 
-def _doubles(column: pa.Array, dim: int) -> np.ndarray:
-    x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+def _doubles(raw: np.ndarray, dim: int) -> np.ndarray:
+    """Unit vectors in double precision."""
+    x = raw.astype(np.float64).reshape(-1, dim)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _rows(held):
-    """For mapInArrow over (k, n, embedding): every vector as a member of its list's parts and as a probe of the lists it probes."""
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys, numbers of copies and components of up to BATCH vectors of rows (k, n, embedding) at a time."""
+    for b in batches:
+        for i in range(0, len(b), BATCH):
+            part = b.slice(i, BATCH)
+            yield part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False), part.column(2).flatten().to_numpy(zero_copy_only=False)
+
+
+def _sizes(held):
+    """For mapInArrow: how many vectors each list gets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
-        for b in batches:
-            for i in range(0, len(b), BATCH):
-                part = b.slice(i, BATCH)
-                x = _doubles(part.column(2), index.dim)
-                own, codes, fixed, left, probes = index.place(x.astype(np.float32))
-                bits = np.packbits(probes, axis=1, bitorder="little")
-                row, lists = np.nonzero(probes)
-                k, n = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([own, lists]).astype(np.int32)),
-                        pa.array(np.concatenate([np.zeros(len(x), np.int32), np.ones(len(row), np.int32)])),
-                        pa.array(np.concatenate([k, k[row]])),
-                        pa.array(np.concatenate([n, n[row]])),
-                        pa.array(np.concatenate([own, own[row]]).astype(np.int32)),
-                        pa.array([v.tobytes() for v in x] + [x[r].tobytes() for r in row], pa.binary()),
-                        pa.array([c.tobytes() + f.tobytes() + e.tobytes() + p.tobytes() for c, f, e, p in zip(codes, fixed.astype(np.float32), left.astype(np.float32), bits)] + [None] * len(row), pa.binary()),
-                    ],
-                    ["list", "role", "k", "n", "own", "x", "code"],
-                )
+        total = np.zeros(len(index.centres), np.int64)
+        for _, _, raw in _vectors(batches):
+            total += np.bincount(nearest(_doubles(raw, index.dim).astype(np.float32), index.centres)[0], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["list", "size"])
 
     return run
 
 
-def _search(held):
-    """For mapInArrow over rows sorted by (list, part, salt, role): sums of linked copies and spanning links as (k, other, n)."""
+def _rows(held, parts: np.ndarray):
+    """For mapInArrow: vectors packed by where they are searched. parts: into how many parts each list is cut.
+
+    A member of a list (role 0) stands in one part and is sent to the tasks of every salt; a vector that probes the list (role
+    1) has one salt and is sent to every part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
-        subs, width = len(index.parts), len(index.parts) + 8
-        group, members, waiting = None, [], []
+        for k, n, raw in _vectors(batches):
+            x = _doubles(raw, index.dim).astype(np.float32)
+            own, codes, fixed, left, probes = index.place(x)
+            bits = np.packbits(probes, axis=1, bitorder="little")
+            tail = np.stack([fixed, left], axis=1).astype(np.float32)
+            components = np.ascontiguousarray(raw).reshape(-1, index.dim)
+            turn = (mix(k.view(np.uint64)) >> np.uint64(1)).astype(np.int64)
+            row, lists = np.nonzero(probes)
+            out = []
+            for role, r, l in ((0, np.arange(len(k)), own), (1, row, lists)):
+                r, l = np.repeat(r, parts[l]), np.repeat(l, parts[l])
+                start = np.flatnonzero(np.append(True, (l[1:] != l[:-1]) | (r[1:] != r[:-1]))) if len(l) else np.zeros(0, np.int64)
+                every = np.arange(len(l)) - np.repeat(start, np.diff(np.append(start, len(l))))
+                fixed_turn = turn[r] % parts[l]
+                part, salt = (fixed_turn, every) if role == 0 else (every, fixed_turn)
+                order = np.lexsort((salt, part, l))
+                r, l, part, salt = r[order], l[order], part[order], salt[order]
+                cut = np.flatnonzero(np.append(True, (l[1:] != l[:-1]) | (part[1:] != part[:-1]) | (salt[1:] != salt[:-1]))) if len(l) else []
+                for a, b in zip(cut, np.append(cut[1:], len(l))):
+                    w = r[a:b]
+                    more = (codes[w].tobytes(), tail[w].tobytes(), bits[w].tobytes()) if role == 0 else (None, None, None)
+                    out.append((int(l[a]), int(part[a]), int(salt[a]), role, k[w].tobytes(), n[w].tobytes(), own[w].tobytes(), components[w].tobytes(), *more))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.int64(), pa.int64(), pa.int32()] + [pa.binary()] * 7)], ["list", "part", "salt", "role", *"knoxctb"])
 
-        def searched(queries: list) -> Iterator[pa.RecordBatch]:
-            if not queries or not members:
-                return
-            mk, mn, mx, mcode = (list(c) for c in zip(*((r[4], r[5], r[7], r[8]) for r in members)))
-            mk, mn = np.array(mk, np.int64), np.array(mn, np.int64)
-            mx = np.frombuffer(b"".join(mx), np.float64).reshape(-1, index.dim)
-            raw = np.frombuffer(b"".join(mcode), np.uint8).reshape(len(mk), -1)
-            codes, tail = raw[:, :subs], np.ascontiguousarray(raw[:, subs:width]).view(np.float32)
-            bits = raw[:, width:]
-            qk = np.array([r[4] for r in queries], np.int64)
-            qn = np.array([r[5] for r in queries], np.int64)
-            qown = np.array([r[6] for r in queries], np.int64)
-            qx = np.frombuffer(b"".join(r[7] for r in queries), np.float64).reshape(-1, index.dim)
+    return run
+
+
+def _spanning(a: np.ndarray, b: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    links = Links(len(names))
+    keep = np.concatenate([links.add(a[i : i + 65536], b[i : i + 65536]) + i for i in range(0, len(a), 65536)])
+    return names[a[keep]], names[b[keep]]
+
+
+def _search(held, kind: str):
+    """For mapInArrow over packed rows sorted by (list, part, salt, role): sums of linked copies, and spanning links, as (k, other, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = held.value
+        group, members, joined = None, [], None
+
+        def searched(row: tuple) -> Iterator[pa.RecordBatch]:
+            mk, mn, mx, codes, tail, bits = joined
+            qk, qn, qown = (np.frombuffer(c, np.int64) for c in row[4:7])
+            qx = _doubles(np.frombuffer(row[7], kind), index.dim)
             q32 = qx.astype(np.float32)
             a, b = index.close(q32, index.tables(q32), group[0], codes, tail[:, 0], tail[:, 1])
             a, b = a[qk[a] != mk[b]], b[qk[a] != mk[b]]
@@ -181,28 +208,23 @@ def _search(held):
             names, at = np.unique(np.concatenate([qk[a], mk[b]]), return_inverse=True)
             qa, mb = at[: len(a)], at[len(a) :]
             n = np.bincount(qa, mn[b], len(names)) + np.bincount(mb[~both], qn[a][~both], len(names))
-            ends = spanning(qa, mb, names)
+            ends = _spanning(qa, mb, names)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.nulls(len(names), pa.int64()), pa.array(n.astype(np.int64))], ["k", "other", "n"])
             yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1]), pa.array(np.zeros(len(ends[0]), np.int64))], ["k", "other", "n"])
 
-        def spanning(qa: np.ndarray, mb: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            links, out = Links(len(names)), []
-            for i in range(0, len(qa), 65536):
-                keep = links.add(qa[i : i + 65536], mb[i : i + 65536]) + i
-                out.append(keep)
-            keep = np.concatenate(out)
-            return names[qa[keep]], names[mb[keep]]
-
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:3] != group:
-                    yield from searched(waiting)
-                    group, members, waiting = row[:3], [], []
-                (members if row[3] == 0 else waiting).append(row)
-                if len(waiting) >= BATCH:
-                    yield from searched(waiting)
-                    waiting = []
-        yield from searched(waiting)
+                    group, members, joined = row[:3], [], None
+                if row[3] == 0:
+                    members.append(row)
+                    continue
+                if members and joined is None:
+                    whole = lambda i, t: np.frombuffer(b"".join(r[i] for r in members), t)
+                    mk = whole(4, np.int64)
+                    joined = (mk, whole(5, np.int64), _doubles(whole(7, kind), index.dim), whole(8, np.uint8).reshape(len(mk), -1), whole(9, np.float32).reshape(-1, 2), whole(10, np.uint8).reshape(len(mk), -1))
+                if joined is not None:
+                    yield from searched(row)
 
     return run
 
@@ -213,26 +235,25 @@ def _one_length(vectors: DataFrame, dim: int, least: float, sigmas: float) -> Da
     n = vectors.count()
     # SAMPLE rows at most
     sample = vectors.orderBy(F.xxhash64("k"), "k").limit(SAMPLE).select("embedding").toPandas()["embedding"]
-    x = np.stack([np.asarray(v, np.float64) for v in sample])
-    held = spark.sparkContext.broadcast(Index(x / np.sqrt((x * x).sum(axis=1, keepdims=True)), n, least, sigmas))
-    shape = "list int, role int, k long, n long, own int, x binary, code binary"
-    placed = vectors.select("k", "n", "embedding").mapInArrow(_rows(held), shape)
-    sizes = written(placed.where("role = 0").groupBy("list").agg(F.count(F.lit(1)).alias("size")), "pq-sizes")
+    held = spark.sparkContext.broadcast(Index(_doubles(np.concatenate([np.asarray(v) for v in sample]), dim), n, least, sigmas))
+    rows = vectors.select("k", "n", "embedding")
     # MOST_LISTS rows at most
-    dealt = placed.join(F.broadcast(sizes), "list").withColumn("parts", F.ceil(F.col("size") / CHUNK))
-    own = F.pmod(F.xxhash64("k"), F.col("parts"))
-    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    member = F.col("role") == 0
-    dealt = dealt.select("*", F.explode(every).alias("turn"))
-    dealt = dealt.select("list", F.when(member, own).otherwise(F.col("turn")).alias("part"), F.when(member, F.col("turn")).otherwise(own).alias("salt"), "role", "k", "n", "own", "x", "code")
-    return dealt.repartition("list", "part", "salt").sortWithinPartitions("list", "part", "salt", "role").mapInArrow(_search(held), "k long, other long, n long")
+    sizes = rows.mapInArrow(_sizes(held), "list int, size long").groupBy("list").agg(F.sum("size").alias("size")).collect()
+    parts = np.ones(len(held.value.centres), np.int64)
+    for r in sizes:
+        parts[r["list"]] = -(-r["size"] // CHUNK)
+    packed = rows.mapInArrow(_rows(held, parts), "list int, part long, salt long, role int, k binary, n binary, o binary, x binary, c binary, t binary, b binary")
+    kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
+    where = ("list", "part", "salt")
+    return packed.repartition(*where).sortWithinPartitions(*where, "role").mapInArrow(_search(held, kind), "k long, other long, n long")
 
 
 def embedding_components(vectors: DataFrame, least: float = LEAST, sigmas: float = SIGMAS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     e = F.col("embedding")
-    numbers = F.transform(e, lambda v: v.cast("double"))
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    numbers = F.transform(e, lambda v: v.cast(kind))
     fine = e.isNotNull() & (F.size(e) > 0) & F.forall(numbers, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(numbers, lambda v: v != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.coalesce(fine, F.lit(False)), numbers).alias("embedding")).withColumn("k", F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding")))
     rows = written(rows, "pq-rows")
