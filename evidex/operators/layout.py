@@ -38,3 +38,14 @@ def lines(pages: DataFrame) -> DataFrame:
     before = W.partitionBy("document_id", "page_number").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
     offset = F.col("page_start") + F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))
     return cut.select("document_id", "page_number", "line_no", offset.alias("offset"), "line")
+
+
+def with_slice(rows: DataFrame, texts: DataFrame, name: str, start: Column, end: Column, where: Column | None = None) -> DataFrame:
+    """rows (document_id, ...) with the full text from start to end (exclusive) as column `name`; null where `where` isn't met.
+
+    A document's rows are gathered and meet its text once, so that a text isn't copied for each of them.
+    """
+    marked = rows.withColumns({"_a": start.cast("int"), "_n": F.greatest(end - start, F.lit(0)).cast("int"), "_w": F.lit(True) if where is None else F.coalesce(where, F.lit(False))})
+    gathered = marked.groupBy("document_id").agg(F.collect_list(F.struct(*marked.columns)).alias("_rows")).join(texts.select("document_id", "full_text"), "document_id")
+    cut = lambda r: F.struct(*[r[c].alias(c) for c in rows.columns], F.when(r["_w"], F.substr(F.col("full_text"), r["_a"] + 1, r["_n"])).alias(name))
+    return gathered.select(F.explode(F.transform("_rows", cut)).alias("_r")).select("_r.*")

@@ -7,9 +7,10 @@ from pyspark.sql import Window as W_
 from pyspark.sql import functions as F
 
 from evidex.functions.text import W, after_first, clip, compact, four_places, left_blank, split_lines, strip
-from evidex.operators.layout import full_text, lines, page_at
+from evidex.operators.layout import full_text, lines, page_at, with_slice
 from evidex.operators.regions import LEGAL_COMPACT, LEGAL_SPACED, RELATED_LAW, classify
 from evidex.operators.units import attach, markers, units
+from evidex.sources.tables import stored
 
 # Confidences, markers, patterns and limits that decide results.
 CONFIDENCE = 0.82
@@ -143,11 +144,9 @@ def inline_reference() -> Column:
 def judged(found: DataFrame, regions: DataFrame, texts: DataFrame, marked: DataFrame) -> DataFrame:
     """Candidates with `emit`, `trace` and `assembly_confidence`. Filters see the text up to the next candidate, whatever becomes of that."""
     by = W_.partitionBy("document_id").orderBy("start_char_offset")
-    placed = found.withColumn("next", F.lead("start_char_offset").over(by)).join(texts, "document_id")
+    placed = found.withColumn("next", F.lead("start_char_offset").over(by)).join(texts.select("document_id", "total_len"), "document_id")
     placed = placed.withColumn("next", F.coalesce("next", "total_len"))
-    text = F.col("full_text")
-    piece = lambda a, b: F.substr(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-    out = placed.withColumn("slice", piece(F.col("start_char_offset"), F.col("next"))).withColumn("slice_lines", split_lines("slice"))
+    out = with_slice(placed, texts, "slice", F.col("start_char_offset"), F.col("next")).withColumn("slice_lines", split_lines("slice"))
     out = out.withColumn("head_line", F.element_at(F.concat("slice_lines", F.array(F.lit(""))), 1)).withColumn("tail_lines", after_first(F.col("slice_lines")))
     out = out.withColumns({"head": strip("head_line"), "body": strip(F.array_join("tail_lines", "\n"))})
     r = regions.select("document_id", F.col("page_number").alias("start_page"), "region_type", F.col("confidence").alias("region_confidence"), F.col("evidence").alias("region_evidence"))
@@ -161,8 +160,9 @@ def judged(found: DataFrame, regions: DataFrame, texts: DataFrame, marked: DataF
     out = out.join(offsets, "document_id", "left").withColumn("marks", F.coalesce("marks", F.array().cast("array<bigint>")))
     mark = lambda lo, hi: F.array_min(F.filter("marks", lambda m: (m >= lo) & (m < hi)))
     start = F.col("start_char_offset")
-    own = piece(start, F.least(F.col("body_end"), F.coalesce(mark(start, F.col("body_end")), F.col("body_end"))))
-    thin = substantive_chars(after_first(split_lines(own))) < APPENDIX_BODY
+    own_end = F.least(F.col("body_end"), F.coalesce(mark(start, F.col("body_end")), F.col("body_end")))
+    out = with_slice(out, texts, "own", start, own_end, kind == "appendix")
+    thin = substantive_chars(after_first(split_lines("own"))) < APPENDIX_BODY
     front, explicit = region.isin(FRONT), kind.isin("toc", "guide") & F.exists("evidence", lambda e: e.rlike("^pattern:(toc_heading|customer_rights_heading)"))
     token = lambda t: F.array(F.lit(f"filter:{t}"))
     seen = F.when(region.isNull(), F.array().cast("array<string>")).otherwise(F.concat(F.array(F.concat(F.lit("page_region:"), region), F.concat(F.lit("page_region_confidence:"), four_places(F.col("region_confidence")))), F.transform("region_evidence", lambda e: F.concat(F.lit("region_evidence:"), e))))
@@ -196,13 +196,15 @@ def judged(found: DataFrame, regions: DataFrame, texts: DataFrame, marked: DataF
 def assemble(verdicts: DataFrame, texts: DataFrame) -> DataFrame:
     """Sections: the text from each accepted candidate to the next accepted one, an appendix at most to the first marker within."""
     by = W_.partitionBy("document_id").orderBy("start_char_offset")
-    kept = verdicts.where("emit").withColumns({"number": F.row_number().over(by) - 1, "next": F.lead("start_char_offset").over(by)}).join(texts, "document_id")
+    kept = verdicts.where("emit").withColumns({"number": F.row_number().over(by) - 1, "next": F.lead("start_char_offset").over(by)}).join(texts.select("document_id", "total_len", "starts"), "document_id")
     start, kind = F.col("start_char_offset"), F.col("section_type")
     end = F.coalesce("next", "total_len")
     mark = F.array_min(F.filter("marks", lambda m: (m >= start) & (m < end)))
     kept = kept.withColumn("end_char_offset", F.when(kind == "appendix", F.coalesce(mark, end)).otherwise(end))
     kept = kept.withColumn("section_id", F.format_string("%s::sec::%04d", "document_id", "number"))
     part = F.last(F.when(kind == "part", F.col("section_id")), ignorenulls=True).over(by.rowsBetween(W_.unboundedPreceding, 0))
+    kept = kept.withColumn("part", part)
+    kept = with_slice(kept, texts, "text", start, F.col("end_char_offset"))
     end = F.col("end_char_offset")
     page = page_at(F.when(end > start, end - 1).otherwise(start), F.col("starts"), F.col("total_len"))
     return kept.select(
@@ -214,8 +216,8 @@ def assemble(verdicts: DataFrame, texts: DataFrame) -> DataFrame:
         F.greatest(F.col("start_page"), page).alias("end_page"),
         "start_char_offset",
         "end_char_offset",
-        F.when(kind == "article", part).alias("parent_section_id"),
-        strip(F.substr(F.col("full_text"), (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))).alias("text"),
+        F.when(kind == "article", F.col("part")).alias("parent_section_id"),
+        strip("text").alias("text"),
         F.least(F.greatest("assembly_confidence", F.lit(0.0)), F.lit(1.0)).alias("assembly_confidence"),
         F.concat("trace", F.array(F.lit("assembly:substring_slice"), F.concat(F.lit("candidate_id:"), "candidate_id"))).alias("assembly_evidence"),
     )
@@ -223,7 +225,8 @@ def assemble(verdicts: DataFrame, texts: DataFrame) -> DataFrame:
 
 def detect(pages: DataFrame, classifier=classify) -> DataFrame:
     """Sections of pages with their policy units. classifier: pages to (document_id, page_number, region_type, confidence, evidence)."""
-    texts = full_text(pages)
-    marked = markers(texts)
-    verdicts = judged(candidates(pages), classifier(pages), texts, marked)
-    return attach(assemble(verdicts, texts), units(texts, marked))
+    pages = stored(pages, "pages")
+    texts = stored(full_text(pages), "texts")
+    marked = stored(markers(texts), "markers")
+    verdicts = judged(stored(candidates(pages), "candidates"), stored(classifier(pages), "regions"), texts, marked)
+    return attach(assemble(stored(verdicts, "verdicts"), texts), units(texts, marked))

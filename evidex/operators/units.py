@@ -45,10 +45,13 @@ def tail_offset(text: Column, start: Column) -> Column:
 def units(texts: DataFrame, marked: DataFrame) -> DataFrame:
     """Policy units of full texts (document_id, full_text, total_len, starts): id, name, variant, both ends (inclusive) and their pages, and the document's tail cutoff."""
     by = W_.partitionBy("document_id").orderBy("offset")
-    joined = marked.withColumns({"number": F.row_number().over(by) - 1, "next": F.lead("offset").over(by)}).join(texts, "document_id")
     last = F.col("next").isNull()
+    placed = marked.withColumns({"number": F.row_number().over(by) - 1, "next": F.lead("offset").over(by)}).join(texts.select("document_id", "total_len", "starts"), "document_id")
+    # a document's text meets its last marker only
+    tails = placed.where(last).select("document_id", "offset").join(texts.select("document_id", "full_text"), "document_id").select("document_id", tail_offset(F.col("full_text"), F.col("offset")).alias("tail_cutoff"))
+    joined = placed.join(tails, "document_id").withColumn("tail", F.when(last, F.col("tail_cutoff")))
     end = F.greatest(F.col("offset"), F.least(F.coalesce(F.col("next"), F.col("total_len")) - 1, F.col("total_len") - 1))
-    joined = joined.withColumn("tail", F.when(last, tail_offset(F.col("full_text"), F.col("offset")))).withColumn("plain_end", end)
+    joined = joined.withColumn("plain_end", end)
     cut = F.col("tail") - 1
     end = F.when(last & (cut >= F.col("offset")) & (cut <= F.col("total_len") - 1), cut).otherwise(F.col("plain_end"))
     joined = joined.withColumn("end_offset", end)
@@ -62,7 +65,7 @@ def units(texts: DataFrame, marked: DataFrame) -> DataFrame:
         F.col("offset").alias("start_char_offset"),
         page("end_offset").alias("end_page"),
         F.col("end_offset").alias("end_char_offset"),
-        F.max("tail").over(W_.partitionBy("document_id")).alias("tail_cutoff"),
+        "tail_cutoff",
     )
 
 

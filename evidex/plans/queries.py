@@ -9,6 +9,7 @@ from evidex.functions import text as T
 from evidex.operators import chunking, evaluation, identity, layout, quality, regions, search, sections, staging, units
 from evidex.plans import corpus
 from evidex.plans import oracle as O
+from evidex.sources.tables import stored
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -268,9 +269,9 @@ _FULL = (O.REGIONS, O.CANDIDATES, O.MARKERS, O.VERDICTS)
 
 
 def _verdicts(spark, sf_dir):
-    pages = pages_of(spark, sf_dir)
-    texts = layout.full_text(pages)
-    return sections.judged(sections.candidates(pages), regions.classify(pages), texts, units.markers(texts))
+    pages = stored(pages_of(spark, sf_dir), "pages")
+    texts = stored(layout.full_text(pages), "texts")
+    return sections.judged(stored(sections.candidates(pages), "candidates"), stored(regions.classify(pages), "regions"), texts, units.markers(texts))
 
 
 @query(O.after(*_FULL) + "SELECT document_id, start_char_offset, section_type, blocked IS NULL AS emit, coalesce(blocked, '') AS reason FROM v10")
@@ -314,7 +315,7 @@ def q_chunk_spans(spark, sf_dir):
 
 
 def _chunks(spark, sf_dir) -> DataFrame:
-    return chunking.chunks(sections.detect(pages_of(spark, sf_dir)))
+    return chunking.chunks(stored(sections.detect(pages_of(spark, sf_dir)), "sections"))
 
 
 _CHUNKS = (
