@@ -12,6 +12,13 @@
 5. A task emits only links that join parts not yet joined, so its output is linear in its rows. Keys with over HOT distinct
    fingerprints are dealt as pairs of chunks to many tasks; nothing is dropped.
 
+The pipeline's stage (drop_near_copies) has a setting of its own: texts are near-copies if the sets of their NEAR_SHINGLE-word
+shingles have a Jaccard similarity of LEAST (four fifths) or more. Texts with equal sets are one class. Two sets that alike
+share one of the fifth of their shingles (and one more) with the least hashes, so these are the lossless keys. Within a key, sets
+of like size whose fingerprints of 256 bits differ in at most NEAR_BITS meet in a loose cluster (at 0.8, 39 to 48 bits are expected,
+with a standard deviation of 6; pivots rule out nothing at so wide a bound). Within a loose cluster, pairs are judged by the exact
+similarity of their sets; clusters with over SET_CHUNK shingles are dealt as pairs of chunks. Links are spanning throughout.
+
 Results for odd input: null ids take part, and a component's id is its smallest id that is not null; rows that repeat an id
 each give a row; an empty table gives none; columns other than doc_id and text are not looked at.
 """
@@ -27,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.arrays import Links, mix
+from evidex.llm.arrays import LOWER, Links, mix, powers, slices, word_hashes, words
 from evidex.llm.shared import connected_components, table, written
 
 SHINGLE = 3
@@ -36,6 +43,11 @@ BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 MASKS = [sum(((1 << n) - 1) << at for at, n in kept) for kept in combinations(BLOCKS, len(BLOCKS) - BITS)]
 PIVOTS = mix(np.arange(1, 25, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 HOT = 20_000
+NEAR_SHINGLE = 5
+LEAST = (4, 5)
+NEAR_BITS = 90
+SKETCH = ["s0", "s1", "s2", "s3"]
+SET_CHUNK = 1_000_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -141,9 +153,178 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS
     return prints.join(by_fp, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
+    """Of each text: the sorted distinct hashes of its shingles; a text of fewer words is one shingle, a blank one has none."""
+    data = LOWER[data]
+    starts, ends, first = words(data, offsets)
+    h, by = word_hashes(data, starts, ends), powers(shingle)
+    rolled = np.zeros(max(0, len(h) - shingle + 1), np.uint64)
+    for i in range(shingle):
+        rolled += h[i : i + len(rolled)] * by[i]
+    rolled = mix(rolled)
+    for a, b in zip(first[:-1], first[1:]):
+        if b - a >= shingle:
+            yield np.unique(rolled[a : b - shingle + 1])
+        else:
+            yield mix((h[a:b] * by[: b - a]).sum(keepdims=True) + np.uint64(b - a)) if b > a else np.zeros(0, np.uint64)
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """A fingerprint of 256 bits of a set, as four signed integers."""
+    counts = np.zeros(256, np.int64)
+    for i in range(0, len(shingles), 1 << 14):
+        part = shingles[i : i + (1 << 14)]
+        four = np.stack([part] + [mix(part + PIVOTS[k]) for k in range(1, len(SKETCH))], axis=1)
+        counts += np.add.reduce(np.unpackbits(four.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint32)
+    return np.packbits(2 * counts > len(shingles), bitorder="little").view("<i8")
+
+
+def _class(shingles: np.ndarray) -> int:
+    return int(mix(mix(shingles + PIVOTS[0]).sum(keepdims=True) + np.uint64(len(shingles))).view(np.int64)[0])
+
+
+def _prints(shingle: int):
+    """For mapInArrow over (doc_id, t, text): doc_id, t, the set's class k, its size, sketch and keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, offsets in slices(b.column(2)):
+                sets = list(shingle_sets(data, offsets, shingle))
+                sketches = np.stack([sketch(s) for s in sets])
+                keys = [s[: len(s) - -(-len(s) * LEAST[0] // LEAST[1]) + 1].view(np.int64) for s in sets]
+                ends = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
+                columns = [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+                columns += [pa.array(np.ascontiguousarray(c)) for c in sketches.T]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], ["doc_id", "t", "k", "size", *SKETCH, "keys"])
+
+    return run
+
+
+def _sets(shingle: int):
+    """For mapInArrow over (t, text): t and the set's bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, offsets in slices(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([s.tobytes() for s in shingle_sets(data, offsets, shingle)], pa.binary())], ["t", "shingles"])
+
+    return run
+
+
+def _loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over rows (g, c, role, k, size, sketch) whose groups (g, c) follow one another: spanning links of like sketches."""
+
+    def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(rows):
+            return
+        group = np.cumsum(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1))))
+        order = np.lexsort((rows[:, 4], group))
+        group, rows = group[order], rows[order]
+        role, size, bits = rows[:, 2], rows[:, 4], np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
+        names, own = np.unique(rows[:, 3], return_inverse=True)
+        links, at, k = Links(len(names)), np.arange(len(rows)), 0
+        while True:
+            k += 1
+            at = at[at + k < len(rows)]
+            at = at[(group[at] == group[at + k]) & (LEAST[1] * size[at] >= LEAST[0] * size[at + k])]
+            if not len(at):
+                return
+            # roles 1 and 2 meet, and 3 and 3
+            pair = at[(role[at] | role[at + k]) == 3]
+            pair = pair[(role[pair] == 3) | (role[pair] != role[pair + k])]
+            pair = pair[links.parent[own[pair]] != links.parent[own[pair + k]]]
+            pair = pair[np.bitwise_count(bits[pair] ^ bits[pair + k]).sum(axis=1, dtype=np.int64) <= NEAR_BITS]
+            if len(pair):
+                pair = pair[links.add(own[pair], own[pair + k])]
+                yield pa.RecordBatch.from_arrays([pa.array(names[own[pair]]), pa.array(names[own[pair + k]])], ["a", "b"])
+
+    rest = np.zeros((0, 9), np.int64)
+    for b in batches:
+        rows = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)])
+        change = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
+        cut = change[-1] if len(change) else 0
+        yield from found(rows[:cut])
+        rest = rows[cut:]
+    yield from found(rest)
+
+
+def alike(sets: list[np.ndarray], role: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of the pairs of sets whose Jaccard similarity is LEAST or more."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sets, role = [sets[i] for i in order], role[order]
+    size = np.array([len(s) for s in sets])
+    start = np.cumsum(size) - size
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    links, mark, a, b = Links(len(sets)), np.zeros(len(ids), bool), [], []
+    for i in range(len(sets) - 1):
+        j = np.arange(i + 1, np.searchsorted(size, LEAST[1] * size[i] // LEAST[0], side="right"))
+        j = j[(links.parent[j] != links.parent[i]) & ((role[j] | role[i]) == 3) & ((role[j] == 3) | (role[j] != role[i]))]
+        if not len(j):
+            continue
+        mine = ids[start[i] : start[i] + size[i]]
+        mark[mine] = True
+        begin = np.cumsum(size[j]) - size[j]
+        both = np.add.reduceat(mark[ids[np.repeat(start[j] - begin, size[j]) + np.arange(size[j].sum())]], begin, dtype=np.int64)
+        mark[mine] = False
+        j = j[LEAST[1] * both >= LEAST[0] * (size[i] + size[j] - both)]
+        j = j[links.add(np.full(len(j), i), j)]
+        a.append(np.full(len(j), i))
+        b.append(j)
+    none = [np.zeros(0, np.int64)]
+    return order[np.concatenate(a or none)], order[np.concatenate(b or none)]
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over rows (root, c, role, k, shingles) whose groups (root, c) follow one another."""
+    group, rows = None, []
+
+    def found() -> Iterator[pa.RecordBatch]:
+        if len(rows) > 1:
+            names = np.array([r[1] for r in rows])
+            a, b = alike([np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[0] for r in rows]))
+            yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
+
+    for batch in batches:
+        for root, c, *row in zip(*(column.to_pylist() for column in batch.columns)):
+            if (root, c) != group:
+                yield from found()
+                group, rows = (root, c), []
+            rows.append(row)
+    yield from found()
+
+
+def _dealt(rows: DataFrame, chunks, where: str) -> DataFrame:
+    """rows with c and role, dealt by (where, c): chunk i meets chunk j in (min, max); role 1: it stands on the left there, 2: on the right, 3: both."""
+    rows = rows.withColumn("chunks", chunks).withColumn("o", F.pmod(F.xxhash64("k"), F.col("chunks"))).withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    rows = rows.withColumn("c", F.least("o", "p") * (1 << 20) + F.greatest("o", "p")).withColumn("role", F.expr("case when o = p then 3 when o < p then 1 else 2 end").cast("long"))
+    return rows.repartition(where, "c").sortWithinPartitions(where, "c")
+
+
+def near_copy_components(docs: DataFrame, shingle: int = NEAR_SHINGLE, hot: int = HOT, chunk: int = SET_CHUNK) -> DataFrame:
+    """doc_id, component_id, kept of every row: components of the texts whose shingle sets have a Jaccard similarity of LEAST or more."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    shape = "doc_id long, t long, k long, size long, s0 long, s1 long, s2 long, s3 long, keys array<long>"
+    prints = written(texts.select("doc_id", "t", "text").mapInArrow(_prints(shingle), shape), "near-prints")
+    once = [F.first(c).alias(c) for c in ("size", *SKETCH, "keys")]
+    classes = written(prints.groupBy("k").agg(F.min("doc_id").alias("least"), F.min("t").alias("t"), *once), "near-classes")
+    keyed = classes.select("k", F.explode("keys").alias("g")).select("*", F.expr("count(1) over (partition by g)").alias("n")).where("n > 1")
+    keyed = _dealt(keyed.join(classes.select("k", "size", *SKETCH), "k"), F.ceil(F.col("n") / hot), "g")
+    loose = keyed.select("g", "c", "role", "k", "size", *SKETCH).mapInArrow(_loose, "a long, b long")
+    clusters = written(classes.select("k", "t", "size").join(connected_components(loose, "near-loose"), F.col("k") == F.col("node")).select("k", "t", "size", "root"), "near-clusters")
+    clusters = clusters.join(clusters.groupBy("root").agg(F.sum("size").alias("total")), "root")
+    needed = texts.select("t", "text").join(clusters.select("t"), "t", "left_semi").dropDuplicates(["t"])
+    sets = needed.mapInArrow(_sets(shingle), "t long, shingles binary")
+    members = _dealt(clusters.join(sets, "t"), F.ceil(F.col("total") / chunk), "root")
+    links = members.select("root", "c", "role", "k", "shingles").mapInArrow(_verified, "a long, b long")
+    roots = connected_components(links, "near-cc")
+    labelled = classes.join(roots, F.col("k") == F.col("node"), "left").select("k", "least", F.coalesce("root", "k").alias("root"))
+    named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.select("doc_id", "k").join(labelled.join(named, "root").select("k", "component_id"), "k").select("doc_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs without the near-copies: of each component the row with the smallest id stays; rows that share that id stay together."""
-    gone = simhash_components(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = near_copy_components(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
 
 
