@@ -33,11 +33,11 @@ from evidex.llm.shared import connected_components, table, written
 
 LEAST = 0.9
 SAMPLE = 20_000
-LISTS_A_ROOT = 1.5
+LISTS_A_ROOT = 3
 MOST_LISTS = 2048
 SUBSPACES = 16
 CODES = 64
-SIGMAS = 2.5
+SIGMAS = 3.5
 CHUNK = 4096
 BATCH = 2048
 

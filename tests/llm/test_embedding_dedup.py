@@ -66,3 +66,21 @@ def test_small_tables(spark):
     assert E.embedding_components(spark.createDataFrame([], SHAPE)).count() == 0
     df = spark.createDataFrame([(4, [1.0, 0.0], 0, ""), (2, [0.99, 0.01], 0, "")], SHAPE)
     assert got(E.embedding_components(df)) == [(2, 1, 2), (4, 1, 2)]
+
+
+def test_probes_reach_neighbours_towards_another_centre():
+    """Two vectors just above the threshold whose offset lies mostly along the line between two centres: one probes the other's list."""
+    dim, apart = 64, np.sqrt(2 - 2 * 0.9)
+    share = 0.8  # of the offset along that line: within 2 x 3.5 / sqrt(64), over 2 x 2.5 / sqrt(64)
+    a, b = np.eye(dim)[0], np.eye(dim)[1]
+    index = E.Index(np.stack([a, b]), 1, 0.9)
+    index.centres = np.stack([a, b]).astype(np.float32)
+    index.margin = index.margin[0, 0] + 2 * index.radius * np.sqrt(2) * (1 - np.eye(2)) * min(1.0, E.SIGMAS / np.sqrt(dim))
+    line = (b - a) / np.sqrt(2)
+    half = apart * share / 2
+    side = apart * np.sqrt(1 - share**2) / 2
+    middle = (a + b) / np.sqrt(2) * np.sqrt(1 - half**2 - side**2)
+    pair = np.stack([middle - half * line - side * np.eye(dim)[2], middle + half * line + side * np.eye(dim)[2]])
+    assert pair[0] @ pair[1] >= 0.9 - 1e-9
+    own, *_, probes = index.place(pair.astype(np.float32))
+    assert own.tolist() == [0, 1] and (probes[0, 1] or probes[1, 0])
