@@ -12,6 +12,9 @@ repeated rows; empty tables give none; columns other than doc_id and text are no
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,23 @@ def known_texts() -> list[tuple[str, str]]:
     return [("MIT", MIT), ("MIT", "MIT License\n" + MIT), ("ISC", ISC)] + [(k, p.format(n)) for k, names in NAMES.items() for n in names for p in PHRASES]
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the entire licences in the folder `licenses`, with the spellings in which they are met: as published, and a line for each paragraph."""
+    found = [(f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
+    texts = dict(found)
+    apache = texts["Apache-2.0"]
+    header = apache[apache.index("   Licensed under the Apache License") :]
+    found += [("Apache-2.0", header), ("Apache-2.0", apache[: apache.index("   APPENDIX")]), ("Apache-2.0", apache[: apache.index("END OF TERMS")])]
+    regents = texts["BSD-3-Clause"]
+    for holder, by, either in (("copyright holder", "COPYRIGHT HOLDERS AND", "COPYRIGHT HOLDER OR"), ("copyright holder", "COPYRIGHT HOLDERS AND", "COPYRIGHT OWNER OR"), ("University", "REGENTS AND", "REGENTS OR")):
+        three = regents.replace("the University", f"the {holder}").replace("REGENTS AND", by).replace("REGENTS OR", either)
+        two = re.sub(r"(?m)^3\.[^\n]*\n(?: [^\n]*\n)+", "", three)
+        for name, text in (("BSD-3-Clause", three), ("BSD-2-Clause", two)):
+            bare = re.sub(r"(?m)^[123]\. ", "", text)
+            found += [(name, text), (name, bare)]
+    return found + [(k, re.sub(r"(?<=\S)[ ]*\n[ \t]*(?=\S)", " ", t)) for k, t in found]
+
+
 #: Pattern and replacement, in order; group 1 is written $1 here.
 RULES = [
     (r"(^|\n)[^\p{L}\p{N}\n(©]*(?:copyright[^\p{L}]|\(c\)|©)[^\n]*", "$1"),
@@ -78,8 +98,9 @@ def joined(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, r"\n+", " "))
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(known_texts(), "license string, t string")
+def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
+    """digest, license of texts (licence, text), or of all that are known here."""
+    rows = spark.createDataFrame(known_texts() + full_texts() if texts is None else texts, "license string, t string")
     return rows.select("license", F.sha2(joined(canonical(F.col("t"))), 256).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
 
 

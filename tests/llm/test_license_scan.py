@@ -1,5 +1,7 @@
 """Licence scan: canonical forms meet their licence, others don't."""
 
+from pathlib import Path
+
 from evidex.llm import license_scan as L
 
 SHAPE = "doc_id long, text string, license string, digest string, t string"
@@ -32,3 +34,28 @@ def test_scan(spark):
 def test_known_texts_differ(spark):
     rows = L.known_digests(spark).collect()
     assert len(rows) == len({r.digest for r in rows}) and {r.license for r in rows} == {k for k, _ in L.known_texts()}
+
+
+def test_entire_texts(spark):
+    header = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+    folder = Path(L.__file__).parent / "licenses"
+    names = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense", "BSD-3-Clause"]
+    texts = [(n, (folder / f"{n}.txt").read_text("utf-8").upper()) for n in names] + [("Apache-2.0", "Copyright 2020 Some One\n\n" + header)]
+    bsd = texts[7][1].replace("THE UNIVERSITY", "THE COPYRIGHT HOLDER").replace("REGENTS AND", "COPYRIGHT HOLDERS AND").replace("REGENTS OR", "COPYRIGHT HOLDER OR")
+    third = bsd[bsd.index("3. NEITHER") : bsd.index("\nTHIS SOFTWARE IS")]
+    texts += [("BSD-3-Clause", bsd), ("BSD-2-Clause", bsd.replace(third, ""))]
+    docs = spark.createDataFrame([(i, t, "", "", "") for i, (_, t) in enumerate(texts)] + [(99, texts[0][1] + "\nand more", "", "", "")], SHAPE)
+    got = {r.doc_id: r.license for r in L.license_scan(docs, L.known_digests(spark)).collect()}
+    assert got == {**{i: n for i, (n, _) in enumerate(texts)}, 99: None}
+    mine = L.known_digests(spark, [("Own-1.0", "my own licence text")])
+    assert [r.license for r in L.license_scan(spark.createDataFrame([(1, "My own license text.", "", "", "")], SHAPE), mine).collect()] == ["Own-1.0"]
