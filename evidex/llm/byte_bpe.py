@@ -6,6 +6,10 @@ least rank. A merge takes the root, joins the two tokens and updates three leave
 its live left neighbour's - up to the root, which is logarithmic. Matches of like length are merged side by side, one tree a
 row of an array, so that numpy does the work of many trees at once; matches seen before come from a bounded cache.
 
+A match of over LONG bytes has a tree of its own. All pairs of the least rank are found by one descent and merged together,
+overlapping ones leftmost first, unless a merge would make a pair of lesser rank, which has to come before the rest: then only
+the leftmost is merged. A match takes about 40 bytes of memory a byte while it is merged.
+
 Odd input: null is the empty text, which has no ids; rows that repeat give repeated rows; texts of any length are encoded
 whole; an empty table gives none; columns other than doc_id and text are not looked at.
 """
@@ -28,6 +32,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CACHED = 400_000
 CACHED_CHARS = 64
 CELLS = 1 << 20
+LONG = 4096
 NONE = np.int64(1) << np.int64(62)
 
 
@@ -109,6 +114,61 @@ class Vocabulary:
         raw = flat.tobytes()
         return [raw[a:b] for a, b in zip(np.concatenate(([0], ends[:-1])), ends)]
 
+    def _merge_long(self, word: bytes) -> bytes:
+        """Ids of one long word."""
+        n, size, none = len(word), 1 << (len(word) - 1).bit_length(), np.int32(np.iinfo(np.int32).max)
+        token = np.full(size + 1, -1, np.int32)
+        token[:n] = self.bytes[np.frombuffer(word, np.uint8)]
+        after, before = np.arange(1, size + 2, dtype=np.int32), np.arange(-1, size, dtype=np.int32)
+        live = np.zeros(size + 1, bool)
+        live[:n] = True
+        tree = np.full(2 * size, none, np.int32)
+
+        def ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            return np.minimum(self._rank(left.astype(np.int64), right.astype(np.int64)), none).astype(np.int32)
+
+        tree[size : size + n - 1] = ranks(token[: n - 1], token[1:n])
+        for level in (1 << i for i in range(size.bit_length() - 2, -1, -1)):
+            np.minimum(tree[2 * level : 4 * level : 2], tree[2 * level + 1 : 4 * level : 2], out=tree[level : 2 * level])
+        while (least := tree[1]) < none:
+            node = np.ones(1, np.int64)
+            while node[0] < size:
+                below = (2 * node[:, None] + np.arange(2)).ravel()
+                node = below[tree[below] == least]
+            at = node - size
+            # of pairs that overlap, each beginning at the right part of the one before, every other one
+            place = np.arange(len(at))
+            chained = np.append(False, after[at[:-1]] == at[1:])
+            at = at[(place - np.maximum.accumulate(np.where(chained, 0, place))) % 2 == 0]
+            while True:
+                right = after[at]
+                end = after[right]
+                gone = before[at]
+                inside = gone >= 0
+                # a left neighbour that is the right part of another merged pair stands for that pair
+                paired = np.zeros(len(at), bool)
+                paired[1:] = right[:-1] == gone[1:]
+                left = np.where(paired, before[gone], gone)
+                made = np.where(inside, ranks(np.where(paired, least, token[gone]), np.full(len(at), least)), none)
+                met = ranks(np.full(len(at), least), token[end])
+                if len(at) == 1 or min(made.min(), met.min()) >= least:
+                    break
+                at = at[:1]
+            token[at] = least
+            live[right] = False
+            after[at] = end
+            before[end] = at
+            tree[size + right] = none
+            tree[size + at] = ranks(token[at], token[end])
+            outer = inside & ~paired
+            tree[size + left[outer]] = made[outer]
+            node = np.unique(np.concatenate([right, at, left[outer]])).astype(np.int64) + size
+            while node[0] > 1:
+                node = node >> 1
+                node = node[np.append(True, node[1:] != node[:-1])]
+                tree[node] = np.minimum(tree[2 * node], tree[2 * node + 1])
+        return token[:n][live[:n]].astype("<u4").tobytes()
+
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word; a word that is a token by itself is that token."""
         out = [b""] * len(words)
@@ -116,6 +176,8 @@ class Vocabulary:
         for i, w in enumerate(words):
             if (rank := self.ranks.get(w)) is not None:
                 out[i] = rank.to_bytes(4, "little")
+            elif len(w) > LONG:
+                out[i] = self._merge_long(w)
             else:
                 classes.setdefault(1 << (len(w) - 1).bit_length(), []).append(i)
         for size, members in classes.items():

@@ -7,8 +7,9 @@ a restart from the same checkpoint goes on where it stopped, and so does a lost
 changed state to a table; its last value for a digest is the smallest id and the largest count.
 
 A hit (a row whose digest has other rows) is settled by full bytes: the keeper's text, found by its locator, is joined to the
-hits of its digest, and rows whose bytes differ leave the group and are grouped by their whole text. A digest with many rows
-is salted: its keeper's text is copied once for every SALT rows.
+hits of its digest, and rows whose bytes differ leave the group and are grouped by their whole text. Digests with over 1 / HOT of
+the rows that have copies (so fewer than HOT digests) are known to every task by a broadcast, and salted before any join: the state and the
+keeper's text are copied once for every SALT rows.
 
 Odd input: null ids sort last (a group has a null keep_id only if all its ids are null); of rows that repeat an id all that
 are equal stay with it (kept is true where doc_id is keep_id); an empty table gives no rows; other columns are not looked at.
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from evidex.llm.shared import new_path, table, written
 
 SALT = 512
+HOT = 4096
 BROADCAST_ROWS = 500_000
 STORE = "spark.sql.streaming.stateStore"
 #: Stores on disk, whose changes alone go to the shared folder, and which don't take disk ahead of need.
@@ -70,20 +72,28 @@ def exact_dedup(spark: SparkSession, path: str, digest=sha256, state: str | None
     thin = written(rows.select("doc_id", F.unhex(sha256(F.col("t"))).alias("sha"), *([digest(F.col("t")).alias("digest")] if digest is not sha256 else [])), "exact-thin")
     thin = thin.select("doc_id", F.lower(F.hex("sha")).alias("text_sha256"), *["digest"] * (digest is not sha256))
     thin = thin if digest is not sha256 else thin.withColumn("digest", F.col("text_sha256"))
-    alone = thin.join(held.where("n = 1").select("digest"), "digest").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
 
-    many = written(held.where("n > 1").withColumn("salts", F.ceil(F.col("n") / salt)), "exact-groups")
+    many = written(held.where("n > 1"), "exact-groups")
+    # fewer than HOT digests
+    hot = many.where(F.col("n") > many.agg(F.sum("n")).first()[0] // HOT if not many.isEmpty() else F.lit(False)).select("digest", F.ceil(F.col("n") / salt).alias("salts"))
+    alone = thin.join(F.broadcast(hot), "digest", "left_anti").join(held.where("n = 1").select("digest"), "digest").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
+
+    def salted(groups: DataFrame) -> DataFrame:
+        """A copy of a digest's row for each of its salts."""
+        return groups.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+
     texts = rows.select("doc_id", "locator", digest(F.col("t")).alias("digest"), sha256(F.col("t")).alias("text_sha256"), "t")
     if many.count() <= BROADCAST_ROWS:  # texts of hits only are shuffled; beyond that size all are
         texts = texts.withColumn("short", F.xxhash64("digest")).join(F.broadcast(many.select(F.xxhash64("digest").alias("short")).distinct()), "short", "left_semi").drop("short")
-    hits = written(texts.join(many, "digest"), "exact-texts")
+    dealt = texts.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.coalesce("salts", F.lit(1)))).drop("salts")
+    hits = written(dealt.join(salted(many.drop("n")), ["digest", "salt"]), "exact-texts")
     keeper = hits.where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("locator") == F.col("first.locator")))
-    keeper = keeper.groupBy("digest", "salts").agg(F.min("t").alias("keeper_t")).select("digest", "keeper_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    dealt = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("salts"))).join(keeper, ["digest", "salt"])
+    keeper = salted(keeper.groupBy("digest").agg(F.min("t").alias("keeper_t")))
     same = F.col("t") == F.col("keeper_t")
-    checked = written(dealt.select("doc_id", "digest", "text_sha256", F.when(same, F.col("first.doc_id")).alias("keep_id"), same.alias("same"), F.when(~same, F.col("t")).alias("other")), "exact-hits")
+    checked = hits.join(keeper, ["digest", "salt"]).select("doc_id", "digest", "salt", "text_sha256", F.when(same, F.col("first.doc_id")).alias("keep_id"), same.alias("same"), F.when(~same, F.col("t")).alias("other"))
+    checked = written(checked, "exact-hits")
     grouped = checked.groupBy("digest", "other").agg(F.min("doc_id").alias("other_id"), F.count(F.lit(1)).alias("group_size"))
-    equal = checked.where("same").join(grouped.where("other is null").select("digest", "group_size"), "digest").select("doc_id", "keep_id", "group_size", "text_sha256")
+    equal = checked.where("same").join(salted(grouped.where("other is null").select("digest", "group_size")), ["digest", "salt"]).select("doc_id", "keep_id", "group_size", "text_sha256")
     apart = checked.where("not same").join(grouped.where("other is not null"), ["digest", "other"]).select("doc_id", F.col("other_id").alias("keep_id"), "group_size", "text_sha256")
     return alone.unionByName(equal).unionByName(apart).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 

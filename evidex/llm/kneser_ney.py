@@ -14,7 +14,8 @@ word, count), dealt by the context's hash; contexts with over 1 / HOT of all tok
 bigram. A bucket's runs are merged to sorted arrays and saved once in the shared folder, where a later task or a retry finds
 them. A 64-bit hash stands for a word or bigram; two share one with a chance of about n^2 / 2^65.
 
-Storage: files `<name>-<bucket>.npy`; workers map them and look up a batch's sorted hashes, so that reads run forward.
+Storage: files `<name>-<bucket>.npy`; workers map them and look up a batch's sorted hashes, so that reads run forward. Where a
+store can't be mapped, arrays are read whole, and those used longest ago are let go beyond KEPT bytes.
 
 Odd input: null is the empty text, of one token; without training rows every text has N = 0, V = 0 and base_score and score
 are those of the empty model; rows that repeat count as often; other columns are not looked at.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import io
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -40,6 +42,7 @@ TOKENS = 2_500_000
 SCORED = 700_000
 HOT = 512
 ROWS_A_BUCKET = 1_500_000
+KEPT = 256 << 20
 BEGIN = np.uint64(0x51ED270B7F3A4C15)
 END = np.uint64(0xA24BAED4963EE407)
 
@@ -181,7 +184,8 @@ def _merged(spread: DataFrame, shape: str, merge: Callable, buckets: int) -> lis
         if rows:
             yield out(last, rows)
 
-    dealt = spread.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    # a bucket is a task: its number is the partition's
+    dealt = spread.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
     names = [x.split()[0] for x in shape.split(",")]
     return dealt.mapInArrow(run, shape).agg(*[F.sum(n).alias(n) for n in names]).first()
 
@@ -331,13 +335,25 @@ def count(docs: DataFrame, learn: Column, per_bucket: int = ROWS_A_BUCKET) -> Co
 class Model:
     """Looks up batches of hashes in the mapped arrays of one set of counts."""
 
-    def __init__(self, counts: Counts):
-        self.c, self.open = counts, {}
+    def __init__(self, counts: Counts, kept: int = KEPT):
+        self.c, self.kept, self.held = counts, kept, 0
+        self.open: OrderedDict[str, np.ndarray | None] = OrderedDict()
 
     def _array(self, name: str) -> np.ndarray | None:
-        if name not in self.open:
-            self.open[name] = load(self.c.folder, name) if exists(self.c.folder, name) else None
-        return self.open[name]
+        if name in self.open:
+            self.open.move_to_end(name)
+            return self.open[name]
+        found = load(self.c.folder, name) if exists(self.c.folder, name) else None
+        self.open[name] = found
+        self.held += self._size(found)
+        while self.held > self.kept and len(self.open) > 1:
+            self.held -= self._size(self.open.popitem(last=False)[1])
+        return found
+
+    @staticmethod
+    def _size(array: np.ndarray | None) -> int:
+        """Bytes of memory; mapped files take none of their own."""
+        return 0 if array is None or isinstance(array, np.memmap) else array.nbytes
 
     def _find(self, name: str, hashes: np.ndarray, bucket: np.ndarray, values: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For hashes sorted by bucket and value: positions of those found, and values(bucket, their rows)."""

@@ -6,15 +6,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidex.llm.shared import written
+
 SAMPLE = 1500
-LONGEST = 50_000
+CHARS = 12_000_000
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int = SAMPLE, longest: int = LONGEST) -> tuple[list[str], np.ndarray, tuple[int, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int = SAMPLE, chars: int = CHARS) -> tuple[list[str], np.ndarray, tuple[int, int]]:
     """Texts, labels, and how many labelled documents each class has in all, of documents that `learn` (over doc_id) admits.
 
-    Bound: per_class documents of each class with up to `longest` characters, those with the least hash of their id; so the
-    driver gets 2 x per_class x longest characters at most. Ids with labels of both kinds count as 1; other labels are passed over.
+    Bound: per_class documents of each class and `chars` characters of them, taken whole in the order of their ids' hashes, so the
+    driver gets 2 x chars characters at most. A document that the rest of `chars` can't hold is passed over for learning and the
+    next is looked at, so length by itself rules out a text of over `chars` only. Ids with labels of both kinds count as 1; other
+    labels are passed over; rows that repeat an id and a text count once.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(learn).groupBy("doc_id").agg(F.max(label).alias("y"))
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -23,9 +27,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # per_class rows of each class at most, so the broadcast is bounded
-    short = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.length("text") <= longest)
-    rows = short.join(F.broadcast(picked), "doc_id").select(order.alias("o"), "text", "y").limit(2 * per_class).toPandas().sort_values(["o", "text"])
+    met = written(texts.join(F.broadcast(picked), "doc_id").select("doc_id", F.xxhash64("text").alias("t"), F.length("text").alias("n"), "y", order.alias("o")).distinct(), "labelled")
+    admitted = []
+    for y in (0, 1):
+        left = chars
+        # numbers only, per_class rows
+        for r in met.where(F.col("y") == y).orderBy("o", "doc_id", "t").limit(per_class).collect():
+            if r["n"] <= left:
+                admitted.append((r["doc_id"], r["t"], int(y)))
+                left -= r["n"]
+    admitted = docs.sparkSession.createDataFrame(admitted, f"doc_id {dict(docs.dtypes)['doc_id']}, t long, y int")
+    chosen = texts.withColumn("t", F.xxhash64("text")).join(F.broadcast(admitted), ["doc_id", "t"]).groupBy("doc_id", "t", "y").agg(F.first("text").alias("text"))
+    rows = chosen.select(order.alias("o"), "text", "y").toPandas().sort_values(["o", "text"])
     return rows["text"].tolist(), rows["y"].to_numpy(np.float32), (sizes.get(0, 0), sizes.get(1, 0))
 
 

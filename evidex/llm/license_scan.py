@@ -4,7 +4,8 @@ A text's canonical form is lower-cased; lines that only state a copyright go; eq
 non-commercial, v2 for version 2, http for https, & for and); all that is neither letter nor digit becomes one space, and lines
 are trimmed. The SHA-256 of the whole canonical text, its lines joined by spaces, is hash-joined to the digests of known
 licences; so is that of every line by itself, since a notice often stands as a line of a longer document. No part of a text is
-skipped and none is compared loosely.
+skipped and none is compared loosely. Canonical forms are written once; of the lines only those that a known digest meets are
+ever shuffled.
 
 Odd input: null, empty and punctuation-only texts have an empty canonical form, which is no licence; rows that repeat give
 repeated rows; empty tables give none; columns other than doc_id and text are not looked at.
@@ -18,7 +19,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidex.llm.shared import table
+from evidex.llm.shared import table, written
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -60,6 +61,9 @@ def full_texts() -> list[tuple[str, str]]:
     apache = texts["Apache-2.0"]
     header = apache[apache.index("   Licensed under the Apache License") :]
     found += [("Apache-2.0", header), ("Apache-2.0", apache[: apache.index("   APPENDIX")]), ("Apache-2.0", apache[: apache.index("END OF TERMS")])]
+    for name, begin in (("GPL-2.0", "    This program is free software; you can"), ("GPL-3.0", "    This program is free software: you can")):
+        notice = texts[name][texts[name].index(begin) :]
+        found.append((name, notice[: re.search(r"Also add information", notice).start()]))
     regents = texts["BSD-3-Clause"]
     for holder, by, either in (("copyright holder", "COPYRIGHT HOLDERS AND", "COPYRIGHT HOLDER OR"), ("copyright holder", "COPYRIGHT HOLDERS AND", "COPYRIGHT OWNER OR"), ("University", "REGENTS AND", "REGENTS OR")):
         three = regents.replace("the University", f"the {holder}").replace("REGENTS AND", by).replace("REGENTS OR", either)
@@ -72,7 +76,7 @@ def full_texts() -> list[tuple[str, str]]:
 
 #: Pattern and replacement, in order; group 1 is written $1 here.
 RULES = [
-    (r"(^|\n)[^\p{L}\p{N}\n(©]*(?:copyright[^\p{L}]|\(c\)|©)[^\n]*", "$1"),
+    (r"(^|\n)[^\p{L}\p{N}\n(©]*(?:copyright(?!\p{L})|\(c\)|©)[^\n]*", "$1"),
     (r"(^|\n)[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*", "$1"),
     (r"sub[ -]licen", "sublicen"),
     (r"licence", "license"),
@@ -101,7 +105,8 @@ def joined(lines: Column) -> Column:
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """digest, license of texts (licence, text), or of all that are known here."""
     rows = spark.createDataFrame(known_texts() + full_texts() if texts is None else texts, "license string, t string")
-    return rows.select("license", F.sha2(joined(canonical(F.col("t"))), 256).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    rows = rows.select("license", F.sha2(joined(canonical(F.col("t"))), 256).alias("digest")).where(F.col("digest") != F.sha2(F.lit(""), 256))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -109,48 +114,16 @@ def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     known: digest, license; joined by hash, and broadcast only as far as Spark knows its size to be small.
     """
-    row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), canonical(F.col("text")).alias("t"))
-    units = row.select("doc_id", "row", F.posexplode(F.concat(F.array(joined(F.col("t"))), F.split("t", "\n"))).alias("unit", "u"))
-    found = units.select("doc_id", "row", "unit", F.sha2("u", 256).alias("digest")).join(known.where(F.col("digest") != F.sha2(F.lit(""), 256)), "digest", "left")
-    whole = F.col("unit") == 0
-    out = found.groupBy("doc_id", "row").agg(
-        F.max(F.when(whole, F.col("digest"))).alias("text_digest"),
-        F.max(F.when(whole, F.col("license"))).alias("license"),
-        F.count(F.when(~whole, F.col("license"))).alias("notices"),
-        F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
-        F.count(F.when(whole, F.lit(1))).alias("copies"),
-    )
-    # rows that are alike were counted together, and part again here
-    out = out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return out.select("doc_id", "text_digest", "license", F.expr("notices div copies").alias("n_notices"), "licenses")
+    number = F.monotonically_increasing_id().alias("number")
+    rows = written(docs.select(number, F.col("doc_id").cast("long").alias("doc_id"), canonical(F.col("text")).alias("t")), "license-forms")
+    whole = rows.select("number", "doc_id", F.sha2(joined(F.col("t")), 256).alias("text_digest"))
+    whole = whole.join(known.withColumnRenamed("digest", "text_digest"), "text_digest", "left")
+    lines = rows.select("number", F.explode(F.split("t", "\n")).alias("u")).where("u <> ''").select("number", F.sha2("u", 256).alias("digest"))
+    hits = lines.join(known, "digest").groupBy("number").agg(F.count(F.lit(1)).alias("n"), F.collect_set("license").alias("found"))
+    out = whole.join(hits, "number", "left")
+    licenses = F.array_distinct(F.array_compact(F.concat(F.coalesce("found", F.array().cast("array<string>")), F.array("license"))))
+    return out.select("doc_id", "text_digest", "license", F.coalesce("n", F.lit(0)).alias("n_notices"), F.array_join(F.array_sort(licenses), ",").alias("licenses"))
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"), known_digests(spark))
-
-
-def _sql_canonical(column: str) -> str:
-    out = f"lower(coalesce({column}, ''))"
-    for pattern, by in RULES:
-        out = f"regexp_replace({out}, '{pattern}', '{by.replace('$1', chr(92) + '1')}', 'g')"
-    return f"trim({out}, ' ')".replace("\\n", "' || chr(10) || '")
-
-
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-OP8_SQL = f"""
-WITH known AS (
-  SELECT sha256(trim(regexp_replace({_sql_canonical("t")}, chr(10) || '+', ' ', 'g'), ' ')) AS digest, min(license) AS license
-  FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in known_texts())}) AS v(license, t) GROUP BY 1
-), c AS (SELECT doc_id, {_sql_canonical("text")} AS t FROM documents),
-w AS (SELECT doc_id, t, sha256(trim(regexp_replace(t, chr(10) || '+', ' ', 'g'), ' ')) AS text_digest FROM c),
-n AS (
-  SELECT doc_id, count(*) AS n, list(DISTINCT license) AS l
-  FROM (SELECT doc_id, sha256(unnest(string_split(t, chr(10)))) AS digest FROM c) JOIN known USING (digest) GROUP BY doc_id
-)
-SELECT w.doc_id, text_digest, k.license, coalesce(n.n, 0) AS n_notices,
-       array_to_string(list_sort(list_distinct(list_concat(coalesce(n.l, []), CASE WHEN k.license IS NULL THEN [] ELSE [k.license] END))), ',') AS licenses
-FROM w LEFT JOIN known k ON k.digest = w.text_digest LEFT JOIN n ON n.doc_id = w.doc_id
-"""

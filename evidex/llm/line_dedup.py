@@ -1,8 +1,8 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 Lines are what '\\n' separates. A line goes when an equal line, or one within the edit bound, stands earlier in the corpus: in
-order of doc_id (null last), then line number. The bound is one inserted, deleted or replaced character for lines of FUZZY or
-more characters, and none for shorter ones. Lines of white space alone always stay.
+order of doc_id (null last), then line number. The bound is one inserted, deleted or replaced character for lines of `fuzzy`
+(FUZZY by default) or more characters, and none for shorter ones. Lines of white space alone always stay.
 
 1. Equal lines: the earliest place of each 128-bit line hash, by a partial-aggregated minimum.
 2. Which lines can have a near line at all: cut the shorter of two lines into P pieces; an edit lies in one piece, so all before
@@ -13,9 +13,11 @@ more characters, and none for shorter ones. Lines of white space alone always st
    position differ by a replacement there; a line that equals a variant of another differs by that deletion. So a group of
    any size needs only its least member, never its pairs.
 4. The earlier line found is joined by its place and the edit distance is verified on the texts.
+5. Places of the lines to drop: lines that make over 1 / HOT of all (so fewer than HOT lines) are found by a broadcast, the rest
+   by a join on the hash, so no common line meets in one task.
 
 Odd input: null is the empty text; rows with the same id and text are one document and share their fate; a table without rows
-gives none; other columns pass through.
+gives none; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from evidex.llm.shared import table, written
 
 FUZZY = 10
 PIECES = 16
+HOT = 4096
+VARIANTS = 1 << 18
 BROADCAST_ROWS = 500_000
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 PLACE = "struct<none: boolean, doc_id: bigint, line: int, row: bigint>"
@@ -79,13 +83,20 @@ def _variant_hashes(codes: np.ndarray, base: np.uint64) -> tuple[np.ndarray, np.
 
 def neighbourhood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (number, t, pieces): rows (number, v1, v2, tag, whole). tag i + 1: the line without character i, to meet such of equal length; tag 0: the line (whole) or the line without a character."""
+    names = ["number", "v1", "v2", "tag", "whole"]
+    held: list[tuple] = []
+    size = 0
+
+    def packed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
+
     for b in batches:
-        for number, text, pieces in zip(b.column(0), b.column(1), b.column(2)):
-            codes = mix(np.frombuffer(text.as_py().encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1))
+        for number, text, pieces in zip(*(c.to_pylist() for c in b.columns)):
+            codes = mix(np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1))
             n = len(codes)
             (v1, w1), (v2, w2) = _variant_hashes(codes, BASES[0]), _variant_hashes(codes, BASES[1])
             same, less = np.zeros(n, bool), np.zeros(n, bool)
-            for x in pieces.as_py():
+            for x in pieces:
                 length = x["length"]
                 a, e = length * x["piece"] // PIECES, length * (x["piece"] + 1) // PIECES
                 if length == n:
@@ -97,21 +108,20 @@ def neighbourhood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 j = j[np.unique(np.stack([v1[j], v2[j]]), axis=1, return_index=True)[1]]
             one = np.array([w1, w2], np.uint64)
             rows = len(i) + len(j) + 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(rows, number.as_py(), np.int64)),
-                    pa.array(np.concatenate([v1[i], v1[j], one[:1]]).view(np.int64)),
-                    pa.array(np.concatenate([v2[i], v2[j], one[1:]]).view(np.int64)),
-                    pa.array(np.concatenate([i + 1, np.zeros(len(j) + 1, np.int64)]).astype(np.int64)),
-                    pa.array(np.concatenate([np.zeros(rows - 1, bool), [True]])),
-                ],
-                ["number", "v1", "v2", "tag", "whole"],
-            )
-
-
-def near_earlier(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+            hashes = [np.concatenate([v[i], v[j], one[k : k + 1]]).view(np.int64) for k, v in enumerate((v1, v2))]
+            tag = np.concatenate([i + 1, np.zeros(len(j) + 1, np.int64)]).astype(np.int64)
+            held.append((np.full(rows, number, np.int64), *hashes, tag, np.arange(rows) == rows - 1))
+            size += rows
+            if size >= VARIANTS:
+                yield packed()
+                held, size = [], 0
+    if held:
+        yield packed()
+
+
+def near_earlier(docs: DataFrame, firsts: DataFrame, fuzzy: int = FUZZY) -> DataFrame:
     """h1, h2 of the lines that have an earlier line within the bound. firsts: h1, h2, first (place) of every line."""
-    long = occurrences(docs, True).where(F.length("t") >= FUZZY)
+    long = occurrences(docs, True).where(F.length("t") >= fuzzy)
     halves = shared_pieces(long, 2, "lines-halves")
     if halves.count() <= BROADCAST_ROWS:
         some = long.select("h1", "h2", "t", F.explode(piece_keys(F.col("t"), 2)).alias("k")).select("h1", "h2", "t", "k.key").join(F.broadcast(halves), "key", "left_semi")
@@ -132,37 +142,55 @@ def near_earlier(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return met.where(F.levenshtein("t", "other_t", 1).between(0, 1)).select("h1", "h2").distinct()
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, row (hash of the text) and lines (numbers from 0) to be dropped, for the documents that have such."""
+def dropped_lines(docs: DataFrame, fuzzy: int = FUZZY) -> DataFrame:
+    """doc_id, row (hash of the text), n (how many lines are to be dropped) and flags (bytes: 1 at the numbers of such lines, else 0), for the documents that have such."""
     every = written(occurrences(docs, False), "lines-all")
-    firsts = written(every.groupBy("h1", "h2").agg(F.min("at").alias("first"), (F.max("at") > F.min("at")).alias("again")), "lines-first")
-    near = near_earlier(docs, firsts.select("h1", "h2", "first")).withColumn("near", F.lit(True))
-    judged = firsts.join(near, ["h1", "h2"], "left").where("again or near")
-    gone = every.join(judged, ["h1", "h2"]).where(F.col("near") | (F.col("at") > F.col("first"))).select("at.doc_id", "at.row", "at.line")
-    return gone.groupBy("doc_id", "row").agg(F.collect_set("line").alias("lines"))
+    firsts = written(every.groupBy("h1", "h2").agg(F.min("at").alias("first"), (F.max("at") > F.min("at")).alias("again"), F.count(F.lit(1)).alias("n")), "lines-first")
+    near = near_earlier(docs, firsts.select("h1", "h2", "first"), fuzzy).withColumn("near", F.lit(True))
+    judged = written(firsts.join(near, ["h1", "h2"], "left").where("again or near"), "lines-judged")
+    common = judged.where(F.col("n") > (firsts.agg(F.sum("n")).first()[0] or 0) // HOT)
+    # fewer than HOT lines
+    hot, keys = F.broadcast(common.select("h1", "h2", "first", "near")), ["h1", "h2"]
+    rest = every.join(F.broadcast(common.select(*keys)), keys, "left_anti").join(judged.select(*keys, "first", "near"), keys)
+    met = rest.unionByName(every.join(hot, keys))
+    gone = met.where(F.col("near") | (F.col("at") > F.col("first"))).select("at.doc_id", "at.row", "at.line")
+    digit = lambda of: lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.coalesce(F.get(of, i - 1), F.lit(-1)) - 1), F.lit("1"))
+    # a lambda's variable holds the sorted numbers, so that they are sorted once
+    written_out = F.transform(F.array(F.array_sort(F.collect_set("line"))), lambda of: F.array_join(F.transform(of, digit(of)), ""))
+    return gone.groupBy("doc_id", "row").agg(F.count_distinct("line").alias("n"), F.get(written_out, F.lit(0)).cast("binary").alias("flags"))
+
+
+def _judged(docs: DataFrame, fuzzy: int) -> tuple[DataFrame, Column, Column, Column]:
+    """docs as `d` with its dropped lines, and as columns: the text that stays, its number of lines before, and how many go."""
+    body = F.coalesce(F.col("d.text").cast("string"), F.lit(""))
+    joined = docs.alias("d").join(dropped_lines(docs, fuzzy).alias("g"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64(body) == F.col("g.row")), "left")
+    lines = F.split(body, "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: F.substring(F.col("g.flags"), i + 1, F.lit(1)) != F.lit(b"1")), "\n")
+    return joined, F.when(F.col("g.flags").isNull(), F.col("d.text")).otherwise(kept), F.size(lines), F.coalesce(F.col("g.n"), F.lit(0)).cast("int")
 
 
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """Every row of docs with the lines that stay as its text, and the added columns n_lines and n_dropped."""
-    gone = dropped_lines(docs).withColumnsRenamed({"doc_id": "gone_id", "row": "gone_row"}).withColumnRenamed("lines", "gone_lines")
-    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(body) == F.col("gone_row")), "left")
-    lines = F.split(body, "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone_lines", i)), "\n")
-    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    out = joined.select(*others, F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(kept).alias("text"), F.size(lines).alias("n_lines"), F.coalesce(F.size("gone_lines"), F.lit(0)).alias("n_dropped"))
-    if "n_chars" in others:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out
+def _columns(docs: DataFrame, text: Column, dropped: Column) -> list[Column]:
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(dropped > 0, F.length(text)).otherwise(F.col("d.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return [new[c].alias(c) if c in new else F.col(f"d.`{c}`") for c in docs.columns]
+
+
+def without_repeated_lines(docs: DataFrame, fuzzy: int = FUZZY) -> DataFrame:
+    """Every row of docs with the lines that stay as its text, and n_lines and n_dropped (in place of such columns, if docs has them)."""
+    joined, text, lines, dropped = _judged(docs, fuzzy)
+    docs = docs.drop("n_lines", "n_dropped")
+    return joined.select(*_columns(docs, text, dropped), lines.alias("n_lines"), dropped.alias("n_dropped"))
 
 
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, fuzzy: int = FUZZY) -> DataFrame:
     """docs, its columns only, with the lines that stay; documents of which no line stays go, those that had none but blank ones don't."""
-    out = without_repeated_lines(docs)
-    return out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    joined, text, _, dropped = _judged(docs, fuzzy)
+    return joined.where((dropped == 0) | text.rlike(r"[^\x20\x09-\x0D]")).select(*_columns(docs, text, dropped))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every document's lines and how many go; an edit of one character counts for lines of FUZZY (10) or more characters, none for shorter ones."""
     out = without_repeated_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.coalesce("text", F.lit("")).alias("text"))
 

@@ -6,7 +6,8 @@ from evidex.llm.byte_bpe import op10_byte_bpe
 from evidex.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
 from evidex.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from evidex.llm.kneser_ney import op4_kneser_ney
-from evidex.llm.license_scan import OP8_SQL, op8_license_scan
+from evidex.llm.license_scan import op8_license_scan
+from evidex.llm.license_sql import OP8_SQL
 from evidex.llm.line_dedup import OP3_SQL, op3_line_dedup
 from evidex.llm.mixing import op5_mixing
 from evidex.llm.quality import op2_quality

@@ -20,7 +20,8 @@ with a standard deviation of 6; pivots rule out nothing at so wide a bound). Wit
 similarity of their sets; clusters with over SET_CHUNK shingles are dealt as pairs of chunks. Links are spanning throughout.
 
 Results for odd input: null ids take part, and a component's id is its smallest id that is not null; rows that repeat an id
-each give a row; an empty table gives none; columns other than doc_id and text are not looked at.
+each give a row; an empty table gives none; columns other than doc_id and text are not looked at. For drop_near_copies a document
+is what rows equal in id and text say: such rows share their fate, and rows with the same id and other texts are judged apart.
 """
 
 from __future__ import annotations
@@ -301,12 +302,16 @@ def _dealt(rows: DataFrame, chunks, where: str) -> DataFrame:
 
 
 def near_copy_components(docs: DataFrame, shingle: int = NEAR_SHINGLE, hot: int = HOT, chunk: int = SET_CHUNK) -> DataFrame:
-    """doc_id, component_id, kept of every row: components of the texts whose shingle sets have a Jaccard similarity of LEAST or more."""
+    """doc_id, t (hash of the text), component_id, kept of every row: components of the texts whose shingle sets have a Jaccard similarity of LEAST or more.
+
+    kept is true for one document of each component, the first by id (null last) and then by t, and so for all rows that repeat it.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
     shape = "doc_id long, t long, k long, size long, s0 long, s1 long, s2 long, s3 long, keys array<long>"
     prints = written(texts.select("doc_id", "t", "text").mapInArrow(_prints(shingle), shape), "near-prints")
+    document = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
     once = [F.first(c).alias(c) for c in ("size", *SKETCH, "keys")]
-    classes = written(prints.groupBy("k").agg(F.min("doc_id").alias("least"), F.min("t").alias("t"), *once), "near-classes")
+    classes = written(prints.groupBy("k").agg(F.min(document).alias("least"), F.min("t").alias("t"), *once), "near-classes")
     keyed = classes.select("k", F.explode("keys").alias("g")).select("*", F.expr("count(1) over (partition by g)").alias("n")).where("n > 1")
     keyed = _dealt(keyed.join(classes.select("k", "size", *SKETCH), "k"), F.ceil(F.col("n") / hot), "g")
     loose = keyed.select("g", "c", "role", "k", "size", *SKETCH).mapInArrow(_loose, "a long, b long")
@@ -318,14 +323,16 @@ def near_copy_components(docs: DataFrame, shingle: int = NEAR_SHINGLE, hot: int
     links = members.select("root", "c", "role", "k", "shingles").mapInArrow(_verified, "a long, b long")
     roots = connected_components(links, "near-cc")
     labelled = classes.join(roots, F.col("k") == F.col("node"), "left").select("k", "least", F.coalesce("root", "k").alias("root"))
-    named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "k").join(labelled.join(named, "root").select("k", "component_id"), "k").select("doc_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = labelled.groupBy("root").agg(F.min("least").alias("first"))
+    judged = prints.select("doc_id", "t", "k").join(labelled.join(named, "root").select("k", "first"), "k")
+    return judged.select("doc_id", "t", F.col("first.doc_id").alias("component_id"), (document == F.col("first")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs without the near-copies: of each component the row with the smallest id stays; rows that share that id stay together."""
-    gone = near_copy_components(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+    """docs without the near-copies: of each component the document that near_copy_components keeps stays, with all rows that repeat it."""
+    gone = near_copy_components(docs).where(~F.col("kept")).select("doc_id", "t").distinct().alias("g")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("g.t"))
+    return docs.alias("d").join(gone, same, "left_anti")
 
 
 def op1_simhash_dedup(spark, sf_dir: str) -> DataFrame:
