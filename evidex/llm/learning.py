@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,13 +16,13 @@ SAMPLE = 1500
 CHARS = 12_000_000
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int = SAMPLE, chars: int = CHARS) -> tuple[list[str], np.ndarray, tuple[int, int]]:
-    """Texts, labels, and how many labelled documents each class has in all, of documents that `learn` (over doc_id) admits.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int = SAMPLE, chars: int = CHARS) -> tuple[DataFrame, tuple[int, int]]:
+    """A bounded sample (o, text, y) of the documents that `learn` (over doc_id) admits, and how many labelled documents each class has in all.
 
-    Bound: per_class documents of each class and `chars` characters of them, taken whole in the order of their ids' hashes, so the
-    driver gets 2 x chars characters at most. A document that the rest of `chars` can't hold is passed over for learning and the
-    next is looked at, so length by itself rules out a text of over `chars` only. Ids with labels of both kinds count as 1; other
-    labels are passed over; rows that repeat an id and a text count once.
+    Bound: per_class documents of each class and `chars` characters of them, taken whole in the order of their ids' hashes. A
+    document that the rest of `chars` can't hold is passed over for learning and the next is looked at, so length by itself rules
+    out a text of over `chars` only. Ids with labels of both kinds count as 1; other labels are passed over; rows that repeat an id
+    and a text count once.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(learn).groupBy("doc_id").agg(F.max(label).alias("y"))
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -40,8 +44,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
                 left -= r["n"]
     admitted = docs.sparkSession.createDataFrame(admitted, f"doc_id {dict(docs.dtypes)['doc_id']}, t long, y int")
     chosen = texts.withColumn("t", F.xxhash64("text")).join(F.broadcast(admitted), ["doc_id", "t"]).groupBy("doc_id", "t", "y").agg(F.first("text").alias("text"))
-    rows = chosen.select(order.alias("o"), "text", "y").toPandas().sort_values(["o", "text"])
-    return rows["text"].tolist(), rows["y"].to_numpy(np.float32), (sizes.get(0, 0), sizes.get(1, 0))
+    return chosen.select(order.alias("o"), "text", "y"), (sizes.get(0, 0), sizes.get(1, 0))
+
+
+def fitted(sample: DataFrame, totals: tuple[int, int], train: Callable):
+    """train(texts, y, totals) over a bounded sample (o, text, y), in one task of the cluster; only the model, of fixed size, comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        model = train([t for _, t, _ in rows], np.array([y for *_, y in rows], np.float32), totals)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    found = sample.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else train([], np.zeros(0, np.float32), totals)
 
 
 class Adam:

@@ -5,7 +5,7 @@ passage is encoded: shares of its byte values, word lengths, repeated neighbours
 units. Gated attention, tanh(V h) times the logistic of U h, weighs the passages of a document, and the weighted mean of their
 codes is scored by a logistic unit. All weights, attention included, are learned from document labels alone.
 
-Training takes a bounded sample of labelled documents (learning.labelled_sample); a fifth of it is held back for calibration, with
+Training takes a bounded sample of labelled documents (learning.labelled_sample) in one task; a fifth of it is held back for calibration, with
 weights that restore the share of each class. Whole texts are scored, whatever their length.
 
 Odd input: null counts as empty, and empty texts get the score of an empty passage; labels other than 0 and 1 are passed over;
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from evidex.llm.arrays import BASE, LOWER, mix, slices, word_hashes, words
-from evidex.llm.learning import Adam, calibrated, labelled_sample, sigmoid
+from evidex.llm.learning import Adam, calibrated, fitted, labelled_sample, sigmoid
 from evidex.llm.shared import crc_remainder, table
 
 PASSAGE = 64
@@ -189,5 +189,5 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = train(*labelled_sample(docs, labels, "quality", crc_remainder("doc_id", 4) != 2))
+    model = fitted(*labelled_sample(docs, labels, "quality", crc_remainder("doc_id", 4) != 2), train)
     return scored(docs, model).select("doc_id", (crc_remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")

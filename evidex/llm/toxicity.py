@@ -6,7 +6,7 @@ LENGTH words, each overlapping the next by LENGTH - STRIDE, cover the whole text
 either direction, attention pools the states, and a logistic unit scores the pool. A document's score is a calibrated logistic
 function of its highest window logit and of the log of its number of windows.
 
-Training takes a bounded sample of labelled documents (learning.labelled_sample). A document's label holds for its most
+Training takes a bounded sample of labelled documents (learning.labelled_sample) in one task. A document's label holds for its most
 suspicious windows: those with the largest log-odds of words at first, then those that the network itself scores highest.
 A fifth of the sample is held back to calibrate, with weights that restore the share of each class.
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidex.llm.arrays import BASE, LOWER, mix, slices, word_hashes, words
-from evidex.llm.learning import Adam, calibrated, labelled_sample, sigmoid
+from evidex.llm.learning import Adam, calibrated, fitted, labelled_sample, sigmoid
 from evidex.llm.shared import crc_remainder, table
 
 LENGTH = 32
@@ -308,7 +308,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
-    return train(*labelled_sample(docs, labels, "toxic", crc_remainder("doc_id", 5) != 0))
+    return fitted(*labelled_sample(docs, labels, "toxic", crc_remainder("doc_id", 5) != 0), train)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
