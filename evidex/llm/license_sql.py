@@ -15,10 +15,10 @@ def plain(text: str) -> str:
     for line in text.lower().split("\n"):
         bare = re.sub(r"^[\W_]+", "", line)
         stated = line[: len(line) - len(bare)]
-        if re.match(r"copyright(?![^\W\d_])", bare) and not re.search("[(©]", stated) or re.match(r"[^\w(©]*(\(c\)|©)", line):
+        if re.match(r"copyright(?![^\W\d_])", bare) and not re.search("[(©]", stated) or re.match(r"(?:[^\w(©]|_)*(\(c\)|©)", line):
             continue
         if bare.startswith("all rights reserved"):
-            line = bare.removeprefix("all rights reserved")
+            line = re.sub(r"^[\W_]+", "", bare.removeprefix("all rights reserved"))
         for a, b in (("sub-licen", "sublicen"), ("sub licen", "sublicen"), ("licence", "license"), ("non-commercial", "noncommercial"), ("non commercial", "noncommercial"), ("http://", "https://"), ("&", " and ")):
             line = line.replace(a, b)
         line = re.sub(r"(?<![\w])v(?:er)?[. ]{0,2}(?=[0-9])", "version ", line)

@@ -145,7 +145,8 @@ def slots(sources: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFra
     full = F.expr(f"source_size div {block}")
     index = F.when(F.col("place") < full, permuted(F.col("place"), F.greatest(full, F.lit(1)), F.xxhash64("rank", "epoch"))).otherwise(F.col("place"))
     left = F.col("take") - F.col("epoch") * F.col("source_size") - F.col("place") * block
-    return each.select("rank", "shard", "slot", "epoch", index.alias("block"), F.least(left, F.lit(block)).alias("words"))
+    each = each.withColumn("block", index)
+    return each.select("rank", "shard", "slot", "epoch", "block", F.least(left, F.lit(block), F.col("source_size") - F.col("block") * block).alias("words"))
 
 
 def mix(docs: DataFrame, block: int = BLOCK, row: Column | None = None) -> tuple[DataFrame, DataFrame]:

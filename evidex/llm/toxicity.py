@@ -312,7 +312,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that the model rejects, by every row's own text."""
+    """docs without those that the model rejects, by every row's own text: rows that repeat an id are judged one by one, null is the empty text, and an empty table stays empty."""
     model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels))
     columns = docs.columns
 

@@ -1,7 +1,9 @@
 """Byte-level BPE against tiktoken, and the round trip."""
 
+import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -43,3 +45,38 @@ def test_cache_is_bounded(monkeypatch):
     for t in texts():
         assert np.frombuffer(vocab.encode([t])[0], "<u4").tolist() == enc.encode_ordinary(t)
         assert len(vocab.known) <= 20
+
+
+def test_long_matches(spark):
+    rng, enc = random.Random(3), reference()
+    vocab = B.Vocabulary(open(PATH, "rb").read(), public_tokenizers.PATTERN)
+    for alphabet in ("a", "ab", "abcdefghijklmnopqrstuvwxyz", "éàü", "theinaton", "漢字仮名"):
+        for n in (2, 3, 5, 17, 300, 6000, 40000):
+            t = "".join(rng.choices(alphabet, k=n))
+            for word in vocab.find(t):
+                raw = word.encode()
+                if len(raw) > 1 and raw not in vocab.ranks:
+                    assert np.frombuffer(vocab._merge_long(raw), "<u4").tolist() == enc.encode_ordinary(word)
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1 << 20))
+    began = time.process_time()
+    assert np.frombuffer(vocab.encode([long])[0], "<u4").tolist() == enc.encode_ordinary(long)
+    assert time.process_time() - began < 30
+
+
+def test_merge_that_makes_a_lesser_pair():
+    """bc comes before what it is merged into; a pair that a merge makes and that ranks below it goes first."""
+    single = {bytes([i]): i for i in range(256)}
+    ranks = {**single, b"abc": 300, b"cab": 301, b"bc": 302, b"ab": 303, b"bcab": 304}
+    content = b"\n".join(base64.b64encode(k) + b" " + str(v).encode() for k, v in ranks.items())
+    vocab = B.Vocabulary(content, ".+")
+    rng = random.Random(1)
+    for _ in range(300):
+        word = "".join(rng.choices("abc", k=rng.randrange(2, 40))).encode()
+        tokens = [bytes([c]) for c in word]
+        while True:
+            found = [(ranks[x + y], i) for i, (x, y) in enumerate(zip(tokens, tokens[1:])) if x + y in ranks]
+            if not found:
+                break
+            i = min(found)[1]
+            tokens[i : i + 2] = [tokens[i] + tokens[i + 1]]
+        assert np.frombuffer(vocab._merge_long(word), "<u4").tolist() == [ranks[t] for t in tokens]

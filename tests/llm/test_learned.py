@@ -1,6 +1,8 @@
 """The learned scorers: held-out accuracy, gradients, and odd input."""
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -97,17 +99,101 @@ def test_held_out_accuracy(module, rows, at):
 
 @pytest.mark.parametrize("module, rows, label, learn", [(T, toxic_rows, "toxic", (5, 0)), (Q, quality_rows, "quality", (4, 2))])
 def test_tables(spark, module, rows, label, learn):
-    from evidex.llm.learning import labelled_sample
+    from evidex.llm.learning import fitted, labelled_sample
 
     learn = crc_remainder("doc_id", learn[0]) != learn[1]
     data = rows(200, 3)
     odd = [(1000, None), (1001, ""), (1002, "$$$"), (1003, "word " * 60000), (None, "a b"), (5, data[5][1])]
     docs = spark.createDataFrame([(d, t, "x", "y", "z") for d, t, *_ in [*data, *odd]], DOCS)
     labels = spark.createDataFrame([(d, y, "x") for d, _, y in data] + [(3, None, ""), (4, 7, ""), (None, 1, ""), (5, data[5][2], "")], f"doc_id long, {label} int, text string")
-    texts, y, totals = labelled_sample(docs, labels, label, learn, 40)
-    assert (y == 0).sum() <= 41 and (y == 1).sum() <= 41 and sum(totals) <= 200
-    got = module.scored(docs, module.train(texts, y, totals, epochs=1)).collect()
+    sample, totals = labelled_sample(docs, labels, label, learn, 40)
+    y = [r.y for r in sample.collect()]
+    assert y.count(0) <= 40 and y.count(1) <= 40 and sum(totals) <= 200
+    model = fitted(sample, totals, lambda *a: module.train(*a, epochs=1))
+    got = module.scored(docs, model).collect()
     assert len(got) == len(data) + len(odd) and all(0 <= r.score <= 1 for r in got)
-    none = module.train(*labelled_sample(docs, labels.limit(0), label, learn))
+    again = module.scored(docs, fitted(labelled_sample(docs.repartition(5), labels, label, learn, 40)[0], totals, lambda *a: module.train(*a, epochs=1)))
+    assert sorted(map(repr, got)) == sorted(map(repr, again.collect()))
+    none = fitted(*labelled_sample(docs, labels.limit(0), label, learn), module.train)
     assert {r.score for r in module.scored(docs, none).collect()} == {0.0}
     assert module.scored(docs.limit(0), none).count() == 0
+
+
+def test_sample_is_bounded_by_characters_not_by_length(spark):
+    from evidex.llm.learning import labelled_sample
+
+    rows = [(d, "long word " * 30_000 if d % 2 else "short", "", "", "") for d in range(20)]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(d, int(d >= 10)) for d in range(20)], "doc_id long, toxic int")
+    every = labelled_sample(docs, labels, "toxic", crc_remainder("doc_id", 5) >= 0)[0].collect()
+    assert sum(len(r.text) > 100_000 for r in every) == 10 and len(every) == 20
+    some = labelled_sample(docs, labels, "toxic", crc_remainder("doc_id", 5) >= 0, chars=700_000)[0].collect()
+    assert sum(len(r.text) > 100_000 for r in some) == 4 and len(some) == 14
+
+
+def softmax(values):
+    top = max(values)
+    e = [math.exp(v - top) for v in values]
+    return [x / sum(e) for x in e]
+
+
+def logistic(x):
+    return 1 / (1 + math.exp(-x))
+
+
+def plain_quality(model, text):
+    """The score by a loop over passages of the text's words."""
+    bags, p = model.bags, model.bags.p
+    x, _ = Q.passages(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+    codes, energy = [], []
+    for row in x:
+        row = (row - bags.mean) * bags.scale
+        h = [math.tanh(sum(row * p["e"][:, k]) + p["eb"][k]) for k in range(Q.CODE)]
+        gate = [math.tanh(sum(h[i] * p["v"][i, k] for i in range(Q.CODE))) * logistic(sum(h[i] * p["u"][i, k] for i in range(Q.CODE))) for k in range(Q.GATE)]
+        codes.append(h)
+        energy.append(sum(g * w for g, w in zip(gate, p["w"])))
+    weights = softmax(energy)
+    pooled = [sum(w * h[k] for w, h in zip(weights, codes)) for k in range(Q.CODE)]
+    logit = sum(z * o for z, o in zip(pooled, p["o"])) + p["b"][0]
+    return logistic(logit * model.weights[0] + model.weights[1])
+
+
+def plain_toxicity(model, text):
+    """The score by a loop over windows and over time. Words and their grams are cut by hand."""
+    net, p, n = model.network, model.network.p, T.HIDDEN
+    found = [w.lower() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode())]
+    vectors = []
+    for w in found:
+        hashes, grams, _, _ = T.tokens(np.frombuffer(w, np.uint8), np.array([0, len(w)]))
+        chars = np.mean([p["gram"][g] for g in grams], axis=0)
+        row = {int(h): i + 1 for i, h in enumerate(net.vocabulary)}.get(int(hashes[0]), 0)
+        vectors.append(np.concatenate([p["word"][row], chars]))
+    best, at, windows = -math.inf, 0, 0
+    while True:
+        part = vectors[at : at + T.LENGTH]
+        states = {}
+        for side in "fb":
+            h, states[side] = np.zeros(n), []
+            for x in part if side == "f" else part[::-1]:
+                gx, gh = x @ p["x" + side] + p["c" + side], h @ p["h" + side]
+                z, r = (np.array([logistic(v) for v in (gx + gh)[k * n : (k + 1) * n]]) for k in (0, 1))
+                new = np.tanh(gx[2 * n :] + r * gh[2 * n :])
+                h = z * h + (1 - z) * new
+                states[side].append(h)
+        both = [np.concatenate(pair) for pair in zip(states["f"], states["b"][::-1])]
+        weights = softmax([float(np.tanh(s @ p["a"]) @ p["v"]) for s in both]) if both else []
+        pooled = sum((w * s for w, s in zip(weights, both)), np.zeros(2 * n))
+        best, windows = max(best, float(pooled @ p["o"] + p["b"][0])), windows + 1
+        if at + T.LENGTH >= len(vectors):
+            break
+        at += T.STRIDE
+    return logistic(best * model.weights[0] + math.log(windows) * model.weights[1] + model.weights[2])
+
+
+@pytest.mark.parametrize("module, rows, plain", [(T, toxic_rows, plain_toxicity), (Q, quality_rows, plain_quality)])
+def test_scores_against_plain_loops(module, rows, plain):
+    train, test = rows(200, 5), [t for _, t, _ in rows(12, 6)] + ["one", "vermin! vermin?", "été " * 70]
+    model = module.train([t for _, t, _ in train], np.array([y for *_, y in train], np.float32), (150, 50), epochs=1)
+    for text in test:
+        raw = text.encode()
+        got = model.documents(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        assert got == pytest.approx(plain(model, text), abs=2e-4)

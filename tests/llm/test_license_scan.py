@@ -1,8 +1,12 @@
 """Licence scan: canonical forms meet their licence, others don't."""
 
+import random
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from evidex.llm import license_scan as L
+from evidex.llm.license_sql import plain
 
 SHAPE = "doc_id long, text string, license string, digest string, t string"
 
@@ -59,3 +63,19 @@ limitations under the License."""
     assert got == {**{i: n for i, (n, _) in enumerate(texts)}, 99: None}
     mine = L.known_digests(spark, [("Own-1.0", "my own licence text")])
     assert [r.license for r in L.license_scan(spark.createDataFrame([(1, "My own license text.", "", "", "")], SHAPE), mine).collect()] == ["Own-1.0"]
+
+
+def test_file_headers(spark):
+    folder = Path(L.__file__).parent / "licenses"
+    three = (folder / "GPL-3.0.txt").read_text("utf-8")
+    header = three[three.index("    This program is free software:") : three.index("Also add information")]
+    docs = spark.createDataFrame([(1, "# Copyright (C) 2020  Some One\n#\n" + "".join(f"# {x.strip()}\n" for x in header.strip().split("\n")), "", "", "")], SHAPE)
+    assert [r.license for r in L.license_scan(docs, L.known_digests(spark)).collect()] == ["GPL-3.0"]
+
+
+def test_canonical_form_against_a_plain_one(spark):
+    rng = random.Random(2)
+    parts = ["Copyright", "(c)", "©", "2020", "All rights reserved.", "licence", "sub-license", "Sub license", "non-commercial", "http://", "&", "v2", "ver. 3", "MIT", "é", "--", "#", "copyrighted", "x" * 40, "_"]
+    texts = ["\n".join(" ".join(rng.choices(parts, k=rng.randrange(6))) for _ in range(5)) for _ in range(400)] + ["", "\n\n", "copyright", "Copyright\nnext"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", L.joined(L.canonical(F.col("t"))).alias("c")).collect()
+    assert [(r.t, r.c) for r in rows] == [(r.t, plain(r.t)) for r in rows]

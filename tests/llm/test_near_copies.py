@@ -85,6 +85,16 @@ def test_bound_of_bits_is_wide_enough():
     assert worst < S.NEAR_BITS - 10
 
 
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(9)
+    a, b = (" ".join("w%d" % rng.randrange(9000) for _ in range(100)) for _ in range(2))
+    near = a + " more"
+    rows = [(3, a, "x", ""), (5, a, "y", ""), (5, b, "y", ""), (5, b, "z", ""), (5, near, "", ""), (None, near, "", ""), (None, "apart", "", ""), (None, "apart", "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, t string, gone_id string")
+    got = sorted(((r.doc_id, r.text, r.t) for r in S.drop_near_copies(docs).collect()), key=repr)
+    assert got == sorted([(3, a, "x"), (5, b, "y"), (5, b, "z"), (None, "apart", ""), (None, "apart", "")], key=repr)
+
+
 def test_small_tables(spark):
     empty = spark.createDataFrame([], SHAPE)
     assert S.near_copy_components(empty).count() == 0 and S.drop_near_copies(empty).columns == empty.columns

@@ -45,3 +45,44 @@ def test_stages(spark, tmp_path):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab.ranks, special_tokens={})
     assert Counter((r.doc_id, tuple(r.ids)) for r in after["byte_bpe"]) == Counter((r.doc_id, tuple(enc.encode_ordinary(r.text or ""))) for r in after["mixing"])
     assert len(P.run(spark, str(tmp_path)).collect()) == len(after["byte_bpe"])
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, row string, t string, gone_lines string, n_lines int"
+
+
+def odd_rows():
+    rng = random.Random(4)
+    text = lambda n: " ".join("w%d" % rng.randrange(5000) for _ in range(n))
+    a, b = text(120), text(90)
+    rows = [(1, a), (1, b), (1, b), (2, a + " more"), (None, text(20)), (None, text(20)), (4, None), (5, ""), (6, " \n "), (7, text(40_000)), (8, "x" * 50_000), (9, text(3)), (9, text(3))]
+    return [(d, t, "en", (None, "s0", "s1")[i % 3], len(t or ""), f"r{i}", "t", None, i) for i, (d, t) in enumerate(rows)]
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
+    labels = spark.createDataFrame([(100, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = odd_rows()
+    docs = spark.createDataFrame(rows, ODD)
+    for name, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    out = {name: stage(spark, docs, str(tmp_path)) for name, stage in P.STAGES}
+    for name, _ in P.STAGES[:-1]:
+        assert out[name].columns == docs.columns
+    # nothing is labelled toxic, so nothing goes
+    assert Counter(map(tuple, out["toxicity"].collect())) == Counter(rows)
+    # the repeated row (1, b) stays as it is, for its lines' earliest place is both rows'
+    lines = {(r.doc_id, r.row): r.text for r in out["line_dedup"].collect()}
+    assert lines == {(r[0], r[5]): r[1] for r in rows}
+    # (2, a more) is a near-copy of (1, a); (1, b) is a text of its own, told twice; of the blank texts the first stays
+    assert {r.row for r in out["simhash_dedup"].collect()} == {r[5] for r in rows} - {"r3", "r7", "r8"}
+    got, want = Counter(), Counter()
+    for r in out["mixing"].collect():
+        got[r.row] += len((r.text or "").split())
+        assert set((r.text or "").split()) <= set((rows[int(r.row[1:])][1] or "").split())
+    for r in mix_amounts(docs).collect():
+        want[r.doc_id] += r.taken
+    by_id = Counter()
+    for k, n in got.items():
+        by_id[rows[int(k[1:])][0]] += n
+    assert +by_id == +want
+    assert Counter(r.doc_id for r in out["byte_bpe"].collect()) == Counter(r[0] for r in rows)
