@@ -1,15 +1,17 @@
 """Near-duplicate vectors by product quantisation with coarse inverted lists and exact cosine rerank.
 
-Fit, on a bounded sample (SAMPLE distinct vectors, those with the least hash): LISTS_A_ROOT x sqrt(n) coarse centres, at most
-MOST_LISTS, and in each of SUBSPACES subspaces CODES centres of the residuals. Every vector is then indexed: its nearest
-centre's list, a code per subspace, and the length of what the code leaves out.
+Fit, on a bounded sample (SAMPLE_A_LIST distinct vectors a list, within SAMPLE, those with the least hash) and in one task:
+LISTS_A_ROOT x sqrt(n) coarse centres, at most MOST_LISTS (reached at 30 million vectors), and in each of SUBSPACES subspaces
+CODES centres of the residuals. Every vector is then indexed: its nearest centre's list, a code per subspace, and the length of
+what the code leaves out.
 
 Search: each vector probes the lists that may hold a vector within the radius sqrt(2 - 2 x 0.9) of it: with centre distances a
 to the nearest and b to another, a neighbour can only lie there if (b^2 - a^2) / (2 |difference of the centres|) is at most the
 radius (always safe), and is taken to if it is at most SIGMAS standard deviations of a random offset of that length. In a
 list, table lookups give the distance from the vector to each code, and what is left out bounds how far it can be wrong, so no
 pair found in a probed list is lost. Survivors are judged by exact cosine in double precision. A pair is found if either
-vector probes the other's list.
+vector probes the other's list. Probes carry the vector itself: how many links a vector has is counted where its list is, so
+that a group of many near-copies is never written out as pairs.
 
 Equal vectors are one from the start, weighted by their number, and tasks emit sums and links that join parts, so output is
 linear. A long list is cut in CHUNK parts and its probing vectors are dealt to several tasks; none is dropped.
@@ -29,17 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidex.llm.arrays import Links, mix
-from evidex.llm.shared import connected_components, table, written
+from evidex.llm.shared import connected_components, in_one_task, table, written
 
 LEAST = 0.9
-SAMPLE = 20_000
+SAMPLE = (20_000, 131_072)
+SAMPLE_A_LIST = 8
 LISTS_A_ROOT = 3
-MOST_LISTS = 2048
+MOST_LISTS = 16_384
 SUBSPACES = 16
 CODES = 64
-SIGMAS = 3.5
+SIGMAS = 3.0
 CHUNK = 4096
-BATCH = 2048
+BATCH = 1024
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -53,8 +56,9 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return centres
 
 
-def nearest(x: np.ndarray, centres: np.ndarray, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's nearest centre, and the squared distances to it."""
+    step = max(1, (1 << 22) // len(centres))
     own, far = np.empty(len(x), np.int64), np.empty(len(x), np.float32)
     norm = (centres**2).sum(axis=1)
     for i in range(0, len(x), step):
@@ -67,24 +71,24 @@ def nearest(x: np.ndarray, centres: np.ndarray, step: int = 4096) -> tuple[np.nd
 class Index:
     """Coarse centres and residual codebooks of unit vectors of one length; its size is bounded by the constants above."""
 
-    def __init__(self, sample: np.ndarray, n: int, least: float, sigmas: float = SIGMAS):
+    def __init__(self, sample: np.ndarray, lists: int, least: float, sigmas: float = SIGMAS):
         rng = np.random.default_rng(7)
         sample = sample.astype(np.float32)
         self.radius = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-3
         self.least, self.dim = least, sample.shape[1]
-        self.centres = kmeans(sample, int(min(MOST_LISTS, max(1, LISTS_A_ROOT * np.sqrt(n)))), rng)
+        self.centres = kmeans(sample, lists, rng)
         rest = sample - self.centres[nearest(sample, self.centres)[0]]
         self.parts = [p for p in np.array_split(np.arange(self.dim), SUBSPACES) if len(p)]
         self.books = [kmeans(rest[:, p], CODES, rng, 6) for p in self.parts]
-        norm = (self.centres**2).sum(axis=1)
-        gap = np.sqrt(np.maximum(norm[:, None] + norm[None, :] - 2 * self.centres @ self.centres.T, 0))
-        self.margin = 2 * self.radius * gap * min(1.0, sigmas / np.sqrt(self.dim)) + 1e-4
+        self.norm = (self.centres**2).sum(axis=1)
+        self.reach = 2 * self.radius * min(1.0, sigmas / np.sqrt(self.dim))
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of unit vectors (float32): list, codes, the decoded residual's fixed term, length left out, and which lists each probes."""
-        d = (self.centres**2).sum(axis=1) - 2 * (x @ self.centres.T)
+        d = self.norm - 2 * (x @ self.centres.T)
         own = d.argmin(axis=1)
-        probes = d - d[np.arange(len(x)), own][:, None] <= self.margin[own]
+        gap = np.sqrt(np.maximum(self.norm[own][:, None] + self.norm - 2 * self.centres[own] @ self.centres.T, 0))
+        probes = d - d[np.arange(len(x)), own][:, None] <= self.reach * gap + 1e-4
         rest = x - self.centres[own]
         codes = np.stack([nearest(rest[:, p], b)[0] for p, b in zip(self.parts, self.books)], axis=1).astype(np.uint8)
         decoded = self.decode(codes)
@@ -232,10 +236,10 @@ def _search(held, kind: str):
 def _one_length(vectors: DataFrame, dim: int, least: float, sigmas: float) -> DataFrame:
     """k, other, n of the distinct vectors (k, n, embedding) of one length."""
     spark = vectors.sparkSession
-    n = vectors.count()
-    # SAMPLE rows at most
-    sample = vectors.orderBy(F.xxhash64("k"), "k").limit(SAMPLE).select("embedding").toPandas()["embedding"]
-    held = spark.sparkContext.broadcast(Index(_doubles(np.concatenate([np.asarray(v) for v in sample]), dim), n, least, sigmas))
+    lists = int(min(MOST_LISTS, max(1, LISTS_A_ROOT * np.sqrt(vectors.count()))))
+    # SAMPLE rows at most; the index is of MOST_LISTS centres at most
+    sample = vectors.select(F.xxhash64("k").alias("o"), "k", "embedding").orderBy("o", "k").limit(min(max(SAMPLE[0], SAMPLE_A_LIST * lists), SAMPLE[1]))
+    held = spark.sparkContext.broadcast(in_one_task(sample, lambda r: Index(_doubles(np.array([v for *_, v in r]), dim), lists, least, sigmas)))
     rows = vectors.select("k", "n", "embedding")
     # MOST_LISTS rows at most
     sizes = rows.mapInArrow(_sizes(held), "list int, size long").groupBy("list").agg(F.sum("size").alias("size")).collect()
@@ -275,12 +279,23 @@ def op7_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
 
 
-OP7_SQL = """
+#: Few tables hold vectors that are alike; at this threshold all do, and every probe is the always safe one.
+LOOSE = 0.4
+
+
+def embedding_links_loose(spark, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine LOOSE."""
+    return embedding_components(table(spark, sf_dir, "embeddings"), LOOSE, sigmas=float("inf"))
+
+
+_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
 ), u AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
-links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.9),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) {least}),
 reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
 SELECT v.vec_id, (SELECT count(*) FROM links WHERE x = v.vec_id) AS n_links, r.component_id, v.vec_id = r.component_id AS kept
 FROM v JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) r ON r.x = v.vec_id
 """
+OP7_SQL = _SQL.replace("{least}", f">= {LEAST}")
+LOOSE_SQL = _SQL.replace("{least}", f">= {LOOSE}")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.shared import written
+from evidex.llm.shared import in_one_task, written
 
 SAMPLE = 1500
 CHARS = 12_000_000
@@ -49,14 +47,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
 
 def fitted(sample: DataFrame, totals: tuple[int, int], train: Callable):
     """train(texts, y, totals) over a bounded sample (o, text, y), in one task of the cluster; only the model, of fixed size, comes to the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
-        model = train([t for _, t, _ in rows], np.array([y for *_, y in rows], np.float32), totals)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
-
-    found = sample.coalesce(1).mapInArrow(run, "model binary").first()
-    return pickle.loads(found["model"]) if found else train([], np.zeros(0, np.float32), totals)
+    return in_one_task(sample, lambda rows: train([t for _, t, _ in rows], np.array([y for *_, y in rows], np.float32), totals))
 
 
 class Adam:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from evidex.llm.byte_bpe import op10_byte_bpe
-from evidex.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
+from evidex.llm.embedding_dedup import LOOSE_SQL, OP7_SQL, embedding_links_loose, op7_embedding_dedup
 from evidex.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from evidex.llm.kneser_ney import op4_kneser_ney
 from evidex.llm.license_scan import op8_license_scan
@@ -25,5 +25,6 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
+    "embedding_links_loose": embedding_links_loose,
 }
-ORACLES = {"op3_line_dedup": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op8_license_scan": OP8_SQL}
+ORACLES = {"op3_line_dedup": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op8_license_scan": OP8_SQL, "embedding_links_loose": LOOSE_SQL}

@@ -62,6 +62,26 @@ def test_recall_of_production_probes(spark):
     assert all(m[1] <= w[1] for m, w in zip(mine, want))
 
 
+def edges(n, dim, spread, seed):
+    """Vectors and a near-copy of each with a cosine of 0.9 to 0.92, over dimensions of unlike weight."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.normal(size=(n, dim)) * spread)
+    away = rng.normal(size=(n, dim)) * spread
+    away = unit(away - (away * base).sum(axis=1, keepdims=True) * base)
+    cosine = rng.uniform(0.9005, 0.92, (n, 1))
+    return [(i, [float(v) for v in row.astype(np.float32)]) for i, row in enumerate(np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * away]))]
+
+
+@pytest.mark.parametrize("spread", [np.ones(64), np.geomspace(1, 0.1, 64), np.geomspace(1, 0.01, 64)])
+def test_recall_just_above_the_threshold(spark, spread):
+    rows = edges(450, 64, spread, 3)
+    df = spark.createDataFrame([(d, v, 0, "") for d, v in rows], SHAPE)
+    mine, want = got(E.embedding_components(df)), brute(rows)
+    assert sum(w[1] for w in want) >= 900 and sum(m[1] for m in mine) >= 0.99 * sum(w[1] for w in want)
+    assert all(m[1] <= w[1] for m, w in zip(mine, want))
+
+
 def test_small_tables(spark):
     assert E.embedding_components(spark.createDataFrame([], SHAPE)).count() == 0
     df = spark.createDataFrame([(4, [1.0, 0.0], 0, ""), (2, [0.99, 0.01], 0, "")], SHAPE)
@@ -71,11 +91,11 @@ def test_small_tables(spark):
 def test_probes_reach_neighbours_towards_another_centre():
     """Two vectors just above the threshold whose offset lies mostly along the line between two centres: one probes the other's list."""
     dim, apart = 64, np.sqrt(2 - 2 * 0.9)
-    share = 0.8  # of the offset along that line: within 2 x 3.5 / sqrt(64), over 2 x 2.5 / sqrt(64)
+    share = 0.95 * 2 * E.SIGMAS / np.sqrt(dim)  # of the offset along that line
     a, b = np.eye(dim)[0], np.eye(dim)[1]
     index = E.Index(np.stack([a, b]), 1, 0.9)
     index.centres = np.stack([a, b]).astype(np.float32)
-    index.margin = index.margin[0, 0] + 2 * index.radius * np.sqrt(2) * (1 - np.eye(2)) * min(1.0, E.SIGMAS / np.sqrt(dim))
+    index.norm = (index.centres**2).sum(axis=1)
     line = (b - a) / np.sqrt(2)
     half = apart * share / 2
     side = apart * np.sqrt(1 - share**2) / 2
