@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 #: One white-space character, for Java and RE2 alike.
 W = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\p{Z}]"
+#: The characters of W.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 NEWLINES = r"\r\n|[\n\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+OTHER_NEWLINES = r"[\r\x{b}\x{c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 #: The end of a word, where Java's \b and RE2's differ.
 B = r"(?:[^\p{L}\p{N}_]|$)"
 
@@ -16,8 +19,13 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, of) -> Column:
+    """of(value), with value computed once: a lambda's variable holds it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), f"^{W}+|{W}+$", "")
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def left_blank(c: Column | str) -> Column:
@@ -42,8 +50,9 @@ def clip(c: Column | str, most: int) -> Column:
 
 def split_lines(c: Column | str) -> Column:
     """The lines of a text by any line break; no empty line after a last break, none of an empty text."""
-    parts = F.split(col(c), NEWLINES)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    # most texts break lines by \n alone, which splits without a pattern
+    parts = F.when(col(c).rlike(OTHER_NEWLINES), F.split(col(c), NEWLINES)).otherwise(F.split(col(c), "\n"))
+    return let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 def after_first(lines: Column) -> Column:
@@ -78,6 +87,18 @@ def key_segment(c: Column | str) -> Column:
     return F.when(s != "", s)
 
 
+def hash8(c: Column | str) -> Column:
+    """The first 8 digits of a SHA-256 in hex; null if it isn't one."""
+    s = F.lower(strip(c))
+    return F.when(s.rlike("^[0-9a-f]{64}$"), F.substring(s, 1, 8))
+
+
+def date_segment(c: Column | str) -> Column:
+    """YYYYMMDD of YYYY-MM-DD; null if it doesn't have that shape."""
+    s = strip(c)
+    return F.when(s.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.replace(s, F.lit("-"), F.lit("")))
+
+
 def csv_list(c: Column | str) -> Column:
     """Stripped, non-empty parts between commas; null if there are none."""
     parts = F.filter(F.transform(F.split(col(c), ","), strip), lambda x: x != "")
@@ -86,3 +107,9 @@ def csv_list(c: Column | str) -> Column:
 
 def four_places(c: Column) -> Column:
     return F.format_string("%.4f", c)
+
+
+def once(df, **columns: Column):
+    """df with added columns that are computed once a row. A generator of one row stands between them and what uses them, where Spark would write them out at every use."""
+    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], made)

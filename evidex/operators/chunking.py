@@ -114,8 +114,20 @@ def run_summary(documents: DataFrame, chunked: DataFrame) -> DataFrame:
     return out
 
 
-def inspection(chunked: DataFrame, max_chars: int = 2200) -> DataFrame:
-    """One row of counts over all chunks, with what is odd about them."""
+def run_totals(documents: DataFrame, chunked: DataFrame) -> DataFrame:
+    """One row: documents_processed (those without chunks too), total_chunks, average_chars and max_chars of a chunk (0 without chunks)."""
+    size = F.col("char_count")
+    totals = chunked.agg(F.count(F.lit(1)).alias("total_chunks"), F.coalesce(F.avg(size), F.lit(0.0)).alias("average_chars"), F.coalesce(F.max(size), F.lit(0)).cast("long").alias("max_chars"))
+    return documents.agg(F.count_distinct("document_id").alias("documents_processed")).crossJoin(totals)
+
+
+def inspection(chunked: DataFrame, max_chars: int = 2200, limits: DataFrame | None = None) -> DataFrame:
+    """One row of counts over all chunks, with what is odd about them. limits: document_id, max_chars of the documents that have a limit of their own."""
+    if limits is None:
+        chunked = chunked.withColumn("_most", F.lit(max_chars))
+    else:
+        own = limits.groupBy("document_id").agg(F.last("max_chars", ignorenulls=True).alias("_own"))
+        chunked = chunked.join(own, "document_id", "left").withColumn("_most", F.coalesce("_own", F.lit(max_chars)))
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     blank = lambda c: F.col(c).isNull() | (strip(c) == "")
     size = F.col("char_count")
@@ -125,7 +137,7 @@ def inspection(chunked: DataFrame, max_chars: int = 2200) -> DataFrame:
         F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("chars"),
         F.min(size).cast("long").alias("least"),
         F.max(size).cast("long").alias("most"),
-        n(size > max_chars).alias("over_max"),
+        n(size > F.col("_most")).alias("over_max"),
         n(F.col("variant_name").isNull()).alias("null_variant"),
         n(blank("section_id")).alias("blank_section_id"),
         n(F.col("variant_name").isNotNull() & F.col("policy_unit_id").isNull()).alias("variant_without_unit"),

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evidex.functions.text import BLANKS, left_blank
+
 
 def with_page_start(pages: DataFrame) -> DataFrame:
     """Adds page_start: where a page begins in the pages' texts joined by line breaks."""
@@ -27,11 +29,38 @@ def full_text(pages: DataFrame) -> DataFrame:
 
 
 def page_at(offset: Column, starts: Column, total_len: Column) -> Column:
-    """The page of an offset: the last that starts at or before it, after clamping it into the text."""
+    """The page of an offset: the last that starts at or before it, after clamping it into the text. For an offset or two of a document; many are looked up by with_page."""
     inside = F.least(F.greatest(offset, F.lit(0)), F.greatest(total_len - 1, F.lit(0)))
     return F.element_at(F.filter(starts, lambda s: s["start"] <= inside), -1)["page_number"]
 
 
+def as_of(rows: DataFrame, at: Column, marks: DataFrame, mark_at: str, name: str) -> DataFrame:
+    """rows (document_id, ...) with `name`: a struct of the columns of the last of marks (document_id, mark_at, ...) that stands at or before `at`, or null.
+
+    Both are sorted together by place within a document and looked through once.
+    """
+    held = F.struct(*[F.col(c) for c in marks.columns if c != "document_id"])
+    both = rows.withColumns({"_at": at.cast("long"), "_row": F.lit(1)}).unionByName(marks.select("document_id", F.col(mark_at).cast("long").alias("_at"), F.lit(0).alias("_row"), held.alias("_mark")), allowMissingColumns=True)
+    before = W.partitionBy("document_id").orderBy("_at", "_row").rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn(name, F.last("_mark", ignorenulls=True).over(before)).where("_row = 1").drop("_at", "_row", "_mark")
+
+
+def with_page(rows: DataFrame, texts: DataFrame, offset: Column, name: str) -> DataFrame:
+    """rows (document_id, ...) with the page of an offset as column `name`. texts: document_id, total_len, starts."""
+    pages = texts.select("document_id", F.explode("starts").alias("s")).select("document_id", "s.page_number", "s.start")
+    placed = rows.join(texts.select("document_id", F.col("total_len").alias("_len")), "document_id")
+    inside = F.least(F.greatest(offset, F.lit(0)), F.greatest(F.col("_len") - 1, F.lit(0)))
+    out = as_of(placed, inside, pages, "start", "_page")
+    return out.withColumn(name, F.col("_page.page_number")).drop("_page", "_len")
+
+
+def text_lines(texts: DataFrame) -> DataFrame:
+    """document_id, offset, line of the full texts, split at \\n."""
+    cut = texts.select("document_id", F.posexplode(F.split("full_text", "\n")).alias("_i", "line"))
+    before = W.partitionBy("document_id").orderBy("_i").rowsBetween(W.unboundedPreceding, -1)
+    return cut.select("document_id", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("long").alias("offset"), "line")
+
+
 def lines(pages: DataFrame) -> DataFrame:
     """document_id, page_number, line_no, offset (of the line in the full text), line. Split at \\n; an empty page has none."""
     cut = with_page_start(pages).where("text <> ''").select("document_id", "page_number", "page_start", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -40,12 +69,19 @@ def lines(pages: DataFrame) -> DataFrame:
     return cut.select("document_id", "page_number", "line_no", offset.alias("offset"), "line")
 
 
-def with_slice(rows: DataFrame, texts: DataFrame, name: str, start: Column, end: Column, where: Column | None = None) -> DataFrame:
-    """rows (document_id, ...) with the full text from start to end (exclusive) as column `name`; null where `where` isn't met.
+def with_slices(rows: DataFrame, line_table: DataFrame, end: str | None = None) -> DataFrame:
+    """rows (document_id, start_char_offset, ...), each at the first letter of a line, with `slice`: the lines from there to the next row's, or only those that begin before column `end`.
 
-    A document's rows are gathered and meet its text once, so that a text isn't copied for each of them.
+    Lines are gathered by the row they follow, so each is read once. White space at the end of a slice may be less than in the text.
     """
-    marked = rows.withColumns({"_a": start.cast("int"), "_n": F.greatest(end - start, F.lit(0)).cast("int"), "_w": F.lit(True) if where is None else F.coalesce(where, F.lit(False))})
-    gathered = marked.groupBy("document_id").agg(F.collect_list(F.struct(*marked.columns)).alias("_rows")).join(texts.select("document_id", "full_text"), "document_id")
-    cut = lambda r: F.struct(*[r[c].alias(c) for c in rows.columns], F.when(r["_w"], F.substr(F.col("full_text"), r["_a"] + 1, r["_n"])).alias(name))
-    return gathered.select(F.explode(F.transform("_rows", cut)).alias("_r")).select("_r.*")
+    at = F.col("start_char_offset")
+    starts = rows.select("document_id", at.alias("_at"), F.lit(0).alias("_line"), F.struct(at.alias("at"), (F.lit(None).cast("long") if end is None else F.col(end)).alias("end")).alias("_own"))
+    body = line_table.select("document_id", (F.col("offset") + left_blank("line")).alias("_at"), F.lit(1).alias("_line"), "line")
+    before = W.partitionBy("document_id").orderBy("_at", "_line").rowsBetween(W.unboundedPreceding, 0)
+    placed = body.unionByName(starts, allowMissingColumns=True).withColumn("_own", F.last("_own", ignorenulls=True).over(before)).where("_line = 1 and _own is not null")
+    if end is not None:
+        placed = placed.where(F.col("_at") < F.col("_own.end"))
+    gathered = placed.groupBy("document_id", F.col("_own.at").alias("start_char_offset")).agg(F.array_sort(F.collect_list(F.struct("_at", "line"))).alias("_lines"))
+    text = F.array_join(F.transform("_lines", lambda x: x["line"]), "\n")
+    cut = gathered.select("document_id", "start_char_offset", F.ltrim(text, F.lit(BLANKS)).alias("slice"))
+    return rows.join(cut, ["document_id", "start_char_offset"], "left").withColumn("slice", F.coalesce("slice", F.lit("")))

@@ -6,8 +6,11 @@ vectors of length one. Ties go to the smaller row_idx. Each task keeps its own b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +20,10 @@ from evidex.functions.text import casefold
 #: Section types that searches leave out unless told otherwise.
 DEFAULT_EXCLUDED = ("toc", "cover", "guide", "summary")
 
+QUERY_BLOCK = 1024
+#: By how much a matrix product may differ from the exact sum.
+CLOSE = 1e-6
+
 
 @dataclass(frozen=True)
 class SearchFilters:
@@ -74,25 +81,80 @@ def search(index: DataFrame, vector: list[float] | Column, top_k: int = 5, filte
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "row_idx")))
 
 
-def search_many(index: DataFrame, queries: DataFrame, most: int = 50) -> DataFrame:
+def _best_of_part(held, section: bool):
+    """For mapInArrow over (row_idx, section_id, insurer, product_type, variant_name, embedding): (query_id, row_idx) of all rows of a batch that may be among a query's best.
+
+    Scores are a matrix product; what lies within CLOSE of the last place is kept too, since the exact scores decide later.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, top, wanted, which = held.value
+        for b in batches:
+            if not len(b):
+                continue
+            row_idx, sections = b.column(0).to_numpy(zero_copy_only=False), np.asarray(b.column(1).to_pylist(), object)
+            facets = [np.array(b.column(i).to_pylist(), object) for i in (2, 3, 4)]
+            rows = np.stack(b.column(5).to_numpy(zero_copy_only=False)).astype(np.float64)
+            code = np.unique(sections.astype(str), return_inverse=True)[1] if section else np.arange(len(b))
+            order = np.argsort(code, kind="stable")
+            first = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
+            found_q, found_r = [], []
+            for f, (insurer, kind, variant) in enumerate(wanted):
+                fine = np.ones(len(b), bool)
+                for want, have in ((insurer, facets[0]), (kind, facets[1])):
+                    fine &= True if want is None else have == want
+                if variant is not None:
+                    fine &= np.array([v is not None and variant in v for v in facets[2]], bool)
+                asking = np.flatnonzero(which == f)
+                if not fine.any() or not len(asking):
+                    continue
+                scores = np.where(fine[None, :], vectors[asking] @ rows.T, -np.inf)[:, order]
+                best = np.maximum.reduceat(scores, first, axis=1)
+                for i, q in enumerate(asking):
+                    k = min(int(top[q]), best.shape[1])
+                    least = np.partition(best[i], -k)[-k] - CLOSE
+                    # rows of places before the last, and of a section those next to its own best
+                    near = (scores[i] >= least) & (scores[i] >= np.repeat(best[i], np.diff(np.append(first, len(order)))) - CLOSE) & np.isfinite(scores[i])
+                    found_r.append(order[near])
+                    found_q.append(np.full(near.sum(), q))
+            if found_q:
+                q, r = np.concatenate(found_q), np.concatenate(found_r)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(row_idx[r])], ["query_id", "row_idx"])
+
+    return run
+
+
+def search_many(index: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
     """Hits of many queries (id, vector, top_k, dedupe_section and nullable insurer, product_type, variant_name): query id, rank, score and the index's columns.
 
-    queries: a bounded list; it is broadcast, and each index row meets every query, so the join's work is rows x queries. Then
-    each task keeps its best `most` rows of a query and part of the index before a query's rows meet.
+    Queries go round in blocks of about `block`, whatever their number; the index is read once for each. A batch of index rows
+    meets a block as a matrix product and hands on its best rows of each query, which are scored and ranked exactly.
     """
-    q = queries.select(F.col("id").alias("query_id"), "vector", "top_k", "dedupe_section", *[F.col(c).alias(f"want_{c}") for c in ("insurer", "product_type", "variant_name")])
-    want = lambda c: F.col(f"want_{c}").isNull() | (casefold(c) == casefold(f"want_{c}"))
-    variant = F.col("want_variant_name").isNull() | F.contains(casefold("variant_name"), casefold("want_variant_name"))
+    spark = index.sparkSession
+    facets = ("insurer", "product_type", "variant_name")
+    asked = queries.select(F.col("id").alias("query_id"), F.transform("vector", lambda v: v.cast("double")).alias("vector"), F.greatest("top_k", F.lit(1)).alias("top_k"), "dedupe_section", *[casefold(c).alias(c) for c in facets])
     eligible = index.where(SearchFilters().predicate())
-    met = eligible.join(F.broadcast(q), F.coalesce(want("insurer") & want("product_type") & variant, F.lit(False)))
-    scored = met.withColumn("score", dot(F.col("embedding"), F.col("vector"))).drop("embedding", "vector")
-    rows = scored.columns
+    rows = eligible.select("row_idx", "section_id", *[casefold(c).alias(c) for c in facets], "embedding")
+    blocks = max(1, -(-asked.count() // block))
+    met = None
+    for i in range(blocks):
+        # about `block` queries, so the broadcast is bounded
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()
+        for section in {bool(r["dedupe_section"]) for r in part}:
+            some = [r for r in part if bool(r["dedupe_section"]) == section]
+            wanted = sorted({tuple(r[c] for c in facets) for r in some}, key=repr)
+            which = np.array([wanted.index(tuple(r[c] for c in facets)) for r in some])
+            ids = np.array([r["query_id"] for r in some], object)
+            held = spark.sparkContext.broadcast((ids, np.array([r["vector"] for r in some], np.float64), np.array([r["top_k"] for r in some]), wanted, which))
+            found = rows.mapInArrow(_best_of_part(held, section), f"query_id {dict(asked.dtypes)['query_id']}, row_idx {dict(index.dtypes)['row_idx']}")
+            met = found if met is None else met.unionByName(found)
+    if met is None:
+        met = spark.createDataFrame([], f"query_id {dict(asked.dtypes)['query_id']}, row_idx {dict(index.dtypes)['row_idx']}")
+    scored = met.join(asked.select("query_id", "vector", "top_k", "dedupe_section"), "query_id").join(eligible, "row_idx").withColumn("score", dot(F.col("embedding"), F.col("vector"))).drop("embedding", "vector")
     order = lambda *by: W.partitionBy(*by).orderBy(F.desc("score"), "row_idx")
-    per_section = scored.withColumn("_s", F.when(F.col("dedupe_section"), F.col("section_id")).otherwise(F.col("row_idx").cast("string")))
-    best = per_section.groupBy("query_id", "_s").agg(F.max_by(F.struct(*rows), F.struct("score", (-F.col("row_idx")).alias("i"))).alias("r")).select("r.*")
-    part = best.withColumn("_p", F.pmod(F.xxhash64("row_idx"), F.lit(64))).withColumn("_n", F.row_number().over(order("query_id", "_p"))).where(F.col("_n") <= most)
-    ranked = part.drop("_p", "_n").withColumn("rank", F.row_number().over(order("query_id")))
-    return ranked.where(F.col("rank") <= F.greatest("top_k", F.lit(1)))
+    own = F.when(F.col("dedupe_section"), F.col("section_id")).otherwise(F.col("row_idx").cast("string"))
+    first = scored.withColumn("_n", F.row_number().over(order("query_id", own))).where("_n = 1").drop("_n")
+    return first.withColumn("rank", F.row_number().over(order("query_id"))).where(F.col("rank") <= F.col("top_k")).select("query_id", *[c for c in index.columns if c != "embedding"], "top_k", "dedupe_section", "score", "rank")
 
 
 CITED = ["chunk_id", "section_id", "section_title", "section_type", "document_id", "insurer", "product_type", "insurer_display_name", "product_type_display_name", "product_display_name", "policy_unit_name", "variant_name", "page_start", "page_end", "char_start", "char_end"]

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W_
 from pyspark.sql import functions as F
 
-from evidex.functions.text import W, after_first, clip, compact, four_places, left_blank, split_lines, strip
-from evidex.operators.layout import full_text, lines, page_at, with_slice
+from evidex.functions.text import W, after_first, clip, compact, four_places, left_blank, once, split_lines, strip
+from evidex.operators.layout import full_text, lines, text_lines, with_page, with_slices
 from evidex.operators.regions import LEGAL_COMPACT, LEGAL_SPACED, RELATED_LAW, classify
 from evidex.operators.units import attach, markers, units
 from evidex.sources.tables import stored
@@ -141,34 +141,47 @@ def inline_reference() -> Column:
     return (F.length(head) <= 220) & (tail != "") & (compact(tail).rlike(INLINE_COMPACT) | tail.rlike(INLINE_TAIL))
 
 
-def judged(found: DataFrame, regions: DataFrame, texts: DataFrame, marked: DataFrame) -> DataFrame:
-    """Candidates with `emit`, `trace` and `assembly_confidence`. Filters see the text up to the next candidate, whatever becomes of that."""
-    by = W_.partitionBy("document_id").orderBy("start_char_offset")
-    placed = found.withColumn("next", F.lead("start_char_offset").over(by)).join(texts.select("document_id", "total_len"), "document_id")
-    placed = placed.withColumn("next", F.coalesce("next", "total_len"))
-    out = with_slice(placed, texts, "slice", F.col("start_char_offset"), F.col("next")).withColumn("slice_lines", split_lines("slice"))
-    out = out.withColumn("head_line", F.element_at(F.concat("slice_lines", F.array(F.lit(""))), 1)).withColumn("tail_lines", after_first(F.col("slice_lines")))
-    out = out.withColumns({"head": strip("head_line"), "body": strip(F.array_join("tail_lines", "\n"))})
-    r = regions.select("document_id", F.col("page_number").alias("start_page"), "region_type", F.col("confidence").alias("region_confidence"), F.col("evidence").alias("region_evidence"))
+def _ends(found: DataFrame, texts: DataFrame, marked: DataFrame, line_table: DataFrame) -> DataFrame:
+    """found (document_id, start_char_offset, pin, ...) with next_mark (the first marker from there on) and own_chars.
+
+    own_chars are the characters, page numbers left out, of the lines after a candidate's own up to where an appendix's own text
+    ends: the next candidate without a pin, or the first marker before it. Candidates, markers, lines and the text's end are sorted
+    together, and sums over lines run along.
+    """
+    lines_ = line_table.select("document_id", (F.col("offset") + left_blank("line")).alias("at"), F.lit(2).alias("rank"), substantive_chars(split_lines("line")).alias("s"))
+    own = found.withColumns({"at": F.col("start_char_offset"), "rank": F.lit(0)})
+    marks = marked.select("document_id", F.col("offset").alias("at"), F.lit(1).alias("rank"))
+    ends = texts.select("document_id", F.col("total_len").alias("at"), F.lit(3).alias("rank"))
+    events = own.unionByName(marks, allowMissingColumns=True).unionByName(ends, allowMissingColumns=True).unionByName(lines_, allowMissingColumns=True)
+    by = W_.partitionBy("document_id").orderBy("at", "rank")
+    rank, start = F.col("rank"), F.col("start_char_offset")
+    events = events.withColumns({"before": F.coalesce(F.sum("s").over(by.rowsBetween(W_.unboundedPreceding, -1)), F.lit(0)), "own_s": F.lead("s").over(by)}).where("rank <> 2")
+    here = F.struct("at", "before")
+    # what follows is what comes before in the other order, which Spark sums up in one pass
+    ahead = W_.partitionBy("document_id").orderBy(F.desc("at"), F.desc("rank")).rowsBetween(W_.unboundedPreceding, -1)
+    events = events.withColumns({"body": F.min(F.when((rank == 3) | ((rank == 0) & F.col("pin").isNull()), here)).over(ahead), "mark": F.min(F.when(rank == 1, here)).over(ahead)}).where("rank = 0")
+    end = F.least("body", "mark")
+    between = end["before"] - F.col("before") - F.coalesce("own_s", F.lit(0)) + substantive_chars(after_first(split_lines("head_line")))
+    out = events.withColumns({"next_mark": F.col("mark.at"), "own_chars": F.when(end["at"] > start, between).otherwise(0)})
+    return out.drop("at", "rank", "s", "before", "own_s", "body", "mark")
+
+
+def judged(found: DataFrame, regions: DataFrame, texts: DataFrame, marked: DataFrame, line_table: DataFrame | None = None) -> DataFrame:
+    """Candidates with `emit`, `trace`, `assembly_confidence` and next_mark. Filters see the text up to the next candidate, whatever becomes of that."""
+    line_table = text_lines(texts) if line_table is None else line_table
+    out = once(with_slices(found, line_table), slice_lines=split_lines("slice"))
+    out = once(out, head_line=F.element_at(F.concat("slice_lines", F.array(F.lit(""))), 1), tail_lines=after_first(F.col("slice_lines")))
+    out = once(out, head=strip("head_line"), body=strip(F.array_join("tail_lines", "\n")))
+    r = regions.groupBy("document_id", F.col("page_number").alias("start_page")).agg(F.last("region_type").alias("region_type"), F.last("confidence").alias("region_confidence"), F.last("evidence").alias("region_evidence"))
     out = out.join(r, ["document_id", "start_page"], "left")
     region, kind = F.col("region_type"), F.col("section_type")
-    out = out.withColumn("pin", F.when(region == "appendix", appendix_article_reason()))
-    # where an appendix's own text ends: the next candidate that isn't such a row, or the first marker before it
-    ahead = by.rowsBetween(1, W_.unboundedFollowing)
-    out = out.withColumn("body_end", F.coalesce(F.min(F.when(F.col("pin").isNull(), F.col("start_char_offset"))).over(ahead), F.col("total_len")))
-    offsets = marked.groupBy("document_id").agg(F.array_sort(F.collect_list("offset")).alias("marks"))
-    out = out.join(offsets, "document_id", "left").withColumn("marks", F.coalesce("marks", F.array().cast("array<bigint>")))
-    mark = lambda lo, hi: F.array_min(F.filter("marks", lambda m: (m >= lo) & (m < hi)))
-    start = F.col("start_char_offset")
-    own_end = F.least(F.col("body_end"), F.coalesce(mark(start, F.col("body_end")), F.col("body_end")))
-    out = with_slice(out, texts, "own", start, own_end, kind == "appendix")
-    thin = substantive_chars(after_first(split_lines("own"))) < APPENDIX_BODY
+    out = once(out, pin=F.when(region == "appendix", appendix_article_reason()), toc_row=toc_like_row(), pointer=pointer_slice(), legal=F.when(kind == "legal_reference", legal_reason()), inline=F.when(kind == "article", inline_reference()))
+    out = _ends(out.drop("slice", "slice_lines", "tail_lines", "body"), texts, marked, line_table)
+    thin = F.col("own_chars") < APPENDIX_BODY
     front, explicit = region.isin(FRONT), kind.isin("toc", "guide") & F.exists("evidence", lambda e: e.rlike("^pattern:(toc_heading|customer_rights_heading)"))
     token = lambda t: F.array(F.lit(f"filter:{t}"))
     seen = F.when(region.isNull(), F.array().cast("array<string>")).otherwise(F.concat(F.array(F.concat(F.lit("page_region:"), region), F.concat(F.lit("page_region_confidence:"), four_places(F.col("region_confidence")))), F.transform("region_evidence", lambda e: F.concat(F.lit("region_evidence:"), e))))
     rated = F.array(F.concat(F.lit("candidate_rule_confidence:"), four_places(F.col("confidence"))))
-    toc, pointer = toc_like_row(), pointer_slice()
-    out = out.withColumns({"toc_row": toc, "pointer": pointer})
     verdict = lambda emit, *trace: F.struct(F.lit(emit).alias("emit"), F.concat(*trace).alias("trace"))
     base = (
         F.when(F.col("toc_row"), verdict(False, rated, token("toc_like_candidate_backstop"), seen))
@@ -179,41 +192,39 @@ def judged(found: DataFrame, regions: DataFrame, texts: DataFrame, marked: DataF
         .when(explicit, verdict(True, rated, seen, token("keep_explicit_toc_guide_heading")))
         .otherwise(verdict(False, rated, seen, token("suppress_non_structural_on_front_matter")))
     )
-    out = out.withColumn("base", base)
+    out = once(out, base=base)
     later = (
         F.when((kind == "appendix") & thin, F.lit("filter:appendix_insufficient_substantive_body"))
-        .when(kind == "legal_reference", legal_reason())
+        .when(kind == "legal_reference", F.col("legal"))
         .when((kind == "article") & F.col("pin").isNotNull(), F.col("pin"))
-        .when((kind == "article") & inline_reference(), F.lit("filter:article_inline_clause_reference_heading"))
+        .when((kind == "article") & F.col("inline"), F.lit("filter:article_inline_clause_reference_heading"))
     )
-    out = out.withColumn("later", F.when(F.col("base.emit"), later))
+    out = once(out, later=F.when(F.col("base.emit"), later))
     emit = F.col("base.emit") & F.col("later").isNull()
     lift = F.when(~emit, F.greatest(F.col("confidence") - 0.5, F.lit(0.0))).when(kind.isin("part", "article") & (region == "policy_body"), F.least(F.col("confidence") + 0.12, F.lit(1.0))).when(kind.isin("part", "article") & (region == "unknown"), F.least(F.col("confidence") + 0.02, F.lit(1.0))).otherwise(F.col("confidence"))
     trace = F.when(F.col("later").isNull(), F.col("base.trace")).otherwise(F.array_append("base.trace", F.col("later")))
-    return out.select(*found.columns, emit.alias("emit"), trace.alias("trace"), lift.alias("assembly_confidence"), "marks")
+    return out.select(*found.columns, emit.alias("emit"), trace.alias("trace"), lift.alias("assembly_confidence"), "next_mark")
 
 
-def assemble(verdicts: DataFrame, texts: DataFrame) -> DataFrame:
+def assemble(verdicts: DataFrame, texts: DataFrame, line_table: DataFrame | None = None) -> DataFrame:
     """Sections: the text from each accepted candidate to the next accepted one, an appendix at most to the first marker within."""
     by = W_.partitionBy("document_id").orderBy("start_char_offset")
-    kept = verdicts.where("emit").withColumns({"number": F.row_number().over(by) - 1, "next": F.lead("start_char_offset").over(by)}).join(texts.select("document_id", "total_len", "starts"), "document_id")
+    kept = verdicts.where("emit").withColumns({"number": F.row_number().over(by) - 1, "next": F.lead("start_char_offset").over(by)}).join(texts.select("document_id", "total_len"), "document_id")
     start, kind = F.col("start_char_offset"), F.col("section_type")
     end = F.coalesce("next", "total_len")
-    mark = F.array_min(F.filter("marks", lambda m: (m >= start) & (m < end)))
-    kept = kept.withColumn("end_char_offset", F.when(kind == "appendix", F.coalesce(mark, end)).otherwise(end))
+    kept = kept.withColumn("end_char_offset", F.when((kind == "appendix") & (F.col("next_mark") < end), F.col("next_mark")).otherwise(end))
     kept = kept.withColumn("section_id", F.format_string("%s::sec::%04d", "document_id", "number"))
     part = F.last(F.when(kind == "part", F.col("section_id")), ignorenulls=True).over(by.rowsBetween(W_.unboundedPreceding, 0))
-    kept = kept.withColumn("part", part)
-    kept = with_slice(kept, texts, "text", start, F.col("end_char_offset"))
+    kept = with_slices(kept.withColumn("part", part), text_lines(texts) if line_table is None else line_table, "end_char_offset").withColumnRenamed("slice", "text")
     end = F.col("end_char_offset")
-    page = page_at(F.when(end > start, end - 1).otherwise(start), F.col("starts"), F.col("total_len"))
+    kept = with_page(kept, texts, F.when(end > start, end - 1).otherwise(start), "page")
     return kept.select(
         "document_id",
         "section_id",
         "section_type",
         "title",
         "start_page",
-        F.greatest(F.col("start_page"), page).alias("end_page"),
+        F.greatest("start_page", "page").alias("end_page"),
         "start_char_offset",
         "end_char_offset",
         F.when(kind == "article", F.col("part")).alias("parent_section_id"),
@@ -227,6 +238,7 @@ def detect(pages: DataFrame, classifier=classify) -> DataFrame:
     """Sections of pages with their policy units. classifier: pages to (document_id, page_number, region_type, confidence, evidence)."""
     pages = stored(pages, "pages")
     texts = stored(full_text(pages), "texts")
-    marked = stored(markers(texts), "markers")
-    verdicts = judged(stored(candidates(pages), "candidates"), stored(classifier(pages), "regions"), texts, marked)
-    return attach(assemble(stored(verdicts, "verdicts"), texts), units(texts, marked))
+    line_table = stored(text_lines(texts), "lines")
+    marked = stored(markers(texts, line_table), "markers")
+    verdicts = judged(stored(candidates(pages), "candidates"), stored(classifier(pages), "regions"), texts, marked, line_table)
+    return attach(assemble(stored(verdicts, "verdicts"), texts, line_table), units(texts, marked))

@@ -1,6 +1,7 @@
 """Metadata of staged files inferred from their names and the text of their first pages, by ordered rules.
 
-Each inference is a struct (value, confidence, needs_review, evidence) column over `filename` and `head_text`.
+Each inference is a struct (value, confidence, needs_review, evidence) column over `filename` and `head_text`. What several rules
+look at is computed once a row (text.once).
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidex.functions.text import W, key_segment, single_spaced, split_lines, strip
+from evidex.functions.text import W, date_segment, hash8, key_segment, once, single_spaced, split_lines, strip
 
 # Keywords in their order, slugs, patterns.
 INSURERS = [("삼성생명", "samsunglife", "high"), ("삼성", "samsunglife", "medium"), ("교보생명", "kyobolife", "high"), ("교보", "kyobolife", "medium"), ("미래에셋생명", "miraeassetlife", "high"), ("미래에셋", "miraeassetlife", "medium")]
@@ -20,7 +21,7 @@ DISCLAIMER = "저축(연금) 목적"
 GENERIC = ["보험약관", "목 차", "목차", "고객권리안내문"]
 GENERIC_START = ["본 상품은 보장성보험으로", "목차", "목 차"]
 GUIDE_BOOK = "약관 이용 guide book"
-TOC_TRAIL = rf"(?:(?:[.\x{{b7}}\x{{2024}}\x{{2025}}\x{{2026}}‧…．]|{W}){{3,}}{W}*\d{{1,4}}{W}*)+$"
+TOC_LEAD = rf"[.\x{{b7}}\x{{2024}}\x{{2025}}\x{{2026}}‧…．{W[1:-1]}]"
 ISO = r"(20\d{2})-(\d{2})-(\d{2})"
 DOTTED = r"(20\d{2})\.(\d{2})\.(\d{2})"
 COMPACT = r"(20\d{2})(\d{2})(\d{2})"
@@ -36,11 +37,19 @@ def inference(value: Column | str, confidence: Column | str, review: Column | bo
 
 UNKNOWN = ("", "unknown", True, "none")
 
+#: Leaders and page numbers at the end of a line, each begun where no such stands before it: one pass, whatever the line's length.
+TOC_TRAIL = rf"(?<!{TOC_LEAD})(?<!{TOC_LEAD}{{3}}\d{{1,4}})(?:{TOC_LEAD}{{3,}}+\d{{1,4}}+)++{W}*+$"
 
-def hay() -> Column:
+
+def _whole() -> Column:
     return F.concat(F.col("filename"), F.lit("\n"), F.col("head_text"))
 
 
+def hay() -> Column:
+    """File name and head text, as `_whole` made them."""
+    return F.col("_hay")
+
+
 def _by_keyword(rules: list[tuple[str, str, str]]) -> Column:
     out = inference(*UNKNOWN)
     for word, value, confidence in reversed(rules):
@@ -65,7 +74,8 @@ def dataset_split() -> Column:
 
 
 def _disclaimer(line: Column) -> Column:
-    return F.contains(single_spaced(line), F.lit(DISCLAIMER))
+    # the first word holds no white space, so it is looked for first
+    return F.contains(line, F.lit(DISCLAIMER.split(" ")[0])) & F.contains(single_spaced(line), F.lit(DISCLAIMER))
 
 
 def _type_of(text: Column) -> Column:
@@ -76,12 +86,14 @@ def _type_of(text: Column) -> Column:
     return out
 
 
-def product_type(name: Column) -> Column:
-    """By name and file name first, then by the head text without disclaimer lines."""
-    named = strip(name)
-    first = _type_of(F.concat_ws("\n", F.when(named != "", named), F.when(F.col("filename") != "", F.col("filename"))))
-    kept = F.array_join(F.filter(split_lines("head_text"), lambda x: ~_disclaimer(x)), "\n")
-    second = _type_of(F.concat_ws("\n", kept, F.col("filename")))
+def _kept() -> Column:
+    """The head text without disclaimer lines."""
+    return F.array_join(F.filter(split_lines("head_text"), lambda x: ~_disclaimer(x)), "\n")
+
+
+def product_type() -> Column:
+    """By name and file name first (_first), then by the head text without disclaimer lines (_second)."""
+    named, first, second = strip("product_name.value"), F.col("_first"), F.col("_second")
     sure = F.when(named != "", "high").otherwise("medium")
     return (
         F.when(first.isNotNull(), inference(first["type"], sure, named == "", F.concat(F.lit("product_signal:"), first["hint"], F.lit(":primary"))))
@@ -105,16 +117,24 @@ def stem() -> Column:
     return F.regexp_replace("filename", r"(?<=.)\.[^.]+$", "")
 
 
-def product_name() -> Column:
-    lines = F.slice(F.filter(F.transform(split_lines("head_text"), single_spaced), lambda x: x != ""), 1, 40)
-    titles = F.filter(lines, lambda x: ~_generic(x))
+def _titles() -> Column:
+    """Of the first 40 lines that aren't blank, with single spaces: those that may be a title."""
+    lines = F.transform(F.slice(F.filter(split_lines("head_text"), lambda x: x.rlike(rf"[^{W[1:-1]}]")), 1, 40), single_spaced)
+    return F.filter(lines, lambda x: ~_generic(x))
+
+
+def _hits() -> Column:
+    """struct(w, x) of the titles x that hold a keyword w, by keyword and then by line."""
     words = F.array(*map(F.lit, NAME_WORDS))
-    hits = F.filter(F.flatten(F.transform(words, lambda w: F.transform(F.filter(titles, lambda x: F.contains(x, w)), lambda x: F.struct(w.alias("w"), x.alias("x"))))), lambda h: h["w"].isNotNull())
-    long = F.filter(titles, lambda x: F.length(x) >= 6)
+    return F.flatten(F.transform(words, lambda w: F.transform(F.filter("_titles", lambda x: F.contains(x, w)), lambda x: F.struct(w.alias("w"), x.alias("x")))))
+
+
+def product_name() -> Column:
+    hit, long = F.get("_hits", F.lit(0)), F.get(F.filter("_titles", lambda x: F.length(x) >= 6), F.lit(0))
     final = lambda c: F.substring(without_toc_trail(c), 1, 200)
     return (
-        F.when(F.size(hits) > 0, inference(final(F.get(hits, F.lit(0))["x"]), "high", False, F.concat(F.lit("pdf_text:keyword:"), F.get(hits, F.lit(0))["w"])))
-        .when(F.size(long) > 0, inference(final(F.get(long, F.lit(0))), "medium", True, "pdf_text:first_non_generic_line"))
+        F.when(hit.isNotNull(), inference(final(hit["x"]), "high", False, F.concat(F.lit("pdf_text:keyword:"), hit["w"])))
+        .when(long.isNotNull(), inference(final(long), "medium", True, "pdf_text:first_non_generic_line"))
         .when(stem() != "", inference(final(stem()), "low", True, "filename:stem_fallback"))
         .otherwise(inference(*UNKNOWN))
     )
@@ -129,8 +149,8 @@ def product_slug(name: Column, kind: Column) -> Column:
     return out
 
 
-def date_candidates() -> Column:
-    """Array of struct(rank, text_only, iso, evidence, confidence): the best of each date found, in order of preference."""
+def _dates_found() -> Column:
+    """Array of struct(rank, text_only, iso, order, evidence, confidence): every date found, in order of preference."""
 
     def found(source: Column, pattern: str, groups: tuple, tag: str, confidence: str, rank: int, place: bool) -> Column:
         def one(m: Column) -> Column:
@@ -161,11 +181,23 @@ def date_candidates() -> Column:
     valid = F.filter(F.concat(*lists), lambda c: c["iso"].isNotNull())
     # among equals for a date the first found stays: `order` is its place
     placed = F.transform(valid, lambda c, i: F.struct(c["rank"].alias("rank"), c["text_only"].alias("text_only"), c["iso"].alias("iso"), i.alias("order"), c["evidence"].alias("evidence"), c["confidence"].alias("confidence")))
-    ranked = F.array_sort(placed)
-    first = F.filter(ranked, lambda c, i: (i == 0) | ~F.exists(F.slice(ranked, F.lit(1), i), lambda b: b["iso"] == c["iso"]))
+    return F.array_sort(placed)
+
+
+def _best_dates() -> Column:
+    """Array of struct(iso, evidence, confidence): of the dates found, the first of each."""
+    isos = F.transform("_found", lambda c: c["iso"])
+    # a lambda's variable holds the dates, so that they are listed once
+    first = F.get(F.transform(F.array(isos), lambda seen: F.filter("_found", lambda c, i: F.array_position(seen, c["iso"]) == i + 1)), F.lit(0))
     return F.transform(first, lambda c: F.struct(c["iso"].alias("iso"), c["evidence"].alias("evidence"), c["confidence"].alias("confidence")))
 
 
+def date_candidates(files: DataFrame) -> DataFrame:
+    """files (filename, head_text, ...) with dates: array of struct(iso, evidence, confidence), the best of each date found, in order of preference."""
+    found = once(once(files, _hay=_whole()), _found=_dates_found())
+    return once(found, dates=_best_dates()).drop("_hay", "_found")
+
+
 def effective_date(found: Column) -> Column:
     c = F.get(found, F.lit(0))
     return F.when(F.size(found) > 0, inference(c["iso"], c["confidence"], (c["confidence"] != "high") | F.contains(c["evidence"], F.lit("inferred_day_01")), c["evidence"])).otherwise(inference(*UNKNOWN))
@@ -176,23 +208,29 @@ FIELDS = ["insurer", "document_type", "product_type", "effective_date", "product
 
 def inferred(files: DataFrame) -> DataFrame:
     """files (filename, head_text, ...) with an inference column for each of FIELDS, and dates."""
-    out = files.withColumns({"insurer": insurer(), "document_type": document_type(), "language": language(), "dataset_split": dataset_split(), "dates": date_candidates(), "product_name": product_name()})
-    out = out.withColumns({"effective_date": effective_date(F.col("dates")), "product_type": product_type(F.col("product_name.value"))})
-    return out.withColumn("product_slug", product_slug(F.col("product_name.value"), F.col("product_type.value")))
+    out = once(files, _hay=_whole(), _titles=_titles(), _kept=_kept())
+    out = once(out, _hits=_hits(), _found=_dates_found())
+    out = once(out, product_name=product_name(), dates=_best_dates())
+    named = strip("product_name.value")
+    first = _type_of(F.concat_ws("\n", F.when(named != "", named), F.when(F.col("filename") != "", F.col("filename"))))
+    out = once(out, _first=first, _second=_type_of(F.concat_ws("\n", "_kept", "filename")))
+    out = once(out, insurer=insurer(), document_type=document_type(), language=language(), dataset_split=dataset_split(), effective_date=effective_date(F.col("dates")), product_type=product_type())
+    out = once(out, product_slug=product_slug(F.col("product_name.value"), F.col("product_type.value")))
+    return out.drop("_hay", "_titles", "_kept", "_hits", "_found", "_first", "_second")
 
 
 def entries(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Manifest entries of files (filename, head_text, content_hash, and columns to keep): reason is '' for those that pass; others have nulls."""
     out = inferred(files)
-    reason = F.lit("")
+    reason = F.when(hash8("content_hash").isNull(), "content_hash_not_sha256").otherwise("")
     for field in ("effective_date", "product_type", "document_type", "insurer"):
         reason = F.when(strip(f"{field}.value") == "", f"{field}_not_inferred").otherwise(reason)
-    out = out.withColumn("reason", reason)
+    out = once(out, reason=reason)
     fine = F.col("reason") == ""
     value = lambda n: F.col(f"{n}.value")
-    key = F.concat_ws("_", *[key_segment(value(n)) for n in ("insurer", "product_type", "product_slug", "document_type")], F.replace(value("effective_date"), F.lit("-"), F.lit("")), F.substring(F.lower(strip("content_hash")), 1, 8))
+    key = F.concat_ws("_", *[key_segment(value(n)) for n in ("insurer", "product_type", "product_slug", "document_type")], date_segment(value("effective_date")), hash8("content_hash"))
     review = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"{n}.needs_review"), F.lit(n)) for n in FIELDS])))
-    out = out.withColumn("review", review).withColumn("key", key)
+    out = once(out, review=review, key=key)
     kept = {"document_id": F.col("key"), **{n: value(n) for n in FIELDS}, "source_file": F.concat(F.lit("data/raw/manual/"), "key", F.lit(".pdf")), "original_filename": F.col("filename"), "content_hash": F.col("content_hash"), "collection_method": F.lit("manual_inbox_rules"), "notes": F.when(F.size("review") > 0, F.concat(F.lit("rule_extract_needs_review:"), F.array_join("review", ","))).otherwise("")}
     inference_map = F.map_from_arrays(F.array(*map(F.lit, FIELDS)), F.array(*FIELDS))
     return out.select(*keep, "filename", "reason", *[F.when(fine, c).alias(f"entry_{n}") for n, c in kept.items()], F.when(fine, inference_map).alias("inference"))

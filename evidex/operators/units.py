@@ -7,7 +7,7 @@ from pyspark.sql import Window as W_
 from pyspark.sql import functions as F
 
 from evidex.functions.text import B, W, strip
-from evidex.operators.layout import page_at
+from evidex.operators.layout import as_of, text_lines, with_page
 
 # Markers and patterns that decide results.
 VARIANTS = "적립형|거치형|즉시형"
@@ -19,13 +19,11 @@ TAIL_HEADING = rf"(?m)^{W}*(?:약관에서{W}*인용(?:한|된){W}*법(?:[\s·.]
 TAIL_WORDS = ["약관에서인용된법령", "약관에서인용한법·규정", "약관에서 인용한 법·규정", "약관에서 인용된 법령", "보험용어해설", "보험용어 해설", "관련법규"]
 
 
-def markers(texts: DataFrame) -> DataFrame:
+def markers(texts: DataFrame, line_table: DataFrame | None = None) -> DataFrame:
     """document_id, offset, name, variant of every marker in full texts (document_id, full_text); repeats of the one before are dropped."""
-    split = F.split("full_text", "\n")
-    lines = texts.select("document_id", F.posexplode(split).alias("i", "line"))
-    order = W_.partitionBy("document_id").orderBy("i")
-    before = order.rowsBetween(W_.unboundedPreceding, -1)
-    placed = lines.select("document_id", "i", strip("line").alias("s"), F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("long").alias("offset"), F.lead(strip("line")).over(order).alias("after"))
+    order = W_.partitionBy("document_id").orderBy("offset")
+    lines = text_lines(texts) if line_table is None else line_table
+    placed = lines.select("document_id", "offset", strip("line").alias("s")).withColumn("after", F.lead("s").over(order))
     one, two = F.col("s").rlike(ONE_LINE), F.col("s").rlike(TWO_LINES) & F.coalesce(F.col("after").rlike(SECOND_LINE), F.lit(False))
     pick = lambda g: F.when(one, F.regexp_extract("s", ONE_LINE, g)).otherwise(F.regexp_extract("s", TWO_LINES, g))
     hits = placed.where(~F.col("s").rlike(SKIPPED) & (one | two)).select("document_id", "offset", strip(pick(1)).alias("name"), pick(2).alias("variant"))
@@ -46,7 +44,7 @@ def units(texts: DataFrame, marked: DataFrame) -> DataFrame:
     """Policy units of full texts (document_id, full_text, total_len, starts): id, name, variant, both ends (inclusive) and their pages, and the document's tail cutoff."""
     by = W_.partitionBy("document_id").orderBy("offset")
     last = F.col("next").isNull()
-    placed = marked.withColumns({"number": F.row_number().over(by) - 1, "next": F.lead("offset").over(by)}).join(texts.select("document_id", "total_len", "starts"), "document_id")
+    placed = marked.withColumns({"number": F.row_number().over(by) - 1, "next": F.lead("offset").over(by)}).join(texts.select("document_id", "total_len"), "document_id")
     # a document's text meets its last marker only
     tails = placed.where(last).select("document_id", "offset").join(texts.select("document_id", "full_text"), "document_id").select("document_id", tail_offset(F.col("full_text"), F.col("offset")).alias("tail_cutoff"))
     joined = placed.join(tails, "document_id").withColumn("tail", F.when(last, F.col("tail_cutoff")))
@@ -55,26 +53,26 @@ def units(texts: DataFrame, marked: DataFrame) -> DataFrame:
     cut = F.col("tail") - 1
     end = F.when(last & (cut >= F.col("offset")) & (cut <= F.col("total_len") - 1), cut).otherwise(F.col("plain_end"))
     joined = joined.withColumn("end_offset", end)
-    page = lambda c: page_at(F.col(c), F.col("starts"), F.col("total_len"))
+    joined = with_page(joined.drop("total_len"), texts, F.col("offset"), "start_page")
+    joined = with_page(joined, texts, F.col("end_offset"), "end_page")
     return joined.select(
         "document_id",
         F.format_string("%s::pu::%04d", "document_id", "number").alias("policy_unit_id"),
         F.col("name").alias("policy_unit_name"),
         F.col("variant").alias("variant_name"),
-        page("offset").alias("start_page"),
+        "start_page",
         F.col("offset").alias("start_char_offset"),
-        page("end_offset").alias("end_page"),
+        "end_page",
         F.col("end_offset").alias("end_char_offset"),
         "tail_cutoff",
     )
 
 
 def attach(sections: DataFrame, unit_table: DataFrame) -> DataFrame:
-    """sections with policy_unit_id, policy_unit_name, variant_name of the first unit that holds their start; none from the tail cutoff on."""
-    u = unit_table.select("document_id", F.col("start_char_offset").alias("u_start"), F.col("end_char_offset").alias("u_end"), "tail_cutoff", "policy_unit_id", "policy_unit_name", "variant_name")
-    at = F.col("start_char_offset")
-    inside = at.between(F.col("u_start"), F.col("u_end")) & (F.col("tail_cutoff").isNull() | (at < F.col("tail_cutoff")))
-    held = sections.select("document_id", "section_id", "start_char_offset").join(u, "document_id").where(inside)
-    first = held.groupBy("document_id", "section_id").agg(F.min(F.struct("u_start", "policy_unit_id", "policy_unit_name", "variant_name")).alias("u"))
+    """sections with policy_unit_id, policy_unit_name, variant_name of the unit that holds their start; none from the tail cutoff on. Units of a document follow one another."""
     names = ("policy_unit_id", "policy_unit_name", "variant_name")
-    return sections.drop(*names).join(first.select("document_id", "section_id", *[f"u.{n}" for n in names]), ["document_id", "section_id"], "left")
+    u = unit_table.select("document_id", F.col("start_char_offset").alias("u_start"), F.col("end_char_offset").alias("u_end"), "tail_cutoff", *names)
+    at = F.col("start_char_offset")
+    held = as_of(sections.drop(*names), at, u, "u_start", "_u")
+    inside = (at <= F.col("_u.u_end")) & (F.col("_u.tail_cutoff").isNull() | (at < F.col("_u.tail_cutoff")))
+    return held.withColumns({n: F.when(inside, F.col(f"_u.{n}")) for n in names}).drop("_u")

@@ -240,8 +240,8 @@ def q_explode_lines(spark, sf_dir):
 def q_page_for_offset(spark, sf_dir):
     pages = pages_of(spark, sf_dir)
     asked = layout.lines(pages).select("document_id", F.col("offset").cast("long").alias("offset"))
-    out = asked.join(layout.full_text(pages), "document_id")
-    return out.select("document_id", "offset", layout.page_at(F.col("offset"), F.col("starts"), F.col("total_len")).cast("long").alias("page")).distinct()
+    out = layout.with_page(asked, layout.full_text(pages), F.col("offset"), "page")
+    return out.select("document_id", "offset", F.col("page").cast("long").alias("page")).distinct()
 
 
 # regions, candidates, sections, units
@@ -383,11 +383,12 @@ def _case(rules: list[tuple[str, str]], other: str = "''") -> str:
 
 _INSURER_SQL = _case([(f"contains({_HAY}, '{w}')", f"'{v}|{c}|keyword:{w}'") for w, v, c in staging.INSURERS], "'|unknown|none'")
 _DOCTYPE_SQL = _case([(f"contains({_HAY}, '{w}')", f"'{v}|{c}|keyword:{w}'") for w, v, c in staging.DOCUMENT_TYPES], "'|unknown|none'")
+_TOC_TRAIL = f"(?:{staging.TOC_LEAD}{{3,}}[0-9]{{1,4}}{T.W}*)+$"
 _LINES_SQL = f"list_filter(list_transform({O.lines('head_text')}, lambda x: {O.spaced('x')}), lambda x: x <> '')[1:40]"
 _GENERIC_SQL = f"(contains(x, '{staging.DISCLAIMER}') OR x IN ('보험약관', '목 차', '목차', '고객권리안내문') OR contains(x, '고객권리안내문') OR contains(lower(x), '{staging.GUIDE_BOOK}') OR starts_with(x, '본 상품은 보장성보험으로') OR starts_with(x, '목차') OR starts_with(x, '목 차'))"
 _NAME_SQL = f"""n0 AS (SELECT *, list_filter({_LINES_SQL}, lambda x: NOT {_GENERIC_SQL}) AS titles FROM f),
 n1 AS (SELECT *, {_case([(f"len(list_filter(titles, lambda x: contains(x, '{w}'))) > 0", f"'{w}'") for w in staging.NAME_WORDS], "NULL")} AS word, list_filter(titles, lambda x: length(x) >= 6)[1] AS long_line, regexp_replace(filename, '(.)\\.[^.]+$', '\\1') AS stem FROM n0),
-n2 AS (SELECT *, substr({O.strip(f"regexp_replace({O.strip('coalesce(list_filter(titles, lambda x: contains(x, word))[1], long_line, stem)')}, {O.q(staging.TOC_TRAIL)}, '')")}, 1, 200) AS product_name,
+n2 AS (SELECT *, substr({O.strip(f"regexp_replace({O.strip('coalesce(list_filter(titles, lambda x: contains(x, word))[1], long_line, stem)')}, {O.q(_TOC_TRAIL)}, '')")}, 1, 200) AS product_name,
   CASE WHEN word IS NOT NULL THEN 'high|pdf_text:keyword:' || word WHEN long_line IS NOT NULL THEN 'medium|pdf_text:first_non_generic_line' WHEN stem <> '' THEN 'low|filename:stem_fallback' ELSE 'unknown|none' END AS name_how FROM n1)"""
 
 
@@ -438,7 +439,8 @@ dt AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY doc_id, iso ORDER
 
 @query(f"{_STAGED}, {_dates_sql()} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank, NOT named, iso) - 1 AS place, iso, evidence, confidence FROM dt")
 def q_date_candidates(spark, sf_dir):
-    out = staged(spark, sf_dir).select("doc_id", F.posexplode(staging.date_candidates()).alias("place", "c"))
+    out = staged(spark, sf_dir).select("doc_id", "filename", "head_text")
+    out = staging.date_candidates(out).select("doc_id", F.posexplode("dates").alias("place", "c"))
     return out.select("doc_id", F.col("place").cast("long").alias("place"), "c.iso", "c.evidence", "c.confidence")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 SHOWN = 50
 
@@ -21,24 +22,43 @@ def listed(pages: list[Row], most: int = SHOWN) -> str:
 
 
 def ingestion_report(per_document: DataFrame, corpus: DataFrame, suspicious: DataFrame, most: int = 1000) -> str:
-    """Markdown over the corpus and up to `most` documents, those with the most low pages first."""
+    """Markdown over the corpus and up to `most` documents, those with the most low pages first, and how many more there are."""
     total = corpus.first()
-    worst = per_document.orderBy("low_pages", ascending=False).limit(most).collect()
+    ordered = per_document.orderBy(F.desc("low_pages"), "document_id")
+    worst, more = _first(ordered, most)
     pages: dict[str, list] = {}
-    for r in suspicious.join(per_document.orderBy("low_pages", ascending=False).limit(most).select("document_id"), "document_id").orderBy("document_id", "page_number").collect():
+    for r in suspicious.join(ordered.limit(most).select("document_id"), "document_id").orderBy("document_id", "page_number").collect():
         pages.setdefault(r["document_id"], []).append(r)
     lines = ["# Ingestion quality report", "", *_table(list(total.asDict().items()), ("Metric", "Value")), "", "## Per document", ""]
     for r in worst:
         fields = [(k, f"{v:.2f}" if k == "avg_chars" else v) for k, v in r.asDict().items() if k != "document_id"]
         lines += [f"### `{r['document_id']}`", "", *_table([*fields, ("suspicious_pages", listed(pages.get(r["document_id"], [])))], ("Field", "Value")), ""]
+    lines += more
     return "\n".join(lines).rstrip() + "\n"
 
 
+def run_summary_text(totals: DataFrame, counts: DataFrame, most: int = 1000) -> str:
+    """A chunking run for a terminal, from run_totals and run_summary: totals, then up to `most` keys of each kind and how many more there are."""
+    t = totals.first()
+    lines = ["chunking run", f"  documents_processed: {t['documents_processed']}", f"  total_chunks: {t['total_chunks']}", f"  average_chars_per_chunk: {t['average_chars']:.1f}", f"  max_chars_per_chunk: {t['max_chars']}"]
+    for kind, title in (("document", "chunks_per_document"), ("section_type", "chunks_by_section_type"), ("variant", "chunks_by_variant_name")):
+        rows, more = _first(counts.where(counts["kind"] == kind).orderBy("key"), most)
+        lines += [f"  {title}:", *(f"    - {r['key']}: {r['n']}" for r in rows), *more]
+    return "\n".join(lines) + "\n"
+
+
+def _first(rows: DataFrame, most: int) -> tuple[list[Row], list[str]]:
+    """The first rows, and a line that says how many are left out, if any are."""
+    shown = rows.limit(most).collect()
+    left = rows.count() - most if len(shown) == most else 0
+    return shown, [f"… (+{left} more)"] if left > 0 else []
+
+
 def chunk_report(inspected: DataFrame, groups: DataFrame, largest: DataFrame) -> str:
     lines = ["# Chunk report", "", *_table(list(inspected.first().asDict().items()), ("Metric", "Value")), ""]
     for kind in ("section_type", "variant", "strategy"):
-        rows = [(r["key"], r["n"]) for r in groups.where(groups["kind"] == kind).orderBy("key").limit(1000).collect()]
-        lines += [f"## By {kind}", "", *_table(rows, (kind, "chunks")), ""]
+        rows, more = _first(groups.where(groups["kind"] == kind).orderBy("key"), 1000)
+        lines += [f"## By {kind}", "", *_table([(r["key"], r["n"]) for r in rows], (kind, "chunks")), *more, ""]
     return "\n".join([*lines, "## Largest", "", *_table([tuple(r) for r in largest.collect()], ("document", "chunk", "type", "characters"))]) + "\n"
 
 

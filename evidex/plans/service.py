@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidex.functions.embedders import Embedder, ModularEmbedder
@@ -42,16 +43,21 @@ def health() -> tuple[int, dict]:
 
 
 def options(spark: SparkSession, folder: str, most: int = 10_000) -> tuple[int, dict]:
-    """The values that searches can filter by, up to `most` of each kind, as a menu shows them."""
+    """The values that searches can filter by, the first `most` of each kind, as a menu shows them; `more` says how many of a kind are left out."""
     if not folder.strip():
         return 422, {"detail": "index_dir must be non-empty"}
     try:
         index, _ = read_index(spark, folder.strip())
     except FileNotFoundError as e:
         return 404, {"detail": str(e)}
-    found = identity.filter_options(index).orderBy("dimension", "value").limit(5 * most).collect()
+    found = identity.filter_options(index)
+    counts = {r["dimension"]: r["count"] for r in found.groupBy("dimension").count().collect()}
+    placed = found.withColumn("place", F.row_number().over(W.partitionBy("dimension").orderBy("value")))
+    found = placed.where(F.col("place") <= most).orderBy("dimension", "value").collect()
     names = ("insurers", "product_types", "product_names", "variant_names", "policy_unit_names")
-    return 200, {n: [{"value": r["value"], "label": r["label"]} for r in found if r["dimension"] == n] for n in names}
+    menus = {n: [{"value": r["value"], "label": r["label"]} for r in found if r["dimension"] == n] for n in names}
+    more = {d: n - most for d, n in counts.items() if n > most}
+    return 200, menus | ({"more": more} if more else {})
 
 
 def context(spark: SparkSession, request: dict, embedder: Embedder | None = None, runner: Callable[..., dict] = citation_context) -> tuple[int, dict]:

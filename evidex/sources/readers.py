@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,8 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidex.sources.folders import exists
+
 MANIFEST = "document_id string, insurer string, product_name string, product_type string, product_slug string, document_type string, effective_date string, source_file string, original_filename string, source_url string, content_hash string, collection_method string, dataset_split string, language string, tags array<string>, notes string"
 PAGE = "document_id string, page_number int, text string, char_count int, extraction_method string"
 SECTION = "document_id string, section_id string, section_type string, title string, start_page int, end_page int, start_char_offset bigint, end_char_offset bigint, parent_section_id string, text string, assembly_confidence double, assembly_evidence array<string>, policy_unit_id string, policy_unit_name string, variant_name string"
@@ -44,6 +47,11 @@ def resolved(source_file: str, root: str) -> str:
     return os.path.normpath(os.path.join(root, source_file))
 
 
+def source_path(source: str, root: str) -> str:
+    """Where a file to stage is: an absolute path (or one from the user's home) as it is, else below root."""
+    return os.path.realpath(os.path.join(root, os.path.expanduser(source)))
+
+
 def retrieval_queries(spark: SparkSession, path: str) -> DataFrame:
     """id, query, insurer, product_type, variant_name, expected_titles, expected_types, top_k, dedupe_section."""
     try:
@@ -64,6 +72,18 @@ def form_feed_pages(content: bytes) -> list[str]:
     return content.decode("utf-8", "replace").split("\f")
 
 
+def pdf_pages(content: bytes) -> list[str]:
+    """The texts of a PDF's pages; where PyMuPDF or pypdf is installed."""
+    try:
+        import pymupdf
+    except ModuleNotFoundError:
+        import pypdf
+
+        return [p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(content)).pages]
+    with pymupdf.open(stream=content, filetype="pdf") as document:
+        return [p.get_text() for p in document]
+
+
 def files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     """path, filename, content, content_hash of the files of a folder."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
@@ -95,14 +115,55 @@ def verified(listed: DataFrame, found: DataFrame) -> DataFrame:
     return listed.join(have, "path", "left").withColumn("problem", problem)
 
 
-def artifacts(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    """Rows of the `sections` or `chunks` of a folder's *.{kind}.json files, one artifact a file."""
+def require_verified(checked: DataFrame) -> DataFrame:
+    """Rows of `verified`, or an error for the first by path that has a problem: FileNotFoundError or ValueError."""
+    first = checked.where("problem is not null").orderBy("path").select("path", "problem").first()
+    if first:
+        raise (FileNotFoundError if first["problem"] == "missing_file" else ValueError)(f"{first['problem']}: {first['path']}")
+    return checked
+
+
+def _nested(schema: str) -> str:
+    return ", ".join(f"{x.split(' ', 1)[0]}: {x.split(' ', 1)[1]}" for x in schema.split(", "))
+
+
+def artifacts(spark: SparkSession, folder: str, kind: str, required: bool = False) -> DataFrame:
+    """Rows of the `sections` or `chunks` of a folder's *.{kind}.json files, one artifact a file.
+
+    A folder that isn't there has no rows; with `required` it is a FileNotFoundError, and one without such files a ValueError.
+    """
     schema = {"sections": SECTION, "chunks": CHUNK}[kind]
-    nested = ", ".join(f"{x.split(' ', 1)[0]}: {x.split(' ', 1)[1]}" for x in schema.split(", "))
-    raw = spark.read.schema(f"document_id string, {kind} array<struct<{nested}>>").option("multiLine", True).option("pathGlobFilter", f"*.{kind}.json").json(folder)
+    if not exists(spark, folder):
+        if required:
+            raise FileNotFoundError(f"{kind} folder not found: {folder}")
+        return spark.createDataFrame([], schema)
+    raw = _artifact_files(spark, folder, kind, f"document_id string, {kind} array<struct<{_nested(schema)}>>")
+    if required and raw.isEmpty():
+        raise ValueError(f"no *.{kind}.json files in {folder}")
     return raw.select(F.explode(kind).alias("r")).select("r.*")
 
 
+def _artifact_files(spark: SparkSession, folder: str, kind: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", f"*.{kind}.json").json(folder)
+
+
+def chunk_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """document_id, max_chars of the *.chunks.json files of a folder; of several files of a document the last by name counts."""
+    raw = _artifact_files(spark, folder, "chunks", "document_id string, chunking_config struct<max_chars: int>")
+    last = F.max_by("chunking_config.max_chars", F.col("_metadata.file_name"))
+    return raw.groupBy("document_id").agg(last.alias("max_chars"))
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """document_id, page_count, total_char_count, pages of a folder's *.json documents."""
-    return spark.read.schema(DOCUMENT_FILE).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+    """document_id, page_count, total_char_count, pages of a folder's *.json documents, in the order of their paths. No such folder: FileNotFoundError."""
+    if not exists(spark, folder):
+        raise FileNotFoundError(f"documents folder not found: {folder}")
+    found = spark.read.schema(DOCUMENT_FILE).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
+    return found.select("*", F.col("_metadata.file_path").alias("_path")).orderBy("_path").drop("_path")
+
+
+def inbox(spark: SparkSession, folder: str) -> DataFrame:
+    """The *.pdf files of an inbox, in the order of their paths; maybe none. No such folder: FileNotFoundError."""
+    if not exists(spark, folder):
+        raise FileNotFoundError(f"inbox not found: {folder}")
+    return files(spark, folder).orderBy("path")

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written under spark.checkpoint.dir (a folder of our own where that is unset) and read again.
+    """df written under spark.checkpoint.dir (where that is unset: a folder of our own in local mode, else RuntimeError) and read again.
 
     What several later steps read is computed once, plans stay short, and a lost executor costs nothing made before.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
