@@ -112,8 +112,9 @@ def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = Non
 def license_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, text_digest, license (of the whole text, or null), n_notices (lines that are a known text), licenses (all found, sorted, joined by commas) of every row.
 
-    known: digest, license; joined by hash, and broadcast only as far as Spark knows its size to be small.
+    known: digest, license; written once, so that Spark knows its size and broadcasts it only if that is small.
     """
+    known = written(known, "license-known")
     number = F.monotonically_increasing_id().alias("number")
     rows = written(docs.select(number, F.col("doc_id").cast("long").alias("doc_id"), canonical(F.col("text")).alias("t")), "license-forms")
     whole = rows.select("number", "doc_id", F.sha2(joined(F.col("t")), 256).alias("text_digest"))
