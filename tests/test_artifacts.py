@@ -9,6 +9,7 @@ import pytest
 import yaml
 from pyspark.sql import functions as F
 
+from evidex.__main__ import main
 from evidex.functions import text as T
 from evidex.functions.embedders import ModularEmbedder
 from evidex.operators import chunking, layout, search, sections, staging
@@ -176,3 +177,22 @@ def test_search_many_in_blocks(spark):
                 best.append(row[0])
             assert hits.get(q, []) == best[: max(k, 1)]
     assert search.search_many(index, queries.limit(0)).count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    at = lambda name: f"{tmp_path}/{name}"
+    writers.write_documents(pages(spark, "무배당 연금(적립형) 약관\n제1조 (목적)\n" + PROSE, "제2조 (정의)\n" + PROSE), at("docs"))
+    run = lambda *a: (main(list(a)), capsys.readouterr())
+    assert run("sections", at("docs"), at("sections"))[0] == 0
+    code, said = run("chunks", at("sections"), at("chunks"), "--max-chars", "120", "--overlap-chars", "20")
+    assert code == 0 and "documents_processed: 1" in said.out
+    assert "| over_max | 0 |" in run("inspect", at("chunks"))[1].out and "# Ingestion quality report" in run("quality", at("docs"))[1].out
+    assert run("index", at("chunks"), at("index"))[0] == 0
+    code, said = run("search", at("index"), "보험금", "--top-k", "2")
+    assert code == 0 and [c["citation_id"] for c in json.loads(said.out)["citations"]] == ["C1", "C2"]
+    assert run("search", at("index"), "보험금", "--insurer", "nobody")[0] == 1
+    assert run("sections", at("none"), at("x"))[0] == 2 and run("stage", at("none"), at("root"))[0] == 2
+    os.makedirs(at("inbox"))
+    open(at("inbox/b.pdf"), "w").write("nothing")
+    code, said = run("stage", at("inbox"), at("root"))
+    assert code == 3 and "preview only" in said.out and "insurer_not_inferred" in said.out
