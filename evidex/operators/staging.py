@@ -93,7 +93,7 @@ def _kept() -> Column:
 
 def product_type() -> Column:
     """By name and file name first (_first), then by the head text without disclaimer lines (_second)."""
-    named, first, second = strip("product_name.value"), F.col("_first"), F.col("_second")
+    named, first, second = strip("_name"), F.col("_first"), F.col("_second")
     sure = F.when(named != "", "high").otherwise("medium")
     return (
         F.when(first.isNotNull(), inference(first["type"], sure, named == "", F.concat(F.lit("product_signal:"), first["hint"], F.lit(":primary"))))
@@ -210,13 +210,14 @@ def inferred(files: DataFrame) -> DataFrame:
     """files (filename, head_text, ...) with an inference column for each of FIELDS, and dates."""
     out = once(files, _hay=_whole(), _titles=_titles(), _kept=_kept())
     out = once(out, _hits=_hits(), _found=_dates_found())
-    out = once(out, product_name=product_name(), dates=_best_dates())
-    named = strip("product_name.value")
+    # fields that a later step looks at are columns of their own: Spark's pruning of nested columns loses them behind a generator
+    out = once(out, product_name=product_name(), _name=product_name()["value"], dates=_best_dates())
+    named = strip("_name")
     first = _type_of(F.concat_ws("\n", F.when(named != "", named), F.when(F.col("filename") != "", F.col("filename"))))
     out = once(out, _first=first, _second=_type_of(F.concat_ws("\n", "_kept", "filename")))
-    out = once(out, insurer=insurer(), document_type=document_type(), language=language(), dataset_split=dataset_split(), effective_date=effective_date(F.col("dates")), product_type=product_type())
-    out = once(out, product_slug=product_slug(F.col("product_name.value"), F.col("product_type.value")))
-    return out.drop("_hay", "_titles", "_kept", "_hits", "_found", "_first", "_second")
+    out = once(out, insurer=insurer(), document_type=document_type(), language=language(), dataset_split=dataset_split(), effective_date=effective_date(F.col("dates")), product_type=product_type(), _type=product_type()["value"])
+    out = once(out, product_slug=product_slug(F.col("_name"), F.col("_type")))
+    return out.drop("_hay", "_titles", "_kept", "_hits", "_found", "_name", "_first", "_second", "_type")
 
 
 def entries(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -225,12 +226,12 @@ def entries(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     reason = F.when(hash8("content_hash").isNull(), "content_hash_not_sha256").otherwise("")
     for field in ("effective_date", "product_type", "document_type", "insurer"):
         reason = F.when(strip(f"{field}.value") == "", f"{field}_not_inferred").otherwise(reason)
-    out = once(out, reason=reason)
+    out = out.withColumn("reason", reason)
     fine = F.col("reason") == ""
     value = lambda n: F.col(f"{n}.value")
     key = F.concat_ws("_", *[key_segment(value(n)) for n in ("insurer", "product_type", "product_slug", "document_type")], date_segment(value("effective_date")), hash8("content_hash"))
     review = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"{n}.needs_review"), F.lit(n)) for n in FIELDS])))
-    out = once(out, review=review, key=key)
+    out = out.withColumns({"review": review, "key": key})
     kept = {"document_id": F.col("key"), **{n: value(n) for n in FIELDS}, "source_file": F.concat(F.lit("data/raw/manual/"), "key", F.lit(".pdf")), "original_filename": F.col("filename"), "content_hash": F.col("content_hash"), "collection_method": F.lit("manual_inbox_rules"), "notes": F.when(F.size("review") > 0, F.concat(F.lit("rule_extract_needs_review:"), F.array_join("review", ","))).otherwise("")}
     inference_map = F.map_from_arrays(F.array(*map(F.lit, FIELDS)), F.array(*FIELDS))
     return out.select(*keep, "filename", "reason", *[F.when(fine, c).alias(f"entry_{n}") for n, c in kept.items()], F.when(fine, inference_map).alias("inference"))

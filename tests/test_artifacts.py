@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from evidex.__main__ import main
 from evidex.functions import text as T
 from evidex.functions.embedders import ModularEmbedder
-from evidex.operators import chunking, layout, search, sections, staging
+from evidex.operators import chunking, layout, regions, search, sections, staging, units
 from evidex.plans import reports, service, staging_run
 from evidex.sources import readers, writers
 
@@ -148,6 +148,23 @@ def test_a_long_document_takes_linear_time(spark):
     assert seconds(60_000) < 30 + 20 * seconds(6_000)
 
 
+def test_columns_can_be_read_alone(spark):
+    """Nested columns are pruned apart for each choice of columns."""
+    files = spark.createDataFrame([("교보생명 20240115.pdf", "교보생명 보험약관\n무배당 연금보험 ..... 3", "0" * 64), ("x", "", "1" * 64)], "filename string, head_text string, content_hash string")
+    for df in (staging.inferred(files), staging.entries(files), staging.date_candidates(files)):
+        every = df.collect()
+        nested = [f"{f.name}.value" for f in df.schema if f.dataType.typeName() == "struct"]
+        for name in df.columns + nested:
+            want = [r[name] if name in df.columns else r[name.split(".")[0]][name.split(".")[1]] for r in every]
+            assert [r[0] for r in df.select(name).collect()] == want
+    p = pages(spark, "제1조 (목적)\n" + PROSE, "별표 1 지급기준표\n" + PROSE)
+    texts = layout.full_text(p)
+    verdicts = sections.judged(sections.candidates(p), regions.classify(p), texts, units.markers(texts))
+    every = verdicts.orderBy("start_char_offset").collect()
+    for name in ("emit", "trace", "assembly_confidence", "next_mark", "title"):
+        assert [r[0] for r in verdicts.orderBy("start_char_offset").select(name).collect()] == [r[name] for r in every]
+
+
 def test_pages_as_of_offsets(spark):
     p = pages(spark, "ab\ncd", "", "e\n")
     texts = layout.full_text(p)
