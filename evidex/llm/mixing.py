@@ -34,7 +34,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK = 128
 SHARD = 1024
-SEGMENTS = 256
+SEGMENTS = 4096
 RUN = 4096
 SHARDS_A_RUN = 4096
 ROUNDS = 24
