@@ -5,11 +5,13 @@ from __future__ import annotations
 from evidex.llm.byte_bpe import op10_byte_bpe
 from evidex.llm.embedding_dedup import LOOSE_SQL, OP7_SQL, embedding_links_loose, op7_embedding_dedup
 from evidex.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from evidex.llm.fill_in_middle import OP12_SQL, op12_fill_in_middle
 from evidex.llm.kneser_ney import op4_kneser_ney
 from evidex.llm.license_scan import op8_license_scan
 from evidex.llm.license_sql import OP8_SQL
 from evidex.llm.line_dedup import OP3_SQL, op3_line_dedup
 from evidex.llm.mixing import op5_mixing
+from evidex.llm.piece_bpe import op11_piece_bpe
 from evidex.llm.quality import op2_quality
 from evidex.llm.simhash_dedup import op1_simhash_dedup
 from evidex.llm.toxicity import op9_toxicity
@@ -25,6 +27,15 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_piece_bpe": op11_piece_bpe,
+    "op12_fill_in_middle": op12_fill_in_middle,
     "embedding_links_loose": embedding_links_loose,
 }
-ORACLES = {"op3_line_dedup": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op8_license_scan": OP8_SQL, "embedding_links_loose": LOOSE_SQL}
+ORACLES = {
+    "op3_line_dedup": OP3_SQL,
+    "op6_exact_dedup": OP6_SQL,
+    "op7_embedding_dedup": OP7_SQL,
+    "op8_license_scan": OP8_SQL,
+    "op12_fill_in_middle": OP12_SQL,
+    "embedding_links_loose": LOOSE_SQL,
+}
