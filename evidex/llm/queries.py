@@ -10,6 +10,8 @@ from evidex.llm.kneser_ney import op4_kneser_ney
 from evidex.llm.license_scan import op8_license_scan
 from evidex.llm.license_sql import OP8_SQL
 from evidex.llm.line_dedup import OP3_SQL, op3_line_dedup
+from evidex.llm.merkle import op13_merkle_manifest
+from evidex.llm.merkle_sql import OP13_SQL
 from evidex.llm.mixing import op5_mixing
 from evidex.llm.piece_bpe import op11_piece_bpe
 from evidex.llm.quality import op2_quality
@@ -29,6 +31,7 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_piece_bpe": op11_piece_bpe,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "embedding_links_loose": embedding_links_loose,
 }
 ORACLES = {
@@ -37,5 +40,6 @@ ORACLES = {
     "op7_embedding_dedup": OP7_SQL,
     "op8_license_scan": OP8_SQL,
     "op12_fill_in_middle": OP12_SQL,
+    "op13_merkle_manifest": OP13_SQL,
     "embedding_links_loose": LOOSE_SQL,
 }
