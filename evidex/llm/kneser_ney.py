@@ -12,10 +12,13 @@ uniform 1 / (V + 1). Unseen contexts give P(w).
 Counting: tasks hash words to 64 bits, count a few million tokens at a time by sorting, and send packed runs of (context,
 word, count), dealt by the context's hash; contexts with over 1 / HOT of all tokens (so fewer than HOT) are dealt by the whole
 bigram. A bucket's runs are merged to sorted arrays and saved once in the shared folder, where a later task or a retry finds
-them. A 64-bit hash stands for a word or bigram; two share one with a chance of about n^2 / 2^65.
+them. Buckets hold about ROWS_A_BUCKET tokens, so their number grows with the text; they are shuffled as at most PARTS groups
+of consecutive buckets, whose runs are cut by bucket and sorted by Spark, on disk where need be, in the task that merges them.
+A 64-bit hash stands for a word or bigram; two share one with a chance of about n^2 / 2^65.
 
-Storage: files `<name>-<bucket>.npy`; workers map them and look up a batch's sorted hashes, so that reads run forward. Where a
-store can't be mapped, arrays are read whole, and those used longest ago are let go beyond KEPT bytes.
+Storage: three files a bucket, of arrays one after another; workers map them and look up a batch's sorted hashes, so that
+reads run forward. At most OPEN files are mapped at a time, those used longest ago are let go. Where a store can't be mapped,
+files are read whole, and let go beyond KEPT bytes too.
 
 Odd input: null is the empty text, of one token; without training rows every text has N = 0, V = 0 and base_score and score
 are those of the empty model; rows that repeat count as often; other columns are not looked at.
@@ -24,6 +27,7 @@ are those of the empty model; rows that repeat count as often; other columns are
 from __future__ import annotations
 
 import io
+import mmap
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
@@ -42,6 +46,8 @@ TOKENS = 2_500_000
 SCORED = 700_000
 HOT = 512
 ROWS_A_BUCKET = 1_500_000
+PARTS = 4096
+OPEN = 64
 KEPT = 256 << 20
 BEGIN = np.uint64(0x51ED270B7F3A4C15)
 END = np.uint64(0xA24BAED4963EE407)
@@ -79,30 +85,41 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
 # files of arrays
 
 
-def save(folder: str, name: str, array: np.ndarray) -> None:
+def save(folder: str, name: str, *arrays: np.ndarray) -> None:
     """Written under another name and then moved, so that a file is whole or absent whichever attempt wrote it."""
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
     body = io.BytesIO()
-    np.save(body, array)
+    for array in arrays:
+        body.write(b"\0" * (-body.tell() % 64))
+        np.save(body, array)
     other = f"{path}/.{name}-{uuid.uuid4().hex}"
     with store.open_output_stream(other) as f:
         f.write(body.getbuffer())
     store.move(other, f"{path}/{name}.npy")
 
 
-def load(folder: str, name: str) -> np.ndarray:
-    """Mapped to memory where the folder is mounted; read whole from other stores."""
+def load(folder: str, name: str) -> list[np.ndarray] | None:
+    """The arrays of a file, if there is one: mapped to memory where the folder is mounted, read whole from other stores."""
     store, path = fs.FileSystem.from_uri(folder)
+    path = f"{path}/{name}.npy"
+    if store.get_file_info(path).type != fs.FileType.File:
+        return None
     if isinstance(store, fs.LocalFileSystem):
-        return np.load(f"{path}/{name}.npy", mmap_mode="r")
-    with store.open_input_stream(f"{path}/{name}.npy") as f:
-        return np.load(io.BytesIO(f.read()))
-
-
-def exists(folder: str, name: str) -> bool:
-    store, path = fs.FileSystem.from_uri(folder)
-    return store.get_file_info(f"{path}/{name}.npy").type == fs.FileType.File
+        with open(path, "rb") as f:
+            whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    else:
+        with store.open_input_stream(path) as f:
+            whole = io.BytesIO(f.read()).getbuffer()
+    found, at = [], 0
+    while at < len(whole):
+        head = io.BytesIO(whole[at : at + 256])
+        np.lib.format.read_magic(head)
+        shape, _, kind = np.lib.format.read_array_header_1_0(head)
+        found.append(np.frombuffer(whole, kind, int(np.prod(shape)), at + head.tell()).reshape(shape))
+        at += head.tell() + found[-1].nbytes
+        at += -at % 64
+    return found
 
 
 # counting
@@ -117,6 +134,46 @@ def _packed(columns: list[np.ndarray], bucket: np.ndarray) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), *parts], ["bucket", *"abcd"[: len(parts)]])
 
 
+class Numbers:
+    """How (hash, number) is packed in rows of a bucket."""
+
+    shape = "bucket int, a binary, b binary"
+
+    @staticmethod
+    def pack(arrays: tuple[np.ndarray, ...], bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(bucket, kind="stable")
+        yield from _packed([c[order] for c in arrays], bucket[order])
+
+    @staticmethod
+    def unpack(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+        return _view(rows[0], np.uint64), _view(rows[1], np.uint32)
+
+
+class Followers:
+    """How (context, word, number) is packed in rows of a bucket: contexts as their runs' starts, which pack well."""
+
+    shape = "bucket int, a binary, b binary, c binary, d binary"
+
+    @staticmethod
+    def pack(arrays: tuple[np.ndarray, ...], bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
+        before, tokens, n = arrays
+        order = np.lexsort((before, bucket))
+        before, tokens, n, bucket = before[order], tokens[order], n[order], bucket[order]
+        head = np.union1d(runs(before), runs(bucket))
+        length = np.diff(np.append(head, len(before))).astype(np.uint32)
+        cut, ends = runs(bucket), np.append(runs(bucket)[1:], len(bucket))
+        rows = []
+        for a, b in zip(cut, ends):
+            i, j = np.searchsorted(head, (a, b))
+            rows.append((int(bucket[a]), before[head[i:j]].tobytes(), length[i:j].tobytes(), tokens[a:b].tobytes(), n[a:b].tobytes()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows))], ["bucket", *"abcd"])
+
+    @staticmethod
+    def unpack(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+        return np.repeat(_view(rows[0], np.uint64), _view(rows[1], np.uint32)), _view(rows[2], np.uint64), _view(rows[3], np.uint32)
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Token hashes and bounds of up to about TOKENS tokens at a time."""
     held, n = [], 0
@@ -156,6 +213,7 @@ class Counts:
     lower: np.ndarray = field(default_factory=lambda: np.zeros(3))
     lower_total: int = 0
     lower_follow: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    together: int = 1  # buckets that are shuffled as one
 
     def deal(self, context: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Bucket of bigrams: by context, or by the whole bigram for hot contexts."""
@@ -165,13 +223,30 @@ class Counts:
         return _bucket(np.where(self.hot[at] == context, key, context), self.buckets)
 
 
-def _merged(spread: DataFrame, shape: str, merge: Callable, buckets: int) -> list:
-    """Every bucket's packed rows merged by merge(bucket, rows of byte columns), which saves arrays and returns a tuple of whole numbers."""
+def _merged(spread: DataFrame, kind: type[Numbers] | type[Followers], deal: Callable, shape: str, merge: Callable, buckets: int, together: int) -> list:
+    """Every bucket's packed rows merged by merge(bucket, arrays), which saves arrays and returns a tuple of whole numbers.
+
+    spread: rows of groups of `together` buckets; deal(arrays): each entry's bucket.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of groups as rows of buckets, about TOKENS entries at a time."""
+        held, n = [], 0
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns[1:])):
+                held.append(row)
+                n += len(row[-1]) // 4
+                if n >= TOKENS:
+                    arrays = kind.unpack(list(zip(*held)))
+                    yield from kind.pack(arrays, deal(*arrays))
+                    held, n = [], 0
+        if held:
+            arrays = kind.unpack(list(zip(*held)))
+            yield from kind.pack(arrays, deal(*arrays))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(bucket: int, rows: list) -> pa.RecordBatch:
-            names = [x.split()[0] for x in shape.split(",")]
-            return pa.RecordBatch.from_arrays([pa.array([int(v)], pa.int64()) for v in merge(bucket, list(zip(*rows)))], names)
+            return pa.RecordBatch.from_arrays([pa.array([int(v)], pa.int64()) for v in merge(bucket, *kind.unpack(list(zip(*rows))))], names)
 
         last, rows = None, []
         for b in batches:
@@ -184,10 +259,11 @@ def _merged(spread: DataFrame, shape: str, merge: Callable, buckets: int) -> lis
         if rows:
             yield out(last, rows)
 
-    # a bucket is a task: its number is the partition's
-    dealt = spread.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
+    # a group is a task: its number is the partition's
+    dealt = spread.repartitionById(-(-buckets // together), "bucket")
+    dealt = dealt.mapInArrow(cut, kind.shape) if together > 1 else dealt
     names = [x.split()[0] for x in shape.split(",")]
-    return dealt.mapInArrow(run, shape).agg(*[F.sum(n).alias(n) for n in names]).first()
+    return dealt.sortWithinPartitions("bucket").mapInArrow(run, shape).agg(*[F.sum(n).alias(n) for n in names]).first()
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
@@ -209,24 +285,27 @@ def count(docs: DataFrame, learn: Column, per_bucket: int = ROWS_A_BUCKET) -> Co
     size = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.count(F.lit(1)).alias("n")).first()
     out = Counts(new_path(spark, "kneser-ney"), max(4, int(size["chars"] // 6 // per_bucket) + 1), documents=size["n"])
     folder, buckets = out.folder, out.buckets
+    together = out.together = -(-buckets // PARTS)
+    every = spark.range(0, buckets, 1, -(-buckets // together))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, _ in _pieces(batches):
             tokens.sort()
             at = runs(tokens)
             n = np.diff(np.append(at, len(tokens))).astype(np.uint32)
-            yield from _packed([tokens[at], n], _bucket(tokens[at], buckets))
+            yield from _packed([tokens[at], n], _bucket(tokens[at], buckets) // np.uint64(together))
+
+    def of_word(word: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return _bucket(word, buckets)
 
-    def merge_one(bucket: int, rows) -> tuple:
-        words_, n = _view(rows[0], np.uint64), _view(rows[1], np.uint32)
+    def merge_one(bucket: int, words_: np.ndarray, n: np.ndarray) -> tuple:
         order = np.argsort(words_)
         at = runs(words_[order])
         n = np.add.reduceat(n[order].astype(np.int64), at)
-        save(folder, f"word-{bucket}", words_[order][at])
-        save(folder, f"count-{bucket}", n)
+        save(folder, f"word-{bucket}", words_[order][at], n)
         return n.sum(), len(at)
 
-    got = _merged(texts.mapInArrow(one, "bucket int, a binary, b binary"), "tokens long, types long", merge_one, buckets)
+    got = _merged(texts.mapInArrow(one, Numbers.shape), Numbers, of_word, "tokens long, types long", merge_one, buckets, together)
     out.tokens, out.types = int(got["tokens"] or 0), int(got["types"] or 0)
     if not out.tokens:
         return out
@@ -235,12 +314,12 @@ def count(docs: DataFrame, learn: Column, per_bucket: int = ROWS_A_BUCKET) -> Co
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for bucket in b.column(0).to_pylist():
-                if exists(folder, f"word-{bucket}"):
-                    n = load(folder, f"count-{bucket}")
-                    yield pa.RecordBatch.from_arrays([pa.array(load(folder, f"word-{bucket}")[n > least].view(np.int64))], ["word"])
+                if found := load(folder, f"word-{bucket}"):
+                    word, n = found
+                    yield pa.RecordBatch.from_arrays([pa.array(word[n > least].view(np.int64))], ["word"])
 
     # fewer than HOT words can have over 1 / HOT of all tokens, so this is bounded
-    hot = [r["word"] for r in spark.range(0, buckets, 1, buckets).mapInArrow(frequent, "word long").collect()]
+    hot = [r["word"] for r in every.mapInArrow(frequent, "word long").collect()]
     out.hot = np.unique(np.append(np.array(hot, np.int64).view(np.uint64), BEGIN))
 
     def two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,57 +331,39 @@ def count(docs: DataFrame, learn: Column, per_bucket: int = ROWS_A_BUCKET) -> Co
             n = np.diff(np.append(at, len(key))).astype(np.uint32)
             pick = order[at]
             before, tokens, key = before[pick], tokens[pick], key[pick]
-            bucket = out.deal(before, key)
-            order = np.lexsort((before, bucket))
-            before, tokens, n, bucket = before[order], tokens[order], n[order], bucket[order]
-            # contexts as their runs' starts, which pack well
-            head = runs(before)
-            head = np.union1d(head, runs(bucket))
-            length = np.diff(np.append(head, len(before))).astype(np.uint32)
-            cut, ends = runs(bucket), np.append(runs(bucket)[1:], len(bucket))
-            rows = []
-            for a, b in zip(cut, ends):
-                i, j = np.searchsorted(head, (a, b))
-                rows.append((int(bucket[a]), before[head[i:j]].tobytes(), length[i:j].tobytes(), tokens[a:b].tobytes(), n[a:b].tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows))], ["bucket", *"abcd"])
-
-    def merge_two(bucket: int, rows) -> tuple:
-        before = np.repeat(_view(rows[0], np.uint64), _view(rows[1], np.uint32))
-        after, n = _view(rows[2], np.uint64), _view(rows[3], np.uint32)
+            yield from Followers.pack((before, tokens, n), out.deal(before, key) // np.uint64(together))
+
+    def of_pair(before: np.ndarray, after: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return out.deal(before, bigram_hash(before, after))
+
+    def merge_two(bucket: int, before: np.ndarray, after: np.ndarray, n: np.ndarray) -> tuple:
         key = bigram_hash(before, after)
         order = np.argsort(key)
         at = runs(key[order])
         n = np.add.reduceat(n[order].astype(np.int64), at)
-        save(folder, f"bigram-{bucket}", key[order][at])
-        save(folder, f"small-{bucket}", np.minimum(n, 255).astype(np.uint8))
-        big = np.flatnonzero(n >= 255)
-        save(folder, f"big-{bucket}", np.stack([big, n[big]]))
+        key, small, big = key[order][at], np.minimum(n, 255).astype(np.uint8), np.flatnonzero(n >= 255)
+        big = np.stack([big, n[big]])
         before, after = before[order][at], after[order][at]
         order = np.argsort(before)
         head = runs(before[order])
         follow = np.stack([np.add.reduceat((n[order] == 1).astype(np.int64), head), np.add.reduceat((n[order] == 2).astype(np.int64), head), np.add.reduceat((n[order] >= 3).astype(np.int64), head)], axis=1)
-        save(folder, f"context-{bucket}", before[order][head])
-        save(folder, f"follow-{bucket}", follow.astype(np.int32 if len(n) < 1 << 31 else np.int64))
+        save(folder, f"pair-{bucket}", key, small, big, before[order][head], follow.astype(np.int32 if len(n) < 1 << 31 else np.int64))
         after = np.sort(after)
         head = runs(after)
-        save(folder, f"after-{bucket}", after[head])
-        save(folder, f"times-{bucket}", np.diff(np.append(head, len(after))).astype(np.uint32))
+        save(folder, f"after-{bucket}", after[head], np.diff(np.append(head, len(after))).astype(np.uint32))
         return tuple((n == k).sum() for k in (1, 2, 3, 4)) + (len(n),)
 
-    got = _merged(texts.mapInArrow(two, "bucket int, a binary, b binary, c binary, d binary"), "n1 long, n2 long, n3 long, n4 long, n long", merge_two, buckets)
+    got = _merged(texts.mapInArrow(two, Followers.shape), Followers, of_pair, "n1 long, n2 long, n3 long, n4 long, n long", merge_two, buckets, together)
     out.discounts = _discounts([got[f"n{k}"] for k in (1, 2, 3, 4)])
     out.lower_total = int(got["n"])
 
     def three(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for bucket in b.column(0).to_pylist():
-                if exists(folder, f"after-{bucket}"):
-                    after, n = load(folder, f"after-{bucket}"), load(folder, f"times-{bucket}")
-                    yield from _packed([np.asarray(after), np.asarray(n)], _bucket(after, buckets))
+                if found := load(folder, f"after-{bucket}"):
+                    yield from _packed(found, _bucket(found[0], buckets) // np.uint64(together))
 
-    def merge_three(bucket: int, rows) -> tuple:
-        after, n = _view(rows[0], np.uint64), _view(rows[1], np.uint32)
+    def merge_three(bucket: int, after: np.ndarray, n: np.ndarray) -> tuple:
         order = np.argsort(after)
         at = runs(after[order])
         n = np.add.reduceat(n[order].astype(np.int64), at)
@@ -310,21 +371,21 @@ def count(docs: DataFrame, learn: Column, per_bucket: int = ROWS_A_BUCKET) -> Co
         save(folder, f"continuation-{bucket}", n)
         return tuple((n == k).sum() for k in (1, 2, 3, 4)) + ((n >= 3).sum(),)
 
-    dealt = spark.range(0, buckets, 1, buckets)
-    got = _merged(dealt.mapInArrow(three, "bucket int, a binary, b binary"), "n1 long, n2 long, n3 long, n4 long, more long", merge_three, buckets)
+    got = _merged(every.mapInArrow(three, Numbers.shape), Numbers, of_word, "n1 long, n2 long, n3 long, n4 long, more long", merge_three, buckets, together)
     out.lower = _discounts([got[f"n{k}"] for k in (1, 2, 3, 4)])
     out.lower_follow = np.array([got["n1"], got["n2"], got["more"]], float)
 
     def hot_follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for bucket in b.column(0).to_pylist():
-                if exists(folder, f"context-{bucket}"):
-                    at = np.isin(load(folder, f"context-{bucket}"), out.hot)
-                    f = load(folder, f"follow-{bucket}")[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(load(folder, f"context-{bucket}")[at].view(np.int64)), *(pa.array(f[:, k].astype(np.int64)) for k in range(3))], ["u", "n1", "n2", "n3"])
+                if found := load(folder, f"pair-{bucket}"):
+                    context, f = found[3:]
+                    at = np.isin(context, out.hot)
+                    f = f[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(context[at].view(np.int64)), *(pa.array(f[:, k].astype(np.int64)) for k in range(3))], ["u", "n1", "n2", "n3"])
 
     # at most HOT + 1 contexts after the sum
-    found = {r["u"] & (1 << 64) - 1: r for r in dealt.mapInArrow(hot_follow, "u long, n1 long, n2 long, n3 long").groupBy("u").agg(*[F.sum(k).alias(k) for k in ("n1", "n2", "n3")]).collect()}
+    found = {r["u"] & (1 << 64) - 1: r for r in every.mapInArrow(hot_follow, "u long, n1 long, n2 long, n3 long").groupBy("u").agg(*[F.sum(k).alias(k) for k in ("n1", "n2", "n3")]).collect()}
     out.hot_follow = np.array([[found[int(u)][k] for k in ("n1", "n2", "n3")] if int(u) in found else [0, 0, 0] for u in out.hot], float)
     return out
 
@@ -335,45 +396,44 @@ def count(docs: DataFrame, learn: Column, per_bucket: int = ROWS_A_BUCKET) -> Co
 class Model:
     """Looks up batches of hashes in the mapped arrays of one set of counts."""
 
-    def __init__(self, counts: Counts, kept: int = KEPT):
-        self.c, self.kept, self.held = counts, kept, 0
-        self.open: OrderedDict[str, np.ndarray | None] = OrderedDict()
+    def __init__(self, counts: Counts, kept: int = KEPT, most: int | None = None):
+        self.c, self.kept, self.held, self.most = counts, kept, 0, most or OPEN
+        self.open: OrderedDict[str, list[np.ndarray] | None] = OrderedDict()
+        self.mapped = isinstance(fs.FileSystem.from_uri(counts.folder)[0], fs.LocalFileSystem)
 
-    def _array(self, name: str) -> np.ndarray | None:
+    def _arrays(self, name: str) -> list[np.ndarray] | None:
         if name in self.open:
             self.open.move_to_end(name)
             return self.open[name]
-        found = load(self.c.folder, name) if exists(self.c.folder, name) else None
-        self.open[name] = found
+        found = self.open[name] = load(self.c.folder, name)
         self.held += self._size(found)
-        while self.held > self.kept and len(self.open) > 1:
+        while (self.held > self.kept or len(self.open) > self.most) and len(self.open) > 1:
             self.held -= self._size(self.open.popitem(last=False)[1])
         return found
 
-    @staticmethod
-    def _size(array: np.ndarray | None) -> int:
+    def _size(self, arrays: list[np.ndarray] | None) -> int:
         """Bytes of memory; mapped files take none of their own."""
-        return 0 if array is None or isinstance(array, np.memmap) else array.nbytes
+        return 0 if self.mapped else sum(a.nbytes for a in arrays or [])
 
-    def _find(self, name: str, hashes: np.ndarray, bucket: np.ndarray, values: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For hashes sorted by bucket and value: positions of those found, and values(bucket, their rows)."""
+    def _find(self, name: str, column: int, hashes: np.ndarray, bucket: np.ndarray, values: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For hashes sorted by bucket and value: positions of those found, and values(bucket, arrays of its file, their rows)."""
         at = runs(bucket)
         for a, b in zip(at, np.append(at[1:], len(bucket))):
-            keys = self._array(f"{name}-{bucket[a]}")
-            if keys is None or not len(keys):
+            arrays = self._arrays(f"{name}-{bucket[a]}")
+            if arrays is None or not len(keys := arrays[column]):
                 continue
             row = np.searchsorted(keys, hashes[a:b])
             hit = np.flatnonzero(keys[np.minimum(row, len(keys) - 1)] == hashes[a:b])
-            yield a + hit, values(int(bucket[a]), row[hit])
+            yield a + hit, values(int(bucket[a]), arrays, row[hit])
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of sorted distinct words: count, lower-order probability, and what follows (three columns)."""
         c, n = self.c, len(hashes)
         count, cont, follow = np.zeros(n), np.zeros(n), np.zeros((n, 3))
         bucket = _bucket(hashes, c.buckets)
-        for at, (x, y) in self._find("word", hashes, bucket, lambda b, r: (self._array(f"count-{b}")[r], self._array(f"continuation-{b}")[r])):
+        for at, (x, y) in self._find("word", 0, hashes, bucket, lambda b, arrays, r: (arrays[1][r], self._arrays(f"continuation-{b}")[0][r])):
             count[at], cont[at] = x, y
-        for at, x in self._find("context", hashes, bucket, lambda b, r: self._array(f"follow-{b}")[r]):
+        for at, x in self._find("pair", 3, hashes, bucket, lambda b, arrays, r: arrays[4][r]):
             follow[at] = x
         if len(c.hot):
             at = np.minimum(np.searchsorted(c.hot, hashes), len(c.hot) - 1)
@@ -391,14 +451,14 @@ class Model:
         """Counts of bigrams sorted by bucket and key."""
         out = np.zeros(len(key), np.int64)
 
-        def values(b: int, r: np.ndarray) -> np.ndarray:
-            n = self._array(f"small-{b}")[r].astype(np.int64)
-            big = self._array(f"big-{b}")
+        def values(b: int, arrays: list[np.ndarray], r: np.ndarray) -> np.ndarray:
+            _, small, big, *_ = arrays
+            n = small[r].astype(np.int64)
             over = n == 255
             n[over] = big[1][np.searchsorted(big[0], r[over])]
             return n
 
-        for at, x in self._find("bigram", key, bucket, values):
+        for at, x in self._find("pair", 0, key, bucket, values):
             out[at] = x
         return out
 

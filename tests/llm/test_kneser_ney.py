@@ -1,8 +1,10 @@
 """The Kneser-Ney model against a plain version over dictionaries."""
 
 import math
+import os
 import random
 import re
+import resource
 import zlib
 from collections import Counter, defaultdict
 
@@ -81,3 +83,33 @@ def test_no_training_rows(spark):
     got = sorted(tuple(r) for r in K.scored(docs, K.count(docs, F.lit(False))).collect())
     assert [g[:4] for g in got] == [(1, 3, 0, 0), (2, 1, 0, 0)]
     assert K.scored(docs.limit(0), K.count(docs, F.lit(True))).count() == 0
+
+
+def test_more_buckets_than_open_files(spark, monkeypatch):
+    """Buckets shuffled in groups, files mapped a few at a time: the scores of the model in four buckets."""
+    rng = random.Random(2)
+    lexicon = ["w%d" % i for i in range(3000)] + ["the"]
+    rows = [(i, " ".join(rng.choices(lexicon, [1] * 3000 + [600], k=400)), "", "") for i in range(60)]
+    docs = spark.createDataFrame(rows, SHAPE).repartition(2)
+    held = crc_remainder("doc_id", 5) == 1
+    want = sorted(tuple(r) for r in K.scored(docs, K.count(docs, ~held)).collect())
+    monkeypatch.setattr(K, "PARTS", 3)
+    monkeypatch.setattr(K, "OPEN", 5)
+    counts = K.count(docs, ~held, 3)
+    assert counts.buckets > 5000 and counts.together > 1700
+    some = docs.where("doc_id < 6")  # every bucket is looked up
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    got = sorted(tuple(r) for r in K.scored(some, counts).collect())
+    assert [g[:4] for g in got] == [w[:4] for w in want[:6]]
+    for g, w in zip(got, want):
+        assert g[4:] == pytest.approx(w[4:], rel=1e-9)
+    model = K.Model(counts)
+    before = len(os.listdir("/proc/self/fd"))
+    resource.setrlimit(resource.RLIMIT_NOFILE, (before + 40, hard))
+    try:
+        for bucket in range(counts.buckets):
+            model._arrays(f"pair-{bucket}")
+            assert len(model.open) <= 5
+        assert len(os.listdir("/proc/self/fd")) <= before + 6
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
