@@ -7,7 +7,8 @@ a restart from the same checkpoint goes on where it stopped, and so does a lost
 changed state to a table; its last value for a digest is the smallest id and the largest count.
 
 A hit (a row whose digest has other rows) is settled by full bytes: the keeper's text, found by its locator, is joined to the
-hits of its digest, and rows whose bytes differ leave the group and are grouped by their whole text. Digests with over 1 / HOT of
+hits of its digest, and rows whose bytes differ leave the group and are grouped by their whole text. Where the table no longer
+has that row (its files were written anew, or it was deleted), the digest's row of that id, or else of the smallest, stands in. Digests with over 1 / HOT of
 the rows that have copies (so fewer than HOT digests) are known to every task by a broadcast, and salted before any join: the state and the
 keeper's text are copied once for every SALT rows.
 
@@ -58,7 +59,9 @@ def keep_state(documents: DataFrame, state: str, out: str, digest=sha256) -> Non
 def exact_dedup(spark: SparkSession, path: str, digest=sha256, state: str | None = None, salt: int = SALT) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of the documents at `path` (Parquet).
 
-    state: a folder that keeps the stream's state from call to call, for tables that only grow; without it a new one.
+    state: a folder that keeps the stream's state from call to call, without it a new one. Between calls the table may grow, and its
+    files may be written anew under other names. A file that was changed in place is not read again by the stream: rows of it that
+    the state doesn't know raise ValueError.
     """
     docs = spark.read.parquet(path)
     base = state or new_path(spark, "exact-state")
@@ -73,6 +76,8 @@ def exact_dedup(spark: SparkSession, path: str, digest=sha256, state: str | None
     thin = thin.select("doc_id", F.lower(F.hex("sha")).alias("text_sha256"), *["digest"] * (digest is not sha256))
     thin = thin if digest is not sha256 else thin.withColumn("digest", F.col("text_sha256"))
 
+    if state and (unknown := thin.join(held, "digest", "left_anti").count()):
+        raise ValueError(f"{unknown} rows of {path} are not in the state {state}: files that it has seen were changed in place")
     many = written(held.where("n > 1"), "exact-groups")
     # fewer than HOT digests
     hot = many.where(F.col("n") > many.agg(F.sum("n")).first()[0] // HOT if not many.isEmpty() else F.lit(False)).select("digest", F.ceil(F.col("n") / salt).alias("salts"))
@@ -87,10 +92,16 @@ def exact_dedup(spark: SparkSession, path: str, digest=sha256, state: str | None
         texts = texts.withColumn("short", F.xxhash64("digest")).join(F.broadcast(many.select(F.xxhash64("digest").alias("short")).distinct()), "short", "left_semi").drop("short")
     dealt = texts.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.coalesce("salts", F.lit(1)))).drop("salts")
     hits = written(dealt.join(salted(many.drop("n")), ["digest", "salt"]), "exact-texts")
-    keeper = hits.where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("locator") == F.col("first.locator")))
-    keeper = salted(keeper.groupBy("digest").agg(F.min("t").alias("keeper_t")))
+    found = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("locator") == F.col("first.locator"))
+    keeper = hits.where(found).groupBy("digest").agg(F.min("t").alias("keeper_t"), F.min("first.doc_id").alias("keep_id"))
+    if state:  # only then can the row be gone
+        other = F.struct((~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).alias("other"), F.col("doc_id").isNull().alias("none"), "doc_id", "locator")
+        gone = hits.groupBy("digest").agg(F.max(found).alias("found"), F.min(other).alias("next")).where("not found").select("digest", "next")
+        met = hits.join(gone, "digest").where(F.col("doc_id").eqNullSafe(F.col("next.doc_id")) & (F.col("locator") == F.col("next.locator")))
+        keeper = keeper.unionByName(met.groupBy("digest").agg(F.min("t").alias("keeper_t"), F.min("doc_id").alias("keep_id")))
+    keeper = salted(keeper)
     same = F.col("t") == F.col("keeper_t")
-    checked = hits.join(keeper, ["digest", "salt"]).select("doc_id", "digest", "salt", "text_sha256", F.when(same, F.col("first.doc_id")).alias("keep_id"), same.alias("same"), F.when(~same, F.col("t")).alias("other"))
+    checked = hits.join(keeper, ["digest", "salt"]).select("doc_id", "digest", "salt", "text_sha256", F.when(same, F.col("keep_id")).alias("keep_id"), same.alias("same"), F.when(~same, F.col("t")).alias("other"))
     checked = written(checked, "exact-hits")
     grouped = checked.groupBy("digest", "other").agg(F.min("doc_id").alias("other_id"), F.count(F.lit(1)).alias("group_size"))
     equal = checked.where("same").join(salted(grouped.where("other is null").select("digest", "group_size")), ["digest", "salt"]).select("doc_id", "keep_id", "group_size", "text_sha256")

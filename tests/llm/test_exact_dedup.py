@@ -1,7 +1,13 @@
 """Exact deduplication: groups, collisions of a weak digest, and state that outlives a call."""
 
+import contextlib
+import os
 import re
+import shutil
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from evidex.llm import exact_dedup as E
@@ -57,6 +63,39 @@ def test_state_goes_on(spark, tmp_path):
     assert got(E.exact_dedup(spark, path, state=state)) == brute(ROWS)
 
 
+def test_files_written_anew(spark, tmp_path):
+    """The keeper's file is gone: another row of its digest stands in, and no row is lost."""
+    path, state = f"{tmp_path}/docs", f"{tmp_path}/state"
+    frame(spark, ROWS, path)
+    assert got(E.exact_dedup(spark, path, state=state)) == brute(ROWS)
+    shutil.rmtree(path)
+    frame(spark, ROWS, path)
+    assert got(E.exact_dedup(spark, path, state=state)) == brute(ROWS)
+    # keepers of some groups leave the table
+    shutil.rmtree(path)
+    some = [r for r in ROWS if r[1] not in (3, 20, 5)]
+    frame(spark, some, path)
+    assert got(E.exact_dedup(spark, path, state=state)) == brute(some)
+    weak = lambda t: F.lit("same")
+    other = f"{tmp_path}/weak"
+    assert got(E.exact_dedup(spark, path, weak, other)) == brute(some)
+    shutil.rmtree(path)
+    frame(spark, some[2:], path)
+    assert got(E.exact_dedup(spark, path, weak, other)) == brute(some[2:])
+
+
+def test_files_changed_in_place(spark, tmp_path):
+    path, state = f"{tmp_path}/docs", f"{tmp_path}/state"
+    frame(spark, ROWS, path)
+    E.exact_dedup(spark, path, state=state)
+    name = next(n for n in os.listdir(path) if n.endswith(".parquet"))
+    pq.write_table(pa.table({"text": ["never seen"], "doc_id": [99], "digest": [""], "n": [""], "keep_id": [""]}), f"{path}/{name}")
+    with contextlib.suppress(FileNotFoundError):
+        os.remove(f"{path}/.{name}.crc")
+    with pytest.raises(ValueError, match="1 rows"):
+        E.exact_dedup(spark, path, state=state)
+
+
 def test_empty(spark, tmp_path):
     path = f"{tmp_path}/docs"
     spark.createDataFrame([], SHAPE).write.parquet(path)
