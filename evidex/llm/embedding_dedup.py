@@ -119,8 +119,9 @@ class Index:
 
 
 def _doubles(raw: np.ndarray, dim: int) -> np.ndarray:
-    """Unit vectors in double precision."""
+    """Unit vectors in double precision; scaled by their largest component first, so that no square vanishes or overflows."""
     x = raw.astype(np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=0)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 

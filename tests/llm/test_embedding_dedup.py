@@ -104,3 +104,17 @@ def test_probes_reach_neighbours_towards_another_centre():
     assert pair[0] @ pair[1] >= 0.9 - 1e-9
     own, *_, probes = index.place(pair.astype(np.float32))
     assert own.tolist() == [0, 1] and (probes[0, 1] or probes[1, 0])
+
+
+def test_tiny_and_huge_vectors(spark):
+    """Components whose squares vanish or overflow change no other vector's links, and link by their direction themselves."""
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(50, 16)), 4, axis=0) + rng.normal(size=(200, 16)) * 1e-3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = got(E.embedding_components(df))
+    assert sum(n for _, n, _ in want) == 600
+    odd = [(300, [1e-200] * 16), (301, [5e-324] * 16), (302, [1e300, -1e300] * 8), (303, (x[0] * 1e-170).tolist()), (304, (x[0] * 1e290).tolist())]
+    both = got(E.embedding_components(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")))
+    assert [r for r in both if r[0] > 3 and r[0] < 300] == [r for r in want if r[0] > 3]
+    assert {r[0]: r[1:] for r in both if r[0] >= 300} == {300: (1, 300), 301: (1, 300), 302: (0, 302), 303: (5, 0), 304: (5, 0)}
