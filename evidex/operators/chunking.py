@@ -76,8 +76,8 @@ def spans(texts: DataFrame, config: ChunkingConfig = ChunkingConfig(), text: str
 
 
 def chunks(sections: DataFrame, config: ChunkingConfig = ChunkingConfig()) -> DataFrame:
-    """Chunks of sections (schema in README): offsets within the document and the section, id, counts; empty sections have none."""
-    order = W.partitionBy("document_id").orderBy("section_id")
+    """Chunks of sections (schema in README): offsets within the document and the section, id, counts; empty sections have none. Sections are numbered in the order they stand in."""
+    order = W.partitionBy("document_id").orderBy("start_char_offset", "end_char_offset", "section_id")
     placed = sections.withColumn("position", F.row_number().over(order) - 1)
     cut = spans(placed, config)
     size = F.col("span_end") - F.col("span_start")

@@ -6,13 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidex.functions.text import BLANKS, left_blank
+from evidex.operators.running import running
 
 
 def with_page_start(pages: DataFrame) -> DataFrame:
-    """Adds page_start: where a page begins in the pages' texts joined by line breaks."""
-    before = W.partitionBy("document_id").orderBy("page_number").rowsBetween(W.unboundedPreceding, -1)
-    return pages.withColumn("page_start", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("long"))
+    """Adds page_start: where a page begins in the pages' texts joined by line breaks. Pages that share a number stand in the order of their texts."""
+    if "page_start" in pages.columns:
+        return pages
+    out = running(pages, "page_number", ("text",), sums={"page_start": F.length("text") + 1}, span=256)
+    return out.withColumn("page_start", F.col("page_start").cast("long"))
+
+
+def outline(pages: DataFrame) -> DataFrame:
+    """document_id, page_number, start of every page, and total_len, the length of the document's full text."""
+    placed = with_page_start(pages).select("document_id", "page_number", F.col("page_start").alias("start"), (F.col("page_start") + F.length("text")).alias("_end"))
+    return placed.join(placed.groupBy("document_id").agg(F.max("_end").alias("total_len")), "document_id").drop("_end")
+
+
+def as_outline(texts: DataFrame) -> DataFrame:
+    """The outline of full texts (document_id, total_len, starts); an outline as it is."""
+    if "starts" not in texts.columns:
+        return texts
+    return texts.select("document_id", "total_len", F.explode("starts").alias("s")).select("document_id", "s.page_number", "s.start", "total_len")
+
+
+def lengths(texts: DataFrame) -> DataFrame:
+    """document_id, total_len of an outline or of full texts."""
+    return texts.select("document_id", "total_len") if "starts" in texts.columns else texts.groupBy("document_id").agg(F.max("total_len").alias("total_len"))
 
 
 def full_text(pages: DataFrame) -> DataFrame:
@@ -41,47 +61,35 @@ def as_of(rows: DataFrame, at: Column, marks: DataFrame, mark_at: str, name: str
     """
     held = F.struct(*[F.col(c) for c in marks.columns if c != "document_id"])
     both = rows.withColumns({"_at": at.cast("long"), "_row": F.lit(1)}).unionByName(marks.select("document_id", F.col(mark_at).cast("long").alias("_at"), F.lit(0).alias("_row"), held.alias("_mark")), allowMissingColumns=True)
-    before = W.partitionBy("document_id").orderBy("_at", "_row").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn(name, F.last("_mark", ignorenulls=True).over(before)).where("_row = 1").drop("_at", "_row", "_mark")
+    return running(both, "_at", ("_row",), lasts={name: F.col("_mark")}).where("_row = 1").drop("_at", "_row", "_mark")
 
 
 def with_page(rows: DataFrame, texts: DataFrame, offset: Column, name: str) -> DataFrame:
-    """rows (document_id, ...) with the page of an offset as column `name`. texts: document_id, total_len, starts."""
-    pages = texts.select("document_id", F.explode("starts").alias("s")).select("document_id", "s.page_number", "s.start")
-    placed = rows.join(texts.select("document_id", F.col("total_len").alias("_len")), "document_id")
-    inside = F.least(F.greatest(offset, F.lit(0)), F.greatest(F.col("_len") - 1, F.lit(0)))
-    out = as_of(placed, inside, pages, "start", "_page")
-    return out.withColumn(name, F.col("_page.page_number")).drop("_page", "_len")
+    """rows (document_id, ...) of documents in texts with the page of an offset as column `name`. texts: an outline, or full texts with starts.
+
+    Offsets before the text count as its beginning, those behind it as its last character.
+    """
+    pages = as_outline(texts).where("start < total_len or start = 0")
+    return as_of(rows, F.greatest(offset, F.lit(0)), pages.drop("total_len"), "start", "_page").withColumn(name, F.col("_page.page_number")).drop("_page")
+
+
+def with_pages(rows: DataFrame, texts: DataFrame, offsets: dict[str, str]) -> DataFrame:
+    """As with_page for several offset columns at once: new column to offset column. Equal rows become one."""
+    asked = rows.select("*", F.posexplode(F.array(*[F.col(c).cast("long") for c in offsets.values()])).alias("_which", "_offset"))
+    found = with_page(asked, texts, F.col("_offset"), "_found")
+    return found.groupBy(*rows.columns).agg(*[F.max(F.when(F.col("_which") == k, F.col("_found"))).alias(name) for k, name in enumerate(offsets)])
 
 
 def text_lines(texts: DataFrame) -> DataFrame:
     """document_id, offset, line of the full texts, split at \\n."""
     cut = texts.select("document_id", F.posexplode(F.split("full_text", "\n")).alias("_i", "line"))
-    before = W.partitionBy("document_id").orderBy("_i").rowsBetween(W.unboundedPreceding, -1)
-    return cut.select("document_id", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("long").alias("offset"), "line")
+    return running(cut, "_i", sums={"offset": F.length("line") + 1}, span=1024).select("document_id", F.col("offset").cast("long").alias("offset"), "line")
 
 
-def lines(pages: DataFrame) -> DataFrame:
-    """document_id, page_number, line_no, offset (of the line in the full text), line. Split at \\n; an empty page has none."""
-    cut = with_page_start(pages).where("text <> ''").select("document_id", "page_number", "page_start", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    before = W.partitionBy("document_id", "page_number").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+def lines(pages: DataFrame, all_pages: bool = False) -> DataFrame:
+    """document_id, page_number, line_no, offset (of the line in the full text), line. Split at \\n; an empty page has none, or with all_pages one, as in the full text."""
+    placed = with_page_start(pages) if all_pages else with_page_start(pages).where("text <> ''")
+    cut = placed.select("document_id", "page_number", "page_start", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    before = W.partitionBy("document_id", "page_number", "page_start").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
     offset = F.col("page_start") + F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))
     return cut.select("document_id", "page_number", "line_no", offset.alias("offset"), "line")
-
-
-def with_slices(rows: DataFrame, line_table: DataFrame, end: str | None = None) -> DataFrame:
-    """rows (document_id, start_char_offset, ...), each at the first letter of a line, with `slice`: the lines from there to the next row's, or only those that begin before column `end`.
-
-    Lines are gathered by the row they follow, so each is read once. White space at the end of a slice may be less than in the text.
-    """
-    at = F.col("start_char_offset")
-    starts = rows.select("document_id", at.alias("_at"), F.lit(0).alias("_line"), F.struct(at.alias("at"), (F.lit(None).cast("long") if end is None else F.col(end)).alias("end")).alias("_own"))
-    body = line_table.select("document_id", (F.col("offset") + left_blank("line")).alias("_at"), F.lit(1).alias("_line"), "line")
-    before = W.partitionBy("document_id").orderBy("_at", "_line").rowsBetween(W.unboundedPreceding, 0)
-    placed = body.unionByName(starts, allowMissingColumns=True).withColumn("_own", F.last("_own", ignorenulls=True).over(before)).where("_line = 1 and _own is not null")
-    if end is not None:
-        placed = placed.where(F.col("_at") < F.col("_own.end"))
-    gathered = placed.groupBy("document_id", F.col("_own.at").alias("start_char_offset")).agg(F.array_sort(F.collect_list(F.struct("_at", "line"))).alias("_lines"))
-    text = F.array_join(F.transform("_lines", lambda x: x["line"]), "\n")
-    cut = gathered.select("document_id", "start_char_offset", F.ltrim(text, F.lit(BLANKS)).alias("slice"))
-    return rows.join(cut, ["document_id", "start_char_offset"], "left").withColumn("slice", F.coalesce("slice", F.lit("")))

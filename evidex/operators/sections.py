@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W_
 from pyspark.sql import functions as F
 
-from evidex.functions.text import W, after_first, clip, compact, four_places, left_blank, once, split_lines, strip
-from evidex.operators.layout import full_text, lines, text_lines, with_page, with_slices
+from evidex.functions.text import BLANKS, W, after_first, clip, compact, four_places, left_blank, once, split_lines, strip
+from evidex.operators.layout import lengths, lines, outline, text_lines, with_page, with_page_start
 from evidex.operators.regions import LEGAL_COMPACT, LEGAL_SPACED, RELATED_LAW, classify
+from evidex.operators.running import running
 from evidex.operators.units import attach, markers, units
 from evidex.sources.tables import stored
 
@@ -68,8 +69,8 @@ def line_rule(line: Column) -> Column:
 
 
 def candidates(pages: DataFrame) -> DataFrame:
-    """document_id, candidate_id, section_type, title, start_page, start_char_offset, confidence, evidence of every heading line."""
-    ruled = lines(pages).withColumn("r", line_rule(F.col("line"))).where("r is not null")
+    """document_id, candidate_id, section_type, title, start_page, start_char_offset, confidence, evidence of every heading line of pages, or of their lines."""
+    ruled = (pages if "line" in pages.columns else lines(pages)).withColumn("r", line_rule(F.col("line"))).where("r is not null")
     at = (F.col("offset") + left_blank("line")).alias("start_char_offset")
     out = ruled.select("document_id", "r.section_type", "r.title", F.col("page_number").alias("start_page"), at, F.lit(CONFIDENCE).alias("confidence"), F.array("r.pattern", F.lit("generator:regex_rules_v1")).alias("evidence"))
     order = W_.partitionBy("document_id", "start_char_offset").orderBy("start_page", "title", "section_type")
@@ -141,42 +142,70 @@ def inline_reference() -> Column:
     return (F.length(head) <= 220) & (tail != "") & (compact(tail).rlike(INLINE_COMPACT) | tail.rlike(INLINE_TAIL))
 
 
-def _ends(found: DataFrame, texts: DataFrame, marked: DataFrame, line_table: DataFrame) -> DataFrame:
-    """found (document_id, start_char_offset, pin, ...) with next_mark (the first marker from there on) and own_chars.
+def owned(found: DataFrame, line_table: DataFrame, marked: DataFrame | None = None) -> DataFrame:
+    """Lines (rank 2) and markers (rank 1) in the order of their places: document_id, at, rank, line, s, before, own.
+
+    at: where a line's first letter or a marker's line stands; s: a line's characters, page numbers left out; before: their sum
+    over all lines before; own: the start of the last row of found at or before. One pass along the lines of a document.
+    """
+    at = F.col("start_char_offset")
+    events = line_table.select("document_id", (F.col("offset") + left_blank("line")).alias("at"), F.lit(2).alias("rank"), "line", substantive_chars(split_lines("line")).alias("s"))
+    events = events.unionByName(found.select("document_id", at.cast("long").alias("at"), F.lit(0).alias("rank")), allowMissingColumns=True)
+    if marked is not None:
+        events = events.unionByName(marked.select("document_id", F.col("offset").alias("at"), F.lit(1).alias("rank")), allowMissingColumns=True)
+    out = running(events, "at", ("rank",), sums={"before": F.coalesce("s", F.lit(0))}, lasts={"own": F.when(F.col("rank") == 0, F.col("at"))})
+    return out.where("rank <> 0")
+
+
+def _joined(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, slice, and first (the first line's at, before and s) of lines gathered by keys. White space at the end of a slice may be less than in the text."""
+    gathered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("_lines"), F.min(F.struct("at", "before", "s")).alias("first"))
+    text = F.array_join(F.transform("_lines", lambda x: x["line"]), "\n")
+    return gathered.select(*keys, F.ltrim(text, F.lit(BLANKS)).alias("slice"), "first")
+
+
+def _ends(found: DataFrame, texts: DataFrame, placed: DataFrame) -> DataFrame:
+    """found (document_id, start_char_offset, pin, first, ...) with next_mark (the first marker from there on) and own_chars.
 
     own_chars are the characters, page numbers left out, of the lines after a candidate's own up to where an appendix's own text
-    ends: the next candidate without a pin, or the first marker before it. Candidates, markers, lines and the text's end are sorted
-    together, and sums over lines run along.
+    ends: the next candidate without a pin, or the first marker before it.
     """
-    lines_ = line_table.select("document_id", (F.col("offset") + left_blank("line")).alias("at"), F.lit(2).alias("rank"), substantive_chars(split_lines("line")).alias("s"))
-    own = found.withColumns({"at": F.col("start_char_offset"), "rank": F.lit(0)})
-    marks = marked.select("document_id", F.col("offset").alias("at"), F.lit(1).alias("rank"))
-    ends = texts.select("document_id", F.col("total_len").alias("at"), F.lit(3).alias("rank"))
-    events = own.unionByName(marks, allowMissingColumns=True).unionByName(ends, allowMissingColumns=True).unionByName(lines_, allowMissingColumns=True)
-    by = W_.partitionBy("document_id").orderBy("at", "rank")
-    rank, start = F.col("rank"), F.col("start_char_offset")
-    events = events.withColumns({"before": F.coalesce(F.sum("s").over(by.rowsBetween(W_.unboundedPreceding, -1)), F.lit(0)), "own_s": F.lead("s").over(by)}).where("rank <> 2")
-    here = F.struct("at", "before")
+    start, first = F.col("start_char_offset"), F.col("first")
+    own = found.withColumns({"at": start, "rank": F.lit(0), "before": F.coalesce(first["before"], F.lit(0)), "own_s": F.when(first["at"] == start, first["s"])}).drop("first")
+    marks = placed.where("rank = 1").select("document_id", "at", "rank", "before")
+    whole = placed.where("rank = 2").groupBy("document_id").agg(F.sum("s").alias("before"))
+    ends = whole.join(lengths(texts), "document_id").select("document_id", F.col("total_len").alias("at"), F.lit(3).alias("rank"), "before")
+    events = own.unionByName(marks, allowMissingColumns=True).unionByName(ends, allowMissingColumns=True)
+    rank, here = F.col("rank"), F.struct("at", "before")
     # what follows is what comes before in the other order, which Spark sums up in one pass
     ahead = W_.partitionBy("document_id").orderBy(F.desc("at"), F.desc("rank")).rowsBetween(W_.unboundedPreceding, -1)
     events = events.withColumns({"body": F.min(F.when((rank == 3) | ((rank == 0) & F.col("pin").isNull()), here)).over(ahead), "mark": F.min(F.when(rank == 1, here)).over(ahead)}).where("rank = 0")
     end = F.least("body", "mark")
     between = end["before"] - F.col("before") - F.coalesce("own_s", F.lit(0)) + substantive_chars(after_first(split_lines("head_line")))
     out = events.withColumns({"next_mark": F.col("mark.at"), "own_chars": F.when(end["at"] > start, between).otherwise(0)})
-    return out.drop("at", "rank", "s", "before", "own_s", "body", "mark")
+    return out.drop("at", "rank", "before", "own_s", "body", "mark")
 
 
 def judged(found: DataFrame, regions: DataFrame, texts: DataFrame, marked: DataFrame, line_table: DataFrame | None = None) -> DataFrame:
-    """Candidates with `emit`, `trace`, `assembly_confidence` and next_mark. Filters see the text up to the next candidate, whatever becomes of that."""
-    line_table = text_lines(texts) if line_table is None else line_table
-    out = once(with_slices(found, line_table), slice_lines=split_lines("slice"))
+    """Candidates with `emit`, `trace`, `assembly_confidence` and next_mark. Filters see the text up to the next candidate, whatever becomes of that.
+
+    line_table: the lines, or what `owned` made of them, the candidates and the markers.
+    """
+    placed = text_lines(texts) if line_table is None else line_table
+    placed = placed if "own" in placed.columns else owned(found, placed, marked)
+    cut = _joined(placed.where("rank = 2 and own is not null"), "document_id", "own").withColumnRenamed("own", "start_char_offset")
+    out = found.join(cut, ["document_id", "start_char_offset"], "left").withColumn("slice", F.coalesce("slice", F.lit("")))
+    out = once(out, slice_lines=split_lines("slice"))
     out = once(out, head_line=F.element_at(F.concat("slice_lines", F.array(F.lit(""))), 1), tail_lines=after_first(F.col("slice_lines")))
     out = once(out, head=strip("head_line"), body=strip(F.array_join("tail_lines", "\n")))
-    r = regions.groupBy("document_id", F.col("page_number").alias("start_page")).agg(F.last("region_type").alias("region_type"), F.last("confidence").alias("region_confidence"), F.last("evidence").alias("region_evidence"))
+    # of labels of a page that is there twice the last counts: the last by `position` where that is known, else the greatest
+    label = F.struct(F.col("region_type"), F.col("confidence").alias("region_confidence"), F.col("evidence").alias("region_evidence"))
+    last = F.max_by(label, F.struct("position", label)) if "position" in regions.columns else F.max(label)
+    r = regions.groupBy("document_id", F.col("page_number").alias("start_page")).agg(last.alias("_r")).select("document_id", "start_page", "_r.*")
     out = out.join(r, ["document_id", "start_page"], "left")
     region, kind = F.col("region_type"), F.col("section_type")
     out = once(out, pin=F.when(region == "appendix", appendix_article_reason()), toc_row=toc_like_row(), pointer=pointer_slice(), legal=F.when(kind == "legal_reference", legal_reason()), inline=F.when(kind == "article", inline_reference()))
-    out = _ends(out.drop("slice", "slice_lines", "tail_lines", "body"), texts, marked, line_table)
+    out = _ends(out.drop("slice", "slice_lines", "tail_lines", "body"), texts, placed)
     thin = F.col("own_chars") < APPENDIX_BODY
     front, explicit = region.isin(FRONT), kind.isin("toc", "guide") & F.exists("evidence", lambda e: e.rlike("^pattern:(toc_heading|customer_rights_heading)"))
     token = lambda t: F.array(F.lit(f"filter:{t}"))
@@ -208,14 +237,22 @@ def judged(found: DataFrame, regions: DataFrame, texts: DataFrame, marked: DataF
 
 def assemble(verdicts: DataFrame, texts: DataFrame, line_table: DataFrame | None = None) -> DataFrame:
     """Sections: the text from each accepted candidate to the next accepted one, an appendix at most to the first marker within."""
+    placed = text_lines(texts) if line_table is None else line_table
+    placed = placed if "own" in placed.columns else owned(verdicts, placed)
     by = W_.partitionBy("document_id").orderBy("start_char_offset")
-    kept = verdicts.where("emit").withColumns({"number": F.row_number().over(by) - 1, "next": F.lead("start_char_offset").over(by)}).join(texts.select("document_id", "total_len"), "document_id")
+    upto = by.rowsBetween(W_.unboundedPreceding, 0)
     start, kind = F.col("start_char_offset"), F.col("section_type")
+    # a candidate that isn't accepted belongs to the accepted one before
+    every = verdicts.select("document_id", start.alias("own"), F.last(F.when(F.col("emit"), start), True).over(upto).alias("_section")).where("_section is not null")
+    kept = verdicts.where("emit").withColumns({"number": F.row_number().over(by) - 1, "next": F.lead("start_char_offset").over(by)}).join(lengths(texts), "document_id")
     end = F.coalesce("next", "total_len")
     kept = kept.withColumn("end_char_offset", F.when((kind == "appendix") & (F.col("next_mark") < end), F.col("next_mark")).otherwise(end))
     kept = kept.withColumn("section_id", F.format_string("%s::sec::%04d", "document_id", "number"))
-    part = F.last(F.when(kind == "part", F.col("section_id")), ignorenulls=True).over(by.rowsBetween(W_.unboundedPreceding, 0))
-    kept = with_slices(kept.withColumn("part", part), text_lines(texts) if line_table is None else line_table, "end_char_offset").withColumnRenamed("slice", "text")
+    kept = kept.withColumn("part", F.last(F.when(kind == "part", F.col("section_id")), ignorenulls=True).over(upto))
+    owners = every.join(kept.select("document_id", start.alias("_section"), F.col("end_char_offset").alias("_end")), ["document_id", "_section"])
+    body = placed.where("rank = 2").join(owners, ["document_id", "own"]).where(F.col("at") < F.col("_end"))
+    body = _joined(body, "document_id", "_section").select("document_id", F.col("_section").alias("start_char_offset"), F.col("slice").alias("text"))
+    kept = kept.join(body, ["document_id", "start_char_offset"], "left").withColumn("text", F.coalesce("text", F.lit("")))
     end = F.col("end_char_offset")
     kept = with_page(kept, texts, F.when(end > start, end - 1).otherwise(start), "page")
     return kept.select(
@@ -236,9 +273,11 @@ def assemble(verdicts: DataFrame, texts: DataFrame, line_table: DataFrame | None
 
 def detect(pages: DataFrame, classifier=classify) -> DataFrame:
     """Sections of pages with their policy units. classifier: pages to (document_id, page_number, region_type, confidence, evidence)."""
-    pages = stored(pages, "pages")
-    texts = stored(full_text(pages), "texts")
-    line_table = stored(text_lines(texts), "lines")
+    pages = stored(with_page_start(pages), "pages")
+    texts = stored(outline(pages), "outline")
+    line_table = stored(lines(pages, all_pages=True), "lines")
     marked = stored(markers(texts, line_table), "markers")
-    verdicts = judged(stored(candidates(pages), "candidates"), stored(classifier(pages), "regions"), texts, marked, line_table)
-    return attach(assemble(stored(verdicts, "verdicts"), texts, line_table), units(texts, marked))
+    found = stored(candidates(line_table), "candidates")
+    placed = stored(owned(found, line_table, marked), "placed-lines")
+    verdicts = stored(judged(found, stored(classifier(pages.drop("page_start")), "regions"), texts, marked, placed), "verdicts")
+    return attach(assemble(verdicts, texts, placed), units(texts, marked, line_table))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W_
 from pyspark.sql import functions as F
 
 from evidex.functions.text import B, W, strip
-from evidex.operators.layout import as_of, text_lines, with_page
+from evidex.operators.layout import as_of, lengths, text_lines, with_pages
 
 # Markers and patterns that decide results.
 VARIANTS = "적립형|거치형|즉시형"
@@ -20,13 +20,16 @@ TAIL_WORDS = ["약관에서인용된법령", "약관에서인용한법·규정",
 
 
 def markers(texts: DataFrame, line_table: DataFrame | None = None) -> DataFrame:
-    """document_id, offset, name, variant of every marker in full texts (document_id, full_text); repeats of the one before are dropped."""
-    order = W_.partitionBy("document_id").orderBy("offset")
+    """document_id, offset, name, variant of every marker in full texts (document_id, full_text) or their lines; repeats of the one before are dropped."""
     lines = text_lines(texts) if line_table is None else line_table
-    placed = lines.select("document_id", "offset", strip("line").alias("s")).withColumn("after", F.lead("s").over(order))
-    one, two = F.col("s").rlike(ONE_LINE), F.col("s").rlike(TWO_LINES) & F.coalesce(F.col("after").rlike(SECOND_LINE), F.lit(False))
+    s, behind = strip("line"), F.col("offset") + F.length("line") + 1
+    likely = lines.select("document_id", "offset", s.alias("s"), behind.alias("_below")).where(~F.col("s").rlike(SKIPPED) & (F.col("s").rlike(ONE_LINE) | F.col("s").rlike(TWO_LINES)))
+    # few lines are of either kind, so that a line meets the one below by where that begins
+    below = lines.where(s.rlike(SECOND_LINE)).select("document_id", F.col("offset").alias("_below"), F.lit(True).alias("_second")).distinct()
+    placed = likely.join(below, ["document_id", "_below"], "left")
+    one, two = F.col("s").rlike(ONE_LINE), F.col("s").rlike(TWO_LINES) & F.coalesce("_second", F.lit(False))
     pick = lambda g: F.when(one, F.regexp_extract("s", ONE_LINE, g)).otherwise(F.regexp_extract("s", TWO_LINES, g))
-    hits = placed.where(~F.col("s").rlike(SKIPPED) & (one | two)).select("document_id", "offset", strip(pick(1)).alias("name"), pick(2).alias("variant"))
+    hits = placed.where(one | two).select("document_id", "offset", strip(pick(1)).alias("name"), pick(2).alias("variant"))
     by = W_.partitionBy("document_id").orderBy("offset")
     again = F.lag("name").over(by).eqNullSafe(F.col("name")) & F.lag("variant").over(by).eqNullSafe(F.col("variant"))
     return hits.withColumn("again", again).where(~F.col("again")).drop("again")
@@ -40,21 +43,24 @@ def tail_offset(text: Column, start: Column) -> Column:
     return F.array_min(F.filter(F.array(*found), lambda x: x > 0)).cast("long") - 1 + start
 
 
-def units(texts: DataFrame, marked: DataFrame) -> DataFrame:
-    """Policy units of full texts (document_id, full_text, total_len, starts): id, name, variant, both ends (inclusive) and their pages, and the document's tail cutoff."""
+def units(texts: DataFrame, marked: DataFrame, line_table: DataFrame | None = None) -> DataFrame:
+    """Policy units of full texts (document_id, full_text, total_len, starts), or of an outline and the lines: id, name, variant, both ends (inclusive) and their pages, and the document's tail cutoff."""
     by = W_.partitionBy("document_id").orderBy("offset")
     last = F.col("next").isNull()
-    placed = marked.withColumns({"number": F.row_number().over(by) - 1, "next": F.lead("offset").over(by)}).join(texts.select("document_id", "total_len"), "document_id")
-    # a document's text meets its last marker only
-    tails = placed.where(last).select("document_id", "offset").join(texts.select("document_id", "full_text"), "document_id").select("document_id", tail_offset(F.col("full_text"), F.col("offset")).alias("tail_cutoff"))
+    placed = marked.withColumns({"number": F.row_number().over(by) - 1, "next": F.lead("offset").over(by)}).join(lengths(texts), "document_id")
+    # only the text from a document's last marker on is looked at
+    lines = text_lines(texts) if line_table is None else line_table.select("document_id", "offset", "line")
+    behind = lines.join(placed.where(last).select("document_id", F.col("offset").alias("_from")), "document_id").where("offset >= _from")
+    behind = behind.groupBy("document_id", "_from").agg(F.array_sort(F.collect_list(F.struct("offset", "line"))).alias("_lines"))
+    text = F.array_join(F.transform("_lines", lambda x: x["line"]), "\n")
+    tails = behind.withColumn("_text", text).select("document_id", (tail_offset(F.col("_text"), F.lit(0)) + F.col("_from")).alias("tail_cutoff"))
     joined = placed.join(tails, "document_id").withColumn("tail", F.when(last, F.col("tail_cutoff")))
     end = F.greatest(F.col("offset"), F.least(F.coalesce(F.col("next"), F.col("total_len")) - 1, F.col("total_len") - 1))
     joined = joined.withColumn("plain_end", end)
     cut = F.col("tail") - 1
     end = F.when(last & (cut >= F.col("offset")) & (cut <= F.col("total_len") - 1), cut).otherwise(F.col("plain_end"))
     joined = joined.withColumn("end_offset", end)
-    joined = with_page(joined.drop("total_len"), texts, F.col("offset"), "start_page")
-    joined = with_page(joined, texts, F.col("end_offset"), "end_page")
+    joined = with_pages(joined.drop("total_len"), texts, {"start_page": "offset", "end_page": "end_offset"})
     return joined.select(
         "document_id",
         F.format_string("%s::pu::%04d", "document_id", "number").alias("policy_unit_id"),

@@ -240,7 +240,7 @@ def q_explode_lines(spark, sf_dir):
 def q_page_for_offset(spark, sf_dir):
     pages = pages_of(spark, sf_dir)
     asked = layout.lines(pages).select("document_id", F.col("offset").cast("long").alias("offset"))
-    out = layout.with_page(asked, layout.full_text(pages), F.col("offset"), "page")
+    out = layout.with_page(asked, layout.outline(pages), F.col("offset"), "page")
     return out.select("document_id", "offset", F.col("page").cast("long").alias("page")).distinct()
 
 
@@ -269,9 +269,10 @@ _FULL = (O.REGIONS, O.CANDIDATES, O.MARKERS, O.VERDICTS)
 
 
 def _verdicts(spark, sf_dir):
-    pages = stored(pages_of(spark, sf_dir), "pages")
-    texts = stored(layout.full_text(pages), "texts")
-    return sections.judged(stored(sections.candidates(pages), "candidates"), stored(regions.classify(pages), "regions"), texts, units.markers(texts))
+    pages = stored(layout.with_page_start(pages_of(spark, sf_dir)), "pages")
+    lines = stored(layout.lines(pages, all_pages=True), "lines")
+    texts = layout.outline(pages)
+    return sections.judged(stored(sections.candidates(lines), "candidates"), stored(regions.classify(pages.drop("page_start")), "regions"), texts, units.markers(texts, lines), lines)
 
 
 @query(O.after(*_FULL) + "SELECT document_id, start_char_offset, section_type, blocked IS NULL AS emit, coalesce(blocked, '') AS reason FROM v10")
@@ -291,13 +292,15 @@ def q_sections(spark, sf_dir):
 
 @query(O.after(O.MARKERS) + 'SELECT document_id, "offset", name, variant FROM mk')
 def q_policy_markers(spark, sf_dir):
-    return units.markers(layout.full_text(pages_of(spark, sf_dir)))
+    pages = pages_of(spark, sf_dir)
+    return units.markers(layout.outline(pages), layout.lines(pages, all_pages=True))
 
 
 @query(O.after(O.MARKERS, O.UNITS) + "SELECT document_id, policy_unit_id, policy_unit_name, variant_name, start_char_offset, end_char_offset, coalesce(tail_cutoff, -1) AS tail_cutoff FROM un")
 def q_policy_units(spark, sf_dir):
-    texts = layout.full_text(pages_of(spark, sf_dir))
-    return units.units(texts, units.markers(texts)).select("document_id", "policy_unit_id", "policy_unit_name", "variant_name", "start_char_offset", "end_char_offset", F.coalesce("tail_cutoff", F.lit(-1)).alias("tail_cutoff"))
+    pages = stored(layout.with_page_start(pages_of(spark, sf_dir)), "pages")
+    lines, texts = stored(layout.lines(pages, all_pages=True), "lines"), layout.outline(pages)
+    return units.units(texts, stored(units.markers(texts, lines), "markers"), lines).select("document_id", "policy_unit_id", "policy_unit_name", "variant_name", "start_char_offset", "end_char_offset", F.coalesce("tail_cutoff", F.lit(-1)).alias("tail_cutoff"))
 
 
 @query(O.after(*_FULL, O.UNITS, O.SECTIONS) + "SELECT section_type, variant_name, count(*) AS n, count(policy_unit_id) AS in_unit, count(parent_section_id) AS with_parent FROM sc GROUP BY 1, 2")
