@@ -11,16 +11,22 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidex.functions.text import casefold
+from evidex.sources.folders import uri
+from evidex.sources.tables import shared_path
 
 #: Section types that searches leave out unless told otherwise.
 DEFAULT_EXCLUDED = ("toc", "cover", "guide", "summary")
 
 QUERY_BLOCK = 1024
+#: Rows of an index that meet a block of queries at a time, and pairs of the two that are scored at a time.
+ROWS_AT_ONCE, MET = 4096, 1 << 18
 #: By how much a matrix product may differ from the exact sum.
 CLOSE = 1e-6
 
@@ -81,45 +87,90 @@ def search(index: DataFrame, vector: list[float] | Column, top_k: int = 5, filte
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "row_idx")))
 
 
-def _best_of_part(held, section: bool):
-    """For mapInArrow over (row_idx, section_id, insurer, product_type, variant_name, embedding): (query_id, row_idx) of all rows of a batch that may be among a query's best.
-
-    Scores are a matrix product; what lies within CLOSE of the last place is kept too, since the exact scores decide later.
+class _Block:
+    """A block of queries and, of all index rows seen so far, at most top_k of each: their scores, numbers and sections."""
+
+    def __init__(self, rows: pa.Table):
+        column = lambda c: rows[c].combine_chunks()
+        self.ids, self.top = column("query_id"), column("top_k").to_numpy()
+        self.vectors = column("vector").flatten().to_numpy().reshape(len(rows), -1)
+        self.section = np.array(column("dedupe_section").to_pylist(), bool)
+        asked = list(zip(*(column(c).to_pylist() for c in ("insurer", "product_type", "variant_name"))))
+        self.wanted = sorted(set(asked), key=repr)
+        self.which = np.array([self.wanted.index(x) for x in asked])
+        self.least = np.full(len(rows), -np.inf)
+        none = np.zeros(0, np.int64)
+        self.held = (none, np.zeros(0), none, np.zeros(0, object))
+
+    def meet(self, row_idx: np.ndarray, sections: np.ndarray, facets: list[np.ndarray], vectors: np.ndarray) -> None:
+        found_q, found_r = [], []
+        code = np.unique(sections.astype(str), return_inverse=True)[1]
+        order = np.argsort(code, kind="stable")
+        for f, (insurer, kind, variant) in enumerate(self.wanted):
+            fine = np.ones(len(row_idx), bool)
+            for want, have in ((insurer, facets[0]), (kind, facets[1])):
+                fine &= True if want is None else have == want
+            if variant is not None:
+                fine &= np.array([v is not None and variant in v for v in facets[2]], bool)
+            rows = order[fine[order]]
+            if not len(rows):
+                continue
+            first = np.flatnonzero(np.append(True, code[rows][1:] != code[rows][:-1]))
+            for section in (False, True):
+                for k in np.unique(self.top[(self.which == f) & (self.section == section)]):
+                    asking = np.flatnonzero((self.which == f) & (self.section == section) & (self.top == k))
+                    scores = self.vectors[asking] @ vectors[rows].T
+                    best = np.maximum.reduceat(scores, first, axis=1) if section else scores
+                    least = np.partition(best, -k, axis=1)[:, -k] if best.shape[1] >= k else np.full(len(asking), -np.inf)
+                    # products of matrices differ a little from sums in order, which decide below
+                    q, r = np.nonzero(scores >= np.maximum(least, self.least[asking])[:, None] - CLOSE)
+                    found_q.append(asking[q])
+                    found_r.append(rows[r])
+        if not found_q or not sum(map(len, found_q)):
+            return
+        q, r = np.concatenate(found_q), np.concatenate(found_r)
+        for i in range(0, len(q), MET):
+            self._keep(q[i : i + MET], r[i : i + MET], row_idx, sections, vectors)
+
+    def _keep(self, q: np.ndarray, r: np.ndarray, row_idx: np.ndarray, sections: np.ndarray, vectors: np.ndarray) -> None:
+        score = np.zeros(len(q))
+        for d in range(vectors.shape[1]):
+            score += vectors[r, d] * self.vectors[q, d]
+        q, score, rows, names = (np.concatenate(x) for x in zip(self.held, (q, score, row_idx[r], sections[r])))
+        own = np.where(self.section[q], np.unique(names.astype(str), return_inverse=True)[1], -1 - rows)
+        order = np.lexsort((rows, -score, own, q))
+        first = np.append(True, (q[order][1:] != q[order][:-1]) | (own[order][1:] != own[order][:-1]))[: len(order)]
+        best = order[first]
+        best = best[np.lexsort((rows[best], -score[best], q[best]))]
+        begins = np.flatnonzero(np.append(True, q[best][1:] != q[best][:-1]))
+        place = np.arange(len(best)) - np.repeat(begins, np.diff(np.append(begins, len(best))))
+        kept = best[place < self.top[q[best]]]
+        full = best[place == self.top[q[best]] - 1]
+        self.least[q[full]] = score[full]
+        self.held = (q[kept], score[kept], rows[kept], names[kept])
+
+
+def _best_of_part(folder: str):
+    """For mapInArrow over (row_idx, section_id, insurer, product_type, variant_name, embedding): (query_id, row_idx) of the rows of a task that may be among a query's best, at most top_k a query.
+
+    Blocks of queries lie as files in `folder`. The task's rows are read once; a run of them meets one block after the other, and
+    a row is looked at closely only if it reaches the last place that the query has so far.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, top, wanted, which = held.value
+        store, path = fs.FileSystem.from_uri(folder)
+        files = sorted(f.path for f in store.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet"))
+        blocks: list[_Block] = []
         for b in batches:
-            if not len(b):
-                continue
-            row_idx, sections = b.column(0).to_numpy(zero_copy_only=False), np.asarray(b.column(1).to_pylist(), object)
-            facets = [np.array(b.column(i).to_pylist(), object) for i in (2, 3, 4)]
-            rows = np.stack(b.column(5).to_numpy(zero_copy_only=False)).astype(np.float64)
-            code = np.unique(sections.astype(str), return_inverse=True)[1] if section else np.arange(len(b))
-            order = np.argsort(code, kind="stable")
-            first = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
-            found_q, found_r = [], []
-            for f, (insurer, kind, variant) in enumerate(wanted):
-                fine = np.ones(len(b), bool)
-                for want, have in ((insurer, facets[0]), (kind, facets[1])):
-                    fine &= True if want is None else have == want
-                if variant is not None:
-                    fine &= np.array([v is not None and variant in v for v in facets[2]], bool)
-                asking = np.flatnonzero(which == f)
-                if not fine.any() or not len(asking):
-                    continue
-                scores = np.where(fine[None, :], vectors[asking] @ rows.T, -np.inf)[:, order]
-                best = np.maximum.reduceat(scores, first, axis=1)
-                for i, q in enumerate(asking):
-                    k = min(int(top[q]), best.shape[1])
-                    least = np.partition(best[i], -k)[-k] - CLOSE
-                    # rows of places before the last, and of a section those next to its own best
-                    near = (scores[i] >= least) & (scores[i] >= np.repeat(best[i], np.diff(np.append(first, len(order)))) - CLOSE) & np.isfinite(scores[i])
-                    found_r.append(order[near])
-                    found_q.append(np.full(near.sum(), q))
-            if found_q:
-                q, r = np.concatenate(found_q), np.concatenate(found_r)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(row_idx[r])], ["query_id", "row_idx"])
+            for i in range(0, len(b), ROWS_AT_ONCE):
+                part = b.slice(i, ROWS_AT_ONCE)
+                blocks = blocks or [_Block(t) for t in (pq.read_table(f, filesystem=store) for f in files) if len(t)]
+                facets = [np.array(part.column(i).to_pylist(), object) for i in (2, 3, 4)]
+                vectors = np.stack(part.column(5).to_numpy(zero_copy_only=False)).astype(np.float64)
+                for block in blocks:
+                    block.meet(part.column(0).to_numpy(zero_copy_only=False), np.asarray(part.column(1).to_pylist(), object), facets, vectors)
+        for block in blocks:
+            yield pa.RecordBatch.from_arrays([block.ids.take(pa.array(block.held[0])), pa.array(block.held[2])], ["query_id", "row_idx"])
 
     return run
 
@@ -127,29 +178,17 @@ def _best_of_part(held, section: bool):
 def search_many(index: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
     """Hits of many queries (id, vector, top_k, dedupe_section and nullable insurer, product_type, variant_name): query id, rank, score and the index's columns.
 
-    Queries go round in blocks of about `block`, whatever their number; the index is read once for each. A batch of index rows
-    meets a block as a matrix product and hands on its best rows of each query, which are scored and ranked exactly.
+    Queries are written in blocks of about `block`; the index is read once, whatever their number. Each task hands on at most
+    top_k rows of a query, which are scored and ranked again together.
     """
-    spark = index.sparkSession
     facets = ("insurer", "product_type", "variant_name")
-    asked = queries.select(F.col("id").alias("query_id"), F.transform("vector", lambda v: v.cast("double")).alias("vector"), F.greatest("top_k", F.lit(1)).alias("top_k"), "dedupe_section", *[casefold(c).alias(c) for c in facets])
+    asked = queries.select(F.col("id").alias("query_id"), F.transform("vector", lambda v: v.cast("double")).alias("vector"), F.greatest("top_k", F.lit(1)).alias("top_k"), F.coalesce(F.col("dedupe_section").cast("boolean"), F.lit(False)).alias("dedupe_section"), *[casefold(c).alias(c) for c in facets])
     eligible = index.where(SearchFilters().predicate())
     rows = eligible.select("row_idx", "section_id", *[casefold(c).alias(c) for c in facets], "embedding")
-    blocks = max(1, -(-asked.count() // block))
-    met = None
-    for i in range(blocks):
-        # about `block` queries, so the broadcast is bounded
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()
-        for section in {bool(r["dedupe_section"]) for r in part}:
-            some = [r for r in part if bool(r["dedupe_section"]) == section]
-            wanted = sorted({tuple(r[c] for c in facets) for r in some}, key=repr)
-            which = np.array([wanted.index(tuple(r[c] for c in facets)) for r in some])
-            ids = np.array([r["query_id"] for r in some], object)
-            held = spark.sparkContext.broadcast((ids, np.array([r["vector"] for r in some], np.float64), np.array([r["top_k"] for r in some]), wanted, which))
-            found = rows.mapInArrow(_best_of_part(held, section), f"query_id {dict(asked.dtypes)['query_id']}, row_idx {dict(index.dtypes)['row_idx']}")
-            met = found if met is None else met.unionByName(found)
-    if met is None:
-        met = spark.createDataFrame([], f"query_id {dict(asked.dtypes)['query_id']}, row_idx {dict(index.dtypes)['row_idx']}")
+    folder = shared_path(index.sparkSession, "queries")
+    asked.repartition(max(1, -(-asked.count() // block)), "query_id").write.parquet(folder)
+    asked = index.sparkSession.read.schema(asked.schema).parquet(folder)
+    met = rows.mapInArrow(_best_of_part(uri(folder)), f"query_id {dict(asked.dtypes)['query_id']}, row_idx {dict(index.dtypes)['row_idx']}")
     scored = met.join(asked.select("query_id", "vector", "top_k", "dedupe_section"), "query_id").join(eligible, "row_idx").withColumn("score", dot(F.col("embedding"), F.col("vector"))).drop("embedding", "vector")
     order = lambda *by: W.partitionBy(*by).orderBy(F.desc("score"), "row_idx")
     own = F.when(F.col("dedupe_section"), F.col("section_id")).otherwise(F.col("row_idx").cast("string"))

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidex.functions import text as T
-from evidex.operators import chunking, evaluation, identity, layout, quality, regions, search, sections, staging, units
+from evidex.operators import chunking, evaluation, identity, layout, quality, regions, search, sections, staging, units, validation
 from evidex.plans import corpus
 from evidex.plans import oracle as O
-from evidex.sources.tables import stored
+from evidex.sources import paged
+from evidex.sources.folders import write_files
+from evidex.sources.tables import shared_path, stored
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -460,6 +462,41 @@ def q_staging_entries(spark, sf_dir):
     return out.select("doc_id", "reason", F.col("entry_document_id").alias("document_id"), F.col("entry_notes").alias("notes"))
 
 
+#: Over d (doc_id): fields of chunk rows as JSON may hold them, some of them wrong.
+_FAULTY = {
+    "document_id": "CASE WHEN d % 13 <> 0 THEN 'doc_' || d END",
+    "section_type": "CASE d % 11 WHEN 0 THEN 'nonsense' WHEN 1 THEN ' part ' ELSE 'article' END",
+    "chunk_index": "CASE d % 7 WHEN 0 THEN '2.0' WHEN 1 THEN '2.5' WHEN 2 THEN '-1' WHEN 3 THEN 'abc' WHEN 4 THEN '007' ELSE '' || d END",
+    "page_start": "'' || (d % 5 - 1)",
+    "char_count": "CASE WHEN d % 17 <> 0 THEN '' || length(text) END",
+}
+_PLAIN = ("chunk_id", "section_id", "section_title", "text", "chunking_strategy")
+_COUNTS = ("page_end", "char_start", "char_end", "token_estimate", "source_section_char_start", "source_section_char_end")
+
+
+@query(
+    f"""WITH f AS (SELECT doc_id, {", ".join(f"{v} AS {k}" for k, v in _FAULTY.items())} FROM (SELECT doc_id, doc_id AS d, coalesce(text, '') AS text FROM documents))
+SELECT doc_id, concat_ws(',', CASE WHEN document_id IS NULL THEN 'document_id:missing' END, CASE WHEN char_count IS NULL THEN 'char_count:missing' END,
+  CASE WHEN try_cast(chunk_index AS DOUBLE) IS NULL OR try_cast(chunk_index AS DOUBLE) <> floor(try_cast(chunk_index AS DOUBLE)) THEN 'chunk_index:not_an_integer' WHEN chunk_index::DOUBLE < 0 THEN 'chunk_index:below_0' END,
+  CASE WHEN page_start::INT < 1 THEN 'page_start:below_1' END, CASE WHEN section_type = 'nonsense' THEN 'section_type:not_one_of' END) AS violations FROM f"""
+)
+def q_artifact_violations(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").selectExpr("doc_id", "doc_id d", "coalesce(text, '') text").selectExpr("doc_id", *[f"{v} {k}" for k, v in _FAULTY.items()], *[f"'x' {c}" for c in _PLAIN], *[f"'1' {c}" for c in _COUNTS])
+    return validation.validated(rows, "chunks").select("doc_id", F.array_join("violations", ",").alias("violations"))
+
+
+@query(O.after("t0 AS (SELECT document_id, page_number, replace(text, chr(12), ' ') AS t FROM pg)") + "SELECT document_id, page_number, length(t) AS char_count, sha256(t) AS text_hash, sha256(string_agg(t, chr(12)) OVER (PARTITION BY document_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS file_hash FROM t0")
+def q_paged_files(spark, sf_dir):
+    """A file of pages for each document, written and read again by ranges of bytes that are shorter than most of them."""
+    pages = pages_of(spark, sf_dir).withColumn("text", F.translate("text", "\f", " "))
+    whole = pages.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("p"))
+    folder = shared_path(spark, "paged-files")
+    write_files(whole.select(F.concat("document_id", F.lit(".txt")).alias("name"), F.array_join(F.transform("p", lambda x: x["text"]), "\f").alias("body")), folder)
+    found = paged.with_digests(paged.listed(spark, folder, "*.txt"))
+    back = paged.pages(found, size=1024).join(found.select("path", "filename", "content_hash"), F.col("document_id") == F.col("path"))
+    return back.select(F.regexp_replace("filename", "\\.txt$", "").alias("document_id"), F.col("page_number").cast("long").alias("page_number"), F.col("char_count").cast("long").alias("char_count"), F.sha2("text", 256).alias("text_hash"), F.col("content_hash").alias("file_hash"))
+
+
 @query("SELECT doc_id, sha256(text) AS content_hash, CASE WHEN doc_id % 10 = 3 THEN 'missing_file' WHEN doc_id % 10 = 7 THEN 'hash_mismatch' END AS problem FROM documents")
 def q_hash_verify(spark, sf_dir):
     from evidex.sources.readers import verified

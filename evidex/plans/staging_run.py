@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidex.operators.staging import entries
-from evidex.sources.folders import write_files
-from evidex.sources.readers import form_feed_pages, head_texts, inbox, pages
+from evidex.sources import paged
+from evidex.sources.folders import copy_files
+from evidex.sources.readers import files, form_feed_pages, head_texts, inbox, pages
 from evidex.sources.tables import stored
 from evidex.sources.writers import write_manifest
 
@@ -22,10 +23,12 @@ def stage(spark: SparkSession, folder: str, root: str, extract: Callable[[bytes]
     FileNotFoundError.
     """
     found = inbox(spark, folder)
-    heads = head_texts(found, pages(found, extract), most_pages)
+    # text is read up to its last page wanted; other extractors take a file's bytes whole
+    paged_ = paged.pages(found, last=most_pages) if extract is form_feed_pages else pages(files(spark, folder), extract)
+    heads = head_texts(paged.with_digests(found), paged_, most_pages)
     out = stored(entries(heads.select("path", "filename", "head_text", "content_hash"), keep=("path",)), "staged")
     if apply:
         named = found.join(out.where("reason = ''").select("path", "entry_document_id"), "path")
-        write_files(named.select(F.concat("entry_document_id", F.lit(".pdf")).alias("name"), F.col("content").alias("body")), f"{root}/data/raw/manual", keep=True)
+        copy_files(named.select(F.concat("entry_document_id", F.lit(".pdf")).alias("name"), "path"), f"{root}/data/raw/manual")
         write_manifest(out, f"{root}/data/manifests/manual.yaml")
     return out

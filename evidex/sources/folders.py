@@ -16,6 +16,15 @@ def uri(folder: str) -> str:
     return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
 
+def place(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, as Spark writes it, and the name there; names may hold any character."""
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    at = path.find("/", path.index("://") + 3)
+    store, base = fs.FileSystem.from_uri(path if at < 0 else path[:at])
+    return store, base.rstrip("/") + ("" if at < 0 else path[at:])
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
@@ -23,7 +32,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def put(folder: str, name: str, body: bytes) -> bool:
     """Writes a file under another name and moves it into place. False if the same bytes stand there; other bytes: FileExistsError."""
-    store, path = fs.FileSystem.from_uri(uri(folder))
+    store, path = place(folder)
     if store.get_file_info(f"{path}/{name}").type == fs.FileType.File:
         if _digest(store, f"{path}/{name}") == hashlib.sha256(body).hexdigest():
             return False
@@ -34,7 +43,7 @@ def put(folder: str, name: str, body: bytes) -> bool:
 
 def replace(folder: str, name: str, body: bytes) -> None:
     """As put, whatever stands there."""
-    store, path = fs.FileSystem.from_uri(uri(folder))
+    store, path = place(folder)
     store.create_dir(path, recursive=True)
     part = f"{path}/.{uuid.uuid4().hex}"
     with store.open_output_stream(part) as out:
@@ -42,6 +51,39 @@ def replace(folder: str, name: str, body: bytes) -> None:
     store.move(part, f"{path}/{name}")
 
 
+def copy(source: str, folder: str, name: str, step: int = 1 << 20) -> bool:
+    """As put, of a file's bytes, a block at a time."""
+    store, path = place(folder)
+    theirs, at = place(source)
+    if store.get_file_info(f"{path}/{name}").type == fs.FileType.File:
+        if _digest(store, f"{path}/{name}") == _digest(theirs, at):
+            return False
+        raise FileExistsError(f"{folder}/{name} holds other bytes")
+    store.create_dir(path, recursive=True)
+    part = f"{path}/.{uuid.uuid4().hex}"
+    with theirs.open_input_stream(at) as read, store.open_output_stream(part) as out:
+        while block := read.read(step):
+            out.write(block)
+    store.move(part, f"{path}/{name}")
+    return True
+
+
+def copy_files(named: DataFrame, folder: str) -> int:
+    """Copies every file of named (name, path), in the task that holds the row, and returns how many; a file that holds other bytes is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for b in batches:
+            for name, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if "/" in name:
+                    raise ValueError(f"not a file name: {name!r}")
+                copy(path, folder, name)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return named.select("name", "path").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def _digest(store: fs.FileSystem, path: str, step: int = 1 << 20) -> str:
     found = hashlib.sha256()
     with store.open_input_stream(path) as f:
@@ -50,18 +92,69 @@ def _digest(store: fs.FileSystem, path: str, step: int = 1 << 20) -> str:
     return found.hexdigest()
 
 
+#: A file of a folder that names the staged files which belong in the folder.
+LOG = "_commit"
+
+
 def write_files(named: DataFrame, folder: str, keep: bool = False) -> int:
-    """Writes every row of named (name, body) as a file, in the task that holds it, and returns how many. keep: a file that holds other bytes is an error."""
+    """Writes every row of named (name, body) as a file, in the task that holds it, and returns how many. keep: a file that holds other bytes is an error.
+
+    All or none: files are written aside; once all are there, a log says so, and they move into place. A run that ends before the
+    log leaves the folder as it was; one that ends after it is finished by whoever reads or writes next (settle).
+    """
+    spark = named.sparkSession
+    settle(spark, folder)
+    stage = f".staged-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = place(folder)
         n = 0
         for b in batches:
             for name, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if "/" in name:
                     raise ValueError(f"not a file name: {name!r}")
-                put(folder, name, body) if keep else replace(folder, name, body)
                 n += 1
+                if keep and store.get_file_info(f"{path}/{name}").type == fs.FileType.File:
+                    if _digest(store, f"{path}/{name}") != hashlib.sha256(body).hexdigest():
+                        raise FileExistsError(f"{folder}/{name} holds other bytes")
+                    continue
+                replace(f"{folder}/{stage}", name, body)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     rows = named.select("name", F.col("body").cast("binary").alias("body"))
-    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n = rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if n:
+        replace(folder, LOG, stage.encode())
+        settle(spark, folder)
+    return n
+
+
+def settle(spark: SparkSession, folder: str) -> None:
+    """Finishes a write whose files are all there but not all in place."""
+    store, path = place(folder)
+    if store.get_file_info(f"{path}/{LOG}").type != fs.FileType.File:
+        return
+    with store.open_input_stream(f"{path}/{LOG}") as f:
+        stage = f"{path}/{f.read().decode()}"
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, _ = place(folder)
+        for b in batches:
+            found = own.get_file_info(fs.FileSelector(stage, allow_not_found=True)) if len(b) else []
+            yield pa.RecordBatch.from_arrays([pa.array([f.base_name for f in found if not f.base_name.startswith(".")], pa.string())], ["name"])
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, _ = place(folder)
+        n = 0
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                # another attempt may have moved it
+                if own.get_file_info(f"{stage}/{name}").type == fs.FileType.File:
+                    own.move(f"{stage}/{name}", f"{path}/{name}")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    spark.range(0, 1, 1, 1).mapInArrow(names, "name string").repartition(spark.sparkContext.defaultParallelism, "name").mapInArrow(moved, "n long").agg(F.sum("n")).first()
+    store.delete_file(f"{path}/{LOG}")
+    if store.get_file_info(stage).type == fs.FileType.Directory:
+        store.delete_dir(stage)

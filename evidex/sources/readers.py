@@ -11,13 +11,14 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidex.sources.folders import exists
+from evidex.sources.checked import documents_of, rows_of
+from evidex.sources.folders import exists, settle
+from evidex.sources.paged import listed
 
 MANIFEST = "document_id string, insurer string, product_name string, product_type string, product_slug string, document_type string, effective_date string, source_file string, original_filename string, source_url string, content_hash string, collection_method string, dataset_split string, language string, tags array<string>, notes string"
 PAGE = "document_id string, page_number int, text string, char_count int, extraction_method string"
 SECTION = "document_id string, section_id string, section_type string, title string, start_page int, end_page int, start_char_offset bigint, end_char_offset bigint, parent_section_id string, text string, assembly_confidence double, assembly_evidence array<string>, policy_unit_id string, policy_unit_name string, variant_name string"
 CHUNK = "document_id string, chunk_id string, section_id string, section_type string, section_title string, parent_section_id string, policy_unit_id string, policy_unit_name string, variant_name string, chunk_index int, text string, page_start int, page_end int, char_start bigint, char_end bigint, char_count int, token_estimate int, chunking_strategy string, source_section_char_start int, source_section_char_end int"
-DOCUMENT_FILE = f"document_id string, page_count int, total_char_count bigint, created_at string, pages array<struct<{PAGE.replace(' string', ': string').replace(' int', ': int')}>>"
 
 
 def _mapping(path: str, what: str) -> dict:
@@ -123,24 +124,21 @@ def require_verified(checked: DataFrame) -> DataFrame:
     return checked
 
 
-def _nested(schema: str) -> str:
-    return ", ".join(f"{x.split(' ', 1)[0]}: {x.split(' ', 1)[1]}" for x in schema.split(", "))
-
-
-def artifacts(spark: SparkSession, folder: str, kind: str, required: bool = False) -> DataFrame:
+def artifacts(spark: SparkSession, folder: str, kind: str, required: bool = False, quarantine: str | None = None) -> DataFrame:
     """Rows of the `sections` or `chunks` of a folder's *.{kind}.json files, one artifact a file.
 
     A folder that isn't there has no rows; with `required` it is a FileNotFoundError, and one without such files a ValueError.
+    A file that is no JSON, or has a row that breaks a rule of its model, is an InvalidArtifacts (a ValueError); with
+    `quarantine`, a folder, what is wrong is written there and the other files' rows are returned.
     """
     schema = {"sections": SECTION, "chunks": CHUNK}[kind]
     if not exists(spark, folder):
         if required:
             raise FileNotFoundError(f"{kind} folder not found: {folder}")
         return spark.createDataFrame([], schema)
-    raw = _artifact_files(spark, folder, kind, f"document_id string, {kind} array<struct<{_nested(schema)}>>")
-    if required and raw.isEmpty():
+    if required and listed(spark, folder, f"*.{kind}.json").isEmpty():
         raise ValueError(f"no *.{kind}.json files in {folder}")
-    return raw.select(F.explode(kind).alias("r")).select("r.*")
+    return rows_of(spark, folder, kind, schema, quarantine)
 
 
 def _artifact_files(spark: SparkSession, folder: str, kind: str, schema: str) -> DataFrame:
@@ -149,21 +147,21 @@ def _artifact_files(spark: SparkSession, folder: str, kind: str, schema: str) ->
 
 def chunk_limits(spark: SparkSession, folder: str) -> DataFrame:
     """document_id, max_chars of the *.chunks.json files of a folder; of several files of a document the last by name counts."""
+    settle(spark, folder)
     raw = _artifact_files(spark, folder, "chunks", "document_id string, chunking_config struct<max_chars: int>")
     last = F.max_by("chunking_config.max_chars", F.col("_metadata.file_name"))
     return raw.groupBy("document_id").agg(last.alias("max_chars"))
 
 
-def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """document_id, page_count, total_char_count, pages of a folder's *.json documents, in the order of their paths. No such folder: FileNotFoundError."""
+def documents(spark: SparkSession, folder: str, quarantine: str | None = None) -> DataFrame:
+    """document_id, page_count, total_char_count, created_at, pages of a folder's *.json documents, in the order of their paths. No such folder: FileNotFoundError; what isn't valid: as in artifacts."""
     if not exists(spark, folder):
         raise FileNotFoundError(f"documents folder not found: {folder}")
-    found = spark.read.schema(DOCUMENT_FILE).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
-    return found.select("*", F.col("_metadata.file_path").alias("_path")).orderBy("_path").drop("_path")
+    return documents_of(spark, folder, PAGE, quarantine).orderBy("path").drop("path")
 
 
 def inbox(spark: SparkSession, folder: str) -> DataFrame:
-    """The *.pdf files of an inbox, in the order of their paths; maybe none. No such folder: FileNotFoundError."""
+    """path, filename, length of the *.pdf files of an inbox, in the order of their paths; maybe none. No such folder: FileNotFoundError."""
     if not exists(spark, folder):
         raise FileNotFoundError(f"inbox not found: {folder}")
-    return files(spark, folder).orderBy("path")
+    return listed(spark, folder).orderBy("path")

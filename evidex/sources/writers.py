@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -21,7 +22,7 @@ from evidex.functions.embedders import Embedder, with_embedding
 from evidex.functions.text import prefixed
 from evidex.operators.chunking import ChunkingConfig
 from evidex.operators.identity import enriched
-from evidex.sources.folders import exists, put, replace, uri, write_files
+from evidex.sources.folders import copy, exists, replace, uri, write_files
 from evidex.sources.tables import stored
 
 CONFIG = "index_config.json"
@@ -65,6 +66,8 @@ def write_documents(pages: DataFrame, folder: str, metadata: DataFrame | None =
 def build_index(chunks: DataFrame, folder: str, embedder: Embedder, created_at: str | None = None) -> dict:
     """Writes chunks with metadata and vectors, numbered by (document_id, char_start, char_end, chunk_id), and then the config.
 
+    Rows go to a folder of their own below `versions`; the config, one file that is put in place whole, names it. Until then, and
+    if the run ends before, readers see the index of the config before. Earlier versions stay for readers that hold them.
     Numbers come from a range partitioning and the partitions' sizes, so no task sees all rows. No chunks: ValueError.
     """
     if chunks.isEmpty():
@@ -72,19 +75,16 @@ def build_index(chunks: DataFrame, folder: str, embedder: Embedder, created_at:
     order = ["document_id", "char_start", "char_end", "chunk_id"]
     sorted_rows = chunks.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    staged = f"{folder}/_numbering"
-    rows = sorted_rows.withColumns({"_part": part, "_in": within}).drop("_at")
-    rows.write.mode("overwrite").parquet(staged)
-    spark = chunks.sparkSession
-    rows = spark.read.parquet(staged)
+    spark, version = chunks.sparkSession, f"versions/{uuid.uuid4().hex}"
+    rows = stored(sorted_rows.withColumns({"_part": part, "_in": within}).drop("_at"), "numbering")
     sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     numbered = rows.join(before, "_part").withColumn("row_idx", F.col("_base") + F.col("_in")).drop("_part", "_in", "_base")
     embedded = with_embedding(enriched(numbered).withColumn("_passage", prefixed("text", "passage")), embedder, "_passage").drop("_passage")
-    embedded.write.mode("overwrite").parquet(f"{folder}/index")
-    stats = spark.read.parquet(f"{folder}/index").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    config = {"model_name": embedder.model_name, "embedding_dim": stats["d"], "num_chunks": stats["n"], "created_at": created_at or datetime.now(UTC).isoformat().replace("+00:00", "Z"), "backend": "spark_dot"}
-    spark.createDataFrame([(json.dumps(config, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{CONFIG}")
+    embedded.write.parquet(f"{folder}/{version}")
+    stats = spark.read.parquet(f"{folder}/{version}").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    config = {"model_name": embedder.model_name, "embedding_dim": stats["d"], "num_chunks": stats["n"], "created_at": created_at or datetime.now(UTC).isoformat().replace("+00:00", "Z"), "backend": "spark_dot", "version": version}
+    replace(folder, CONFIG, json.dumps(config, ensure_ascii=False).encode())
     return config
 
 
@@ -93,7 +93,7 @@ def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
     if not exists(spark, f"{folder}/{CONFIG}"):
         raise FileNotFoundError(f"missing index config: {folder}/{CONFIG}")
     config = json.loads(spark.read.text(f"{folder}/{CONFIG}").first()[0])
-    rows = spark.read.parquet(f"{folder}/index")
+    rows = spark.read.parquet(f"{folder}/{config.get('version', 'index')}")
     if (n := rows.count()) != config["num_chunks"]:
         raise ValueError(f"index rows ({n}) != num_chunks ({config['num_chunks']})")
     return rows, config
@@ -212,5 +212,4 @@ _Quoting.add_representer(list, lambda d, v: d.represent_sequence("tag:yaml.org,2
 
 def stage_file(source: str, destination: str) -> bool:
     """Copies a file unless the destination holds the same bytes already (then False); other bytes there: FileExistsError."""
-    with open(source, "rb") as f:
-        return put(os.path.dirname(destination) or ".", os.path.basename(destination), f.read())
+    return copy(os.path.abspath(source), os.path.abspath(os.path.dirname(destination)), os.path.basename(destination))
