@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import SparkSession
 
 from evidex.functions.embedders import Embedder, ModularEmbedder, SentenceTransformerEmbedder
-from evidex.operators import chunking, quality, search, sections
-from evidex.plans import reports, service, staging_run
-from evidex.sources import readers, writers
+from evidex.operators import chunking, evaluation, quality, sections
+from evidex.plans import evaluation_run, ingest_run, reports, service, staging_run
+from evidex.sources import folders, readers, writers
 
 
 def _embedder(name: str | None) -> Embedder:
@@ -41,10 +42,20 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     elif a.command == "index":
         print(json.dumps(writers.build_index(readers.artifacts(spark, a.chunks, "chunks", required=True), a.index, _embedder(a.model))))
     elif a.command == "search":
-        filters = search.SearchFilters(insurer=a.insurer, product_type=a.product_type, variant_name=a.variant)
-        status, body = service.context(spark, {"query": a.query, "index_dir": a.index, "top_k": a.top_k, "dedupe_section": a.dedupe_section, "filters": {k: v for k, v in filters.snapshot().items() if v is not None and k in ("insurer", "product_type", "variant_name")}}, _embedder(a.model))
+        facets = {"document_id": a.document_id, "insurer": a.insurer, "product_type": a.product_type, "product_name": a.product_name, "policy_unit_name": a.policy_unit, "variant_name": a.variant, "include_section_types": a.include_type, "exclude_section_types": a.exclude_type}
+        filters = {k: v for k, v in facets.items() if v} | {"use_default_section_type_excludes": not a.all_types}
+        status, body = service.context(spark, {"query": a.query, "index_dir": a.index, "top_k": a.top_k, "dedupe_section": a.dedupe_section, "filters": filters}, _embedder(a.model))
         print(reports.bundle_json(body), end="")
         return 0 if status == 200 else 1
+    elif a.command == "ingest":
+        print(f"{ingest_run.ingest(spark, a.manifest, a.root, a.out)} documents")
+    elif a.command == "evaluate":
+        per = evaluation_run.evaluate(spark, a.index, a.queries, _embedder(a.model))
+        report = reports.evaluation_report(per, evaluation.summary(per))
+        if a.report:
+            folders.replace(os.path.dirname(os.path.abspath(a.report)), os.path.basename(a.report), report.encode())
+        print(report, end="")
+        return 0 if a.allow_misses or per.where("not pass_at_5 or not all_filters_matched").isEmpty() else 1
     elif a.command == "stage":
         out = staging_run.stage(spark, a.inbox, a.root, apply=a.apply)
         failed = 0
@@ -75,10 +86,18 @@ def parser() -> argparse.ArgumentParser:
     command("quality", "documents")
     command("index", "chunks", "index").add_argument("--model")
     c = command("search", "index", "query")
-    for name in ("--insurer", "--product-type", "--variant", "--model"):
+    for name in ("--document-id", "--insurer", "--product-type", "--product-name", "--policy-unit", "--variant", "--model"):
         c.add_argument(name)
+    for name in ("--include-type", "--exclude-type"):
+        c.add_argument(name, action="append")
+    c.add_argument("--all-types", action="store_true", help="search section types too that are left out unless told otherwise")
     c.add_argument("--top-k", type=int, default=5)
     c.add_argument("--dedupe-section", action="store_true")
+    command("ingest", "manifest", "root", "out")
+    c = command("evaluate", "index", "queries")
+    for name in ("--report", "--model"):
+        c.add_argument(name)
+    c.add_argument("--allow-misses", action="store_true", help="exit with 0 although a query failed")
     c = command("stage", "inbox", "root")
     c.add_argument("--apply", action="store_true")
     return p

@@ -63,13 +63,16 @@ def chunk_report(inspected: DataFrame, groups: DataFrame, largest: DataFrame) ->
 
 
 def evaluation_report(per_query: DataFrame, summary: DataFrame) -> str:
-    """Markdown; a query passes if it hit within rank 5 and all hits met the filters. A query set is a bounded list."""
-    s = summary.first()
-    lines = ["# Retrieval evaluation", "", f"- **total_queries:** {s['total_queries']}", *[f"- **hit@{k}:** {s[f'hit_at_{k}']:.3f}" for k in (1, 3, 5)], ""]
-    said = lambda v: "yes" if v else "no"
-    for r in per_query.orderBy("id").collect():
-        lines += [f"### `{r['id']}` — **{'PASS' if r['pass_at_5'] and r['all_filters_matched'] else 'FAIL'}**", "", *[f"- **hit@{k}:** {said(r[f'pass_at_{k}'])}" for k in (1, 3, 5)], f"- **all results matched filters:** {said(r['all_filters_matched'])}", f"- **note:** {r['note']}", ""]
-        lines += [f"{i}. `{t}` ({k})" for i, (t, k) in enumerate(zip(r["top_titles"], r["top_types"]), 1)] + [""]
+    """Markdown: the rates, a row a query, and what the queries that failed found. A query passes if it hit within rank 5 and all hits met the filters. A query set is a bounded list."""
+    rows = [r.asDict() for r in per_query.orderBy("id").collect()]
+    first = lambda r: next((f"rank {k}" for k in (1, 3, 5) if r[f"pass_at_{k}"]), "no")
+    passed = lambda r: r["pass_at_5"] and r["all_filters_matched"]
+    total = summary.first()
+    rates = ", ".join(f"**hit@{k}:** {total[f'hit_at_{k}']:.3f}" for k in (1, 3, 5))
+    lines = ["# Evaluation", "", f"{total['total_queries']} queries, {rates}", "", *_table([(r["id"], "passed" if passed(r) else "failed", first(r), r["all_filters_matched"]) for r in rows], ("Query", "Result", "Hit within", "Filters met")), ""]
+    for r in rows:
+        if not passed(r):
+            lines += [f"## {r['id']}", "", r["note"], "", *_table([(i, *x) for i, x in enumerate(zip(r["top_types"], r["top_titles"]), 1)], ("Rank", "Type", "Title")), ""]
     return "\n".join(lines).rstrip() + "\n"
 
 
@@ -84,16 +87,12 @@ def hit_lines(hits: list[Row]) -> str:
 
 
 def staging_preview(row: Row) -> str:
-    """What was inferred for a staged file."""
-    lines = ["---", f"original_filename: {row['filename']!r}"]
+    """What was inferred for a staged file, as a table of fields."""
     if row["reason"]:
-        return "\n".join([*lines, "status: skipped", f"error: {row['reason']}"]) + "\n"
-    lines += ["status: ok"] + [f"{n}: {row[f'entry_{n}']!r}" for n in ("document_id", "insurer", "product_name", "product_type", "product_slug", "document_type", "effective_date", "source_file")]
-    review = sorted(n for n, f in row["inference"].items() if f["needs_review"])
-    lines += ["needs_review_fields:", *([f"  - {n}" for n in review] or ["  []"]), "inference:"]
-    for n, f in sorted(row["inference"].items()):
-        lines += [f"  {n}:"] + [f"    {k}: {f[k] if k == 'needs_review' else repr(f[k])}" for k in ("value", "confidence", "needs_review", "evidence")]
-    return "\n".join(lines + ([f"notes: {row['entry_notes']!r}"] if row["entry_notes"] else [])) + "\n"
+        return f"## {row['filename']}\n\nstatus: skipped, {row['reason']}\n\n"
+    fields = [(n, f["value"], f["confidence"], f["evidence"], "yes" if f["needs_review"] else "") for n, f in row["inference"].items()]
+    lines = [f"## {row['filename']}", "", f"status: ok, id {row['entry_document_id']}, from {row['entry_source_file']}", "", *_table(fields, ("Field", "Value", "Confidence", "Evidence", "Review"))]
+    return "\n".join([*lines, "", *[row["entry_notes"], ""] * bool(row["entry_notes"])]) + "\n"
 
 
 def bundle_json(bundle: dict) -> str:

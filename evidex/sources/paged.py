@@ -48,6 +48,18 @@ def listed(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     return _spread(spark.range(0, 1, 1, 1).mapInArrow(run, "path string, filename string, length long"), "path")
 
 
+def present(files: DataFrame) -> DataFrame:
+    """Those of files (path) that are there, with their length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            infos = [(path, store.get_file_info(name)) for path in b.column("path").to_pylist() for store, name in [place(path)]]
+            there = [(path, info.size) for path, info in infos if info.is_file]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in there], pa.string()), pa.array([n for _, n in there], pa.int64())], ["path", "length"])
+
+    return _spread(files.select("path"), "path").mapInArrow(run, "path string, length long")
+
+
 def opened(path: str) -> pa.NativeFile:
     """A file by a path as Spark gives it."""
     store, name = place(path)
