@@ -26,7 +26,7 @@ DEFAULT_EXCLUDED = ("toc", "cover", "guide", "summary")
 
 QUERY_BLOCK = 1024
 #: Rows of an index that meet a block of queries at a time, and pairs of the two that are scored at a time.
-ROWS_AT_ONCE, MET = 4096, 1 << 18
+ROWS_AT_ONCE, MET = 1024, 1 << 16
 #: By how much a matrix product may differ from the exact sum.
 CLOSE = 1e-6
 
@@ -166,7 +166,7 @@ def _best_of_part(folder: str):
                 part = b.slice(i, ROWS_AT_ONCE)
                 blocks = blocks or [_Block(t) for t in (pq.read_table(f, filesystem=store) for f in files) if len(t)]
                 facets = [np.array(part.column(i).to_pylist(), object) for i in (2, 3, 4)]
-                vectors = np.stack(part.column(5).to_numpy(zero_copy_only=False)).astype(np.float64)
+                vectors = part.column(5).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
                 for block in blocks:
                     block.meet(part.column(0).to_numpy(zero_copy_only=False), np.asarray(part.column(1).to_pylist(), object), facets, vectors)
         for block in blocks:
