@@ -6,9 +6,13 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+
+#: Characters (or what an embedder counts) of a padded batch, by how much lengths in it may differ, and below which all go together.
+CELLS, SLACK, SHORT = 1 << 17, 1.25, 64
 
 
 class Embedder(Protocol):
@@ -62,12 +66,35 @@ class SentenceTransformerEmbedder:
         return self._encode([text])[0]
 
 
-def with_embedding(rows: DataFrame, embedder: Embedder, text: str = "text") -> DataFrame:
-    """rows with `embedding` (array<float>) of a text column."""
-
-    @F.pandas_udf("array<float>")
-    def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield pd.Series(list(embedder.passages(part.fillna("").tolist())) if len(part) else [], index=part.index)
-
-    return rows.withColumn("embedding", embed(F.col(text)))
+def by_length(lengths: np.ndarray, cells: int = CELLS, slack: float = SLACK) -> Iterator[np.ndarray]:
+    """Places of texts in batches of like length, longest first: at most `cells` once padded to the longest (or one text), which is at most `slack` times the shortest, or SHORT."""
+    order = np.argsort(-lengths, kind="stable")
+    begin = 0
+    while begin < len(order):
+        longest = max(int(lengths[order[begin]]), 1)
+        end = begin + max(1, cells // longest)
+        if longest > SHORT:
+            end = min(end, begin + int(np.searchsorted(-lengths[order[begin:]], -longest / slack, side="right")))
+        yield order[begin : max(end, begin + 1)]
+        begin = max(end, begin + 1)
+
+
+def with_embedding(rows: DataFrame, embedder: Embedder, text: str = "text", profile: ResourceProfile | None = None, cells: int = CELLS) -> DataFrame:
+    """rows with `embedding` (array<float>) of a text column; null is the empty text.
+
+    Within an Arrow batch, texts of like length go to the model together, so that little is padded, and their vectors come back in
+    the rows' order. An embedder may state `length(text)`, else characters count. profile: resources of the tasks that embed, such
+    as a GPU each, where the cluster schedules by stage.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        length = getattr(embedder, "length", len)
+        for b in batches:
+            texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            vectors: list[np.ndarray | None] = [None] * len(texts)
+            for part in by_length(np.fromiter(map(length, texts), np.int64, len(texts)), cells):
+                for i, v in zip(part.tolist(), embedder.passages([texts[i] for i in part])):
+                    vectors[i] = np.asarray(v, np.float32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float32()))], [*b.schema.names, "embedding"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("embedding", ArrayType(FloatType()))]), profile=profile)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidex.functions import text as T
+from evidex.functions.embedders import ModularEmbedder, with_embedding
 from evidex.operators import chunking, evaluation, identity, layout, quality, regions, search, sections, staging, units, validation
 from evidex.plans import corpus
 from evidex.plans import oracle as O
@@ -196,6 +197,19 @@ def q_enrich_labels(spark, sf_dir):
 # text and quality
 
 
+@query(
+    f"""WITH p AS (SELECT doc_id, CASE WHEN starts_with(lower({O.strip("coalesce(text, '')")}), 'passage:') THEN {O.strip("coalesce(text, '')")} ELSE 'passage: ' || {O.strip("coalesce(text, '')")} END AS t FROM documents),
+s AS (SELECT doc_id, list_sum(list_transform(string_split(t, ''), lambda c: unicode(c)))::BIGINT AS n FROM p),
+v AS (SELECT doc_id, list_transform(range(8), lambda i: (n + 31 * i) % 251 / 250) AS x FROM s),
+u AS (SELECT doc_id, list_transform(x, lambda y: (y / sqrt(list_sum(list_transform(x, lambda z: z * z))))::FLOAT::DOUBLE) AS e FROM v)
+SELECT doc_id, {", ".join(f"e[{i + 1}] AS d{i}" for i in range(8))} FROM u"""
+)
+def q_passage_vectors(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", T.prefixed(F.coalesce("text", F.lit("")), "passage").alias("passage"))
+    out = with_embedding(rows, ModularEmbedder(), "passage")
+    return out.select("doc_id", *[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(8)])
+
+
 @query(
     O.after()
     + f"""SELECT document_id, page_number, i, CASE WHEN starts_with(lower(s), 'passage:') THEN s ELSE 'passage: ' || s END AS passage, length({O.clip("replace(line, chr(10), ' ')", 240)}) AS preview_chars, {O.compact("line")} = {O.compact(O.spaced("line"))} AS same_title, {O.spaced("line")} AS spaced
