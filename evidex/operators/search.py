@@ -81,8 +81,10 @@ def search(index: DataFrame, vector: list[float] | Column, top_k: int = 5, filte
     scored = index.where(filters.predicate()).withColumn("score", dot(F.col("embedding"), q))
     k = max(top_k, 1)
     if dedupe_section:
-        best = scored.groupBy("section_id").agg(F.max_by(F.struct(*scored.columns), F.struct("score", (-F.col("row_idx")).alias("i"))).alias("r"))
-        scored = best.select("r.*")
+        # sections meet by number and score alone; the k rows that are left, a bounded broadcast, find their texts again
+        best = scored.groupBy("section_id").agg(F.max(F.struct("score", (-F.col("row_idx")).alias("i"))).alias("r"))
+        first = best.select((-F.col("r.i")).alias("row_idx"), "r.score").orderBy(F.desc("score"), "row_idx").limit(k).select("row_idx")
+        scored = scored.join(F.broadcast(first), "row_idx", "left_semi")
     best = scored.orderBy(F.desc("score"), "row_idx").limit(k)
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "row_idx")))
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidex.functions.embedders import Embedder, ModularEmbedder
 from evidex.functions.text import prefixed
 from evidex.operators import chunking, identity, search, sections
+from evidex.sources.tables import stored
 from evidex.sources.writers import build_index, read_index
 
 
@@ -50,12 +50,12 @@ def options(spark: SparkSession, folder: str, most: int = 10_000) -> tuple[int,
         index, _ = read_index(spark, folder.strip())
     except FileNotFoundError as e:
         return 404, {"detail": str(e)}
-    found = identity.filter_options(index)
+    found = stored(identity.filter_options(index), "options")
     counts = {r["dimension"]: r["count"] for r in found.groupBy("dimension").count().collect()}
-    placed = found.withColumn("place", F.row_number().over(W.partitionBy("dimension").orderBy("value")))
-    found = placed.where(F.col("place") <= most).orderBy("dimension", "value").collect()
     names = ("insurers", "product_types", "product_names", "variant_names", "policy_unit_names")
-    menus = {n: [{"value": r["value"], "label": r["label"]} for r in found if r["dimension"] == n] for n in names}
+    # each task keeps its own first values; `most` of a kind come to the driver
+    first = {n: found.where(F.col("dimension") == n).orderBy("value").limit(most).collect() for n in names}
+    menus = {n: [{"value": r["value"], "label": r["label"]} for r in rows] for n, rows in first.items()}
     more = {d: n - most for d, n in counts.items() if n > most}
     return 200, menus | ({"more": more} if more else {})
 
