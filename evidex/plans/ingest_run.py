@@ -21,6 +21,6 @@ def ingest(spark: SparkSession, listing: str, root: str, out: str, stamp: str |
     placed = rows.join(spark.createDataFrame(paths, "document_id string, path string"), "document_id")
     found = paged.with_digests(paged.present(placed.select("path").distinct()))
     require_verified(verified(placed, found))
-    pages = paged.pages(found.select("path", "length")).withColumnRenamed("document_id", "path")
-    named = pages.join(placed.select("path", "document_id"), "path").select("document_id", "page_number", "text", "char_count", "extraction_method")
+    files = found.join(placed.select("path", F.col("document_id").alias("key")), "path")
+    named = paged.pages(files, keep=("key",)).withColumn("document_id", F.col("key")).drop("key")
     return write_documents(named, out, rows.withColumn("content_hash", F.lower(F.trim("content_hash"))), stamp)

@@ -507,7 +507,7 @@ def q_paged_files(spark, sf_dir):
     folder = shared_path(spark, "paged-files")
     write_files(whole.select(F.concat("document_id", F.lit(".txt")).alias("name"), F.array_join(F.transform("p", lambda x: x["text"]), "\f").alias("body")), folder)
     found = paged.with_digests(paged.listed(spark, folder, "*.txt"))
-    back = paged.pages(found, size=1024).join(found.select("path", "filename", "content_hash"), F.col("document_id") == F.col("path"))
+    back = paged.pages(found, size=1024, keep=("filename", "content_hash"))
     return back.select(F.regexp_replace("filename", "\\.txt$", "").alias("document_id"), F.col("page_number").cast("long").alias("page_number"), F.col("char_count").cast("long").alias("char_count"), F.sha2("text", 256).alias("text_hash"), F.col("content_hash").alias("file_hash"))
 
 

@@ -90,18 +90,18 @@ def with_digests(files: DataFrame) -> DataFrame:
     return files.mapInArrow(run, f"{fields}, content_hash string")
 
 
-def ranges(files: DataFrame, size: int = RANGE) -> DataFrame:
-    """path, n, start, stop, breaks, base: byte ranges of files (path, length), the form feeds in each and those before it."""
-    cut = files.select("path", "length", F.explode(F.expr(f"sequence(0L, greatest(length - 1, 0L) div {size}L)")).alias("n"))
-    cut = cut.select("path", "n", (F.col("n") * size).alias("start"), F.least((F.col("n") + 1) * size, F.col("length")).alias("stop"))
+def ranges(files: DataFrame, size: int = RANGE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """path, n, start, stop, breaks, base: byte ranges of files (path, length), the form feeds in each and those before it. keep: text columns that go along."""
+    cut = files.select("path", "length", *keep, F.explode(F.expr(f"sequence(0L, greatest(length - 1, 0L) div {size}L)")).alias("n"))
+    cut = cut.select("path", *keep, "n", (F.col("n") * size).alias("start"), F.least((F.col("n") + 1) * size, F.col("length")).alias("stop"))
     cut = _spread(cut, "path", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts = [sum(block.count(BREAK) for block in _blocks(p, a, z)) for p, a, z in zip(*(b.column(c).to_pylist() for c in ("path", "start", "stop")))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int64())], ["path", "n", "start", "stop", "breaks"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int64())], [*b.schema.names, "breaks"])
 
-    counted = cut.mapInArrow(run, "path string, n long, start long, stop long, breaks long")
+    counted = cut.mapInArrow(run, ", ".join(["path string", *[f"{c} string" for c in keep], "n long, start long, stop long, breaks long"]))
     return running(counted, "n", sums={"base": F.col("breaks")}, by=("path",), span=1024)
 
 
@@ -131,36 +131,39 @@ def _read(path: str, start: int, stop: int | None, number: int | None, first: in
         yield now, b"".join(held).decode("utf-8", "replace")
 
 
-def _pages(rows: list[tuple], method: str) -> Iterator[pa.RecordBatch]:
-    if rows:
-        ids, numbers, texts = (list(c) for c in zip(*rows))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(numbers, pa.int32()), pa.array(texts), pa.array([len(t) for t in texts], pa.int32()), pa.array([method] * len(rows))], _NAMES)
-
-
-def pages(files: DataFrame, first: int = 1, last: int | None = None, size: int = RANGE, method: str = "form_feed") -> DataFrame:
+def pages(files: DataFrame, first: int = 1, last: int | None = None, size: int = RANGE, method: str = "form_feed", keep: tuple[str, ...] = ()) -> DataFrame:
     """A row per page of files (path, length), document_id being the path; first, last: numbers of the pages asked for.
 
+    keep: text columns of files that go along to each page, so that pages needn't be joined to their files: Spark takes pages for
+    as few bytes as the rows of files are, and might send them to every task.
     With first = 1 and a last page, each file is read from its front to that page; else by ranges.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(row: dict, found: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
+            if found:
+                numbers, texts = zip(*found)
+                same = [pa.array([row[c]] * len(found), pa.string()) for c in keep]
+                yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * len(found)), pa.array(numbers, pa.int32()), pa.array(texts), pa.array(map(len, texts), pa.int32()), pa.array([method] * len(found)), *same], [*_NAMES, *keep])
+
         for b in batches:
             for row in b.to_pylist():
                 rows, held = [], 0
                 # a page begins the range only at the front of a file; behind it pages begin after form feeds
                 front = row["start"] == 0
                 for number, text in _read(row["path"], row["start"], row["stop"], 1 if front else None, first if front else first - row["base"] - 1, last if front or last is None else last - row["base"] - 1):
-                    rows.append((row["path"], number if front else number + row["base"] + 1, text))
+                    rows.append((number if front else number + row["base"] + 1, text))
                     held += len(text)
                     if held > BLOCK:
-                        yield from _pages(rows, method)
+                        yield from out(row, rows)
                         rows, held = [], 0
-                yield from _pages(rows, method)
+                yield from out(row, rows)
 
+    shape = ", ".join([PAGE, *[f"{c} string" for c in keep]])
     if first == 1 and last is not None:
-        return files.selectExpr("path", "0L start", "cast(null as long) stop", "0L base").mapInArrow(run, PAGE)
-    cut = ranges(files, size)
+        return files.selectExpr("path", "0L start", "cast(null as long) stop", "0L base", *keep).mapInArrow(run, shape)
+    cut = ranges(files, size, keep)
     # the front range holds pages 1 to breaks + 1, another base + 2 to base + breaks + 1
     least, most = F.when(F.col("start") == 0, 1).otherwise(F.col("base") + 2), F.col("base") + F.col("breaks") + 1
     wanted = cut.where((least <= most) & (most >= first) & (F.lit(True) if last is None else least <= last))
-    return wanted.select("path", "start", "stop", "base").mapInArrow(run, PAGE)
+    return wanted.select("path", "start", "stop", "base", *keep).mapInArrow(run, shape)

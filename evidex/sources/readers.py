@@ -105,7 +105,8 @@ def pages(found: DataFrame, extract: Callable[[bytes], list[str]] = form_feed_pa
 def head_texts(found: DataFrame, paged: DataFrame, most: int = 5) -> DataFrame:
     """found with head_text: its first pages, joined by line breaks."""
     heads = paged.where(F.col("page_number") <= most).groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda x: x["text"]), "\n").alias("head_text"))
-    return found.join(heads, found["path"] == heads["document_id"], "left").drop("document_id").withColumn("head_text", F.coalesce("head_text", F.lit("")))
+    # sizes of pages read by tasks aren't known beforehand, so texts are never broadcast
+    return found.join(heads.hint("merge"), found["path"] == heads["document_id"], "left").drop("document_id").withColumn("head_text", F.coalesce("head_text", F.lit("")))
 
 
 def verified(listed: DataFrame, found: DataFrame) -> DataFrame:
