@@ -153,7 +153,7 @@ class _Block:
 
 
 def _best_of_part(folder: str):
-    """For mapInArrow over (row_idx, section_id, insurer, product_type, variant_name, embedding): (query_id, row_idx) of the rows of a task that may be among a query's best, at most top_k a query.
+    """For mapInArrow over (row_idx, section_id, insurer, product_type, variant_name, embedding): query_id, row_idx, section_id, score, top_k, dedupe_section of the rows of a task that may be among a query's best, at most top_k a query.
 
     Blocks of queries lie as files in `folder`. The task's rows are read once; a run of them meets one block after the other, and
     a row is looked at closely only if it reaches the last place that the query has so far.
@@ -172,7 +172,9 @@ def _best_of_part(folder: str):
                 for block in blocks:
                     block.meet(part.column(0).to_numpy(zero_copy_only=False), np.asarray(part.column(1).to_pylist(), object), facets, vectors)
         for block in blocks:
-            yield pa.RecordBatch.from_arrays([block.ids.take(pa.array(block.held[0])), pa.array(block.held[2])], ["query_id", "row_idx"])
+            q, score, row_idx, sections = block.held
+            columns = [block.ids.take(pa.array(q)), pa.array(row_idx), pa.array(sections, pa.string()), pa.array(score), pa.array(block.top[q]), pa.array(block.section[q])]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "row_idx", "section_id", "score", "top_k", "dedupe_section"])
 
     return run
 
@@ -181,7 +183,7 @@ def search_many(index: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK)
     """Hits of many queries (id, vector, top_k, dedupe_section and nullable insurer, product_type, variant_name): query id, rank, score and the index's columns.
 
     Queries are written in blocks of about `block`; the index is read once, whatever their number. Each task hands on at most
-    top_k rows of a query, which are scored and ranked again together.
+    top_k rows of a query with their exact scores, which are ranked together.
     """
     facets = ("insurer", "product_type", "variant_name")
     asked = queries.select(F.col("id").alias("query_id"), F.transform("vector", lambda v: v.cast("double")).alias("vector"), F.greatest("top_k", F.lit(1)).alias("top_k"), F.coalesce(F.col("dedupe_section").cast("boolean"), F.lit(False)).alias("dedupe_section"), *[casefold(c).alias(c) for c in facets])
@@ -190,12 +192,14 @@ def search_many(index: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK)
     folder = shared_path(index.sparkSession, "queries")
     asked.repartition(max(1, -(-asked.count() // block)), "query_id").write.parquet(folder)
     asked = index.sparkSession.read.schema(asked.schema).parquet(folder)
-    met = rows.mapInArrow(_best_of_part(uri(folder)), f"query_id {dict(asked.dtypes)['query_id']}, row_idx {dict(index.dtypes)['row_idx']}")
-    scored = met.join(asked.select("query_id", "vector", "top_k", "dedupe_section"), "query_id").join(eligible, "row_idx").withColumn("score", dot(F.col("embedding"), F.col("vector"))).drop("embedding", "vector")
+    kinds = dict(asked.dtypes) | dict(index.dtypes)
+    met = rows.mapInArrow(_best_of_part(uri(folder)), f"query_id {kinds['query_id']}, row_idx {kinds['row_idx']}, section_id string, score double, top_k {kinds['top_k']}, dedupe_section boolean")
     order = lambda *by: W.partitionBy(*by).orderBy(F.desc("score"), "row_idx")
     own = F.when(F.col("dedupe_section"), F.col("section_id")).otherwise(F.col("row_idx").cast("string"))
-    first = scored.withColumn("_n", F.row_number().over(order("query_id", own))).where("_n = 1").drop("_n")
-    return first.withColumn("rank", F.row_number().over(order("query_id"))).where(F.col("rank") <= F.col("top_k")).select("query_id", *[c for c in index.columns if c != "embedding"], "top_k", "dedupe_section", "score", "rank")
+    first = met.withColumn("_n", F.row_number().over(order("query_id", own))).where("_n = 1").drop("_n", "section_id")
+    # only a query's last hits meet the index again
+    hits = first.withColumn("rank", F.row_number().over(order("query_id"))).where(F.col("rank") <= F.col("top_k"))
+    return hits.join(eligible.drop("embedding"), "row_idx").select("query_id", *[c for c in index.columns if c != "embedding"], "top_k", "dedupe_section", "score", "rank")
 
 
 CITED = ["chunk_id", "section_id", "section_title", "section_type", "document_id", "insurer", "product_type", "insurer_display_name", "product_type_display_name", "product_display_name", "policy_unit_name", "variant_name", "page_start", "page_end", "char_start", "char_end"]
