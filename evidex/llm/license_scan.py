@@ -1,6 +1,7 @@
 """Licence scan by canonical digest lookup, with DataFrame functions alone.
 
-A text's canonical form is lower-cased; lines that only state a copyright go; equivalent spellings become one (licence, sub-license,
+A text's canonical form is lower-cased; statements of copyright go: one that one of OPENINGS follows in its line, within STATED
+characters, is cut from the line, else a line that begins with one goes; equivalent spellings become one (licence, sub-license,
 non-commercial, v2 for version 2, http for https, & for and); all that is neither letter nor digit becomes one space, and lines
 are trimmed. The SHA-256 of the whole canonical text, its lines joined by spaces, is hash-joined to the digests of known
 licences; so is that of every line by itself, since a notice often stands as a line of a longer document. No part of a text is
@@ -55,7 +56,7 @@ def known_texts() -> list[tuple[str, str]]:
 
 
 def full_texts() -> list[tuple[str, str]]:
-    """(licence, text) of the entire licences in the folder `licenses`, with the spellings in which they are met: as published, and a line for each paragraph."""
+    """(licence, text) of the entire licences in the folder `licenses`, with the spellings in which they are met: as published, a line for each paragraph, and one line."""
     found = [(f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
     texts = dict(found)
     apache = texts["Apache-2.0"]
@@ -71,11 +72,21 @@ def full_texts() -> list[tuple[str, str]]:
         for name, text in (("BSD-3-Clause", three), ("BSD-2-Clause", two)):
             bare = re.sub(r"(?m)^[123]\. ", "", text)
             found += [(name, text), (name, bare)]
-    return found + [(k, re.sub(r"(?<=\S)[ ]*\n[ \t]*(?=\S)", " ", t)) for k, t in found]
+    return found + [(k, re.sub(r"(?<=\S)[ ]*\n[ \t]*(?=\S)", " ", t)) for k, t in found] + [(k, " ".join(t.split())) for k, t in found]
 
 
+#: Words by which a licence or a notice begins behind a statement of copyright in one line.
+OPENINGS = [
+    "permission is hereby granted", "permission to use", "redistribution and use", "everyone is permitted",
+    "licensed under", "licenced under", "released under", "distributed under", "spdx-license-identifier",
+    "this program is", "this software is", "this work is", "this project is", "this file is", "this code is",
+]
+#: The most characters between the mark of a copyright and what follows its statement.
+STATED = 300
+
 #: Pattern and replacement, in order; group 1 is written $1 here.
 RULES = [
+    (r"(?:copyright *(?:\(c\)|©)|(?:copyright|\(c\)|©)[ ,]*(?:[0-9]{4}|[<\[{]y))[^\n]{0,%d}?(%s)" % (STATED, "|".join(OPENINGS)), "$1"),
     (r"(^|\n)[^\p{L}\p{N}\n(©]*(?:copyright(?!\p{L})|\(c\)|©)[^\n]*", "$1"),
     (r"(^|\n)[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*", "$1"),
     (r"sub[ -]licen", "sublicen"),

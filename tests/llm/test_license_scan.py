@@ -75,7 +75,23 @@ def test_file_headers(spark):
 
 def test_canonical_form_against_a_plain_one(spark):
     rng = random.Random(2)
-    parts = ["Copyright", "(c)", "©", "2020", "All rights reserved.", "licence", "sub-license", "Sub license", "non-commercial", "http://", "&", "v2", "ver. 3", "MIT", "é", "--", "#", "copyrighted", "x" * 40, "_"]
+    parts = [*L.OPENINGS, "Copyright (c)", "(c) 2019,", "Copyright [yyyy]", "Copyright <year>", "Copyright", "(c)", "©", "2020", "All rights reserved.", "licence", "sub-license", "Sub license", "non-commercial", "http://", "&", "v2", "ver. 3", "MIT", "é", "--", "#", "copyrighted", "x" * 40, "_"]
     texts = ["\n".join(" ".join(rng.choices(parts, k=rng.randrange(6))) for _ in range(5)) for _ in range(400)] + ["", "\n\n", "copyright", "Copyright\nnext"]
+    texts += [f"Copyright (c) {'y' * n} licensed under MIT (c) 2020 this file is" for n in (L.STATED - 3, L.STATED - 2, L.STATED - 1, L.STATED, 9 * L.STATED)] + ["copyright 2020 " * 20000]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", L.joined(L.canonical(F.col("t"))).alias("c")).collect()
     assert [(r.t, r.c) for r in rows] == [(r.t, plain(r.t)) for r in rows]
+
+
+def test_statements_within_a_line(spark):
+    bsd = next(t for n, t in L.full_texts() if n == "BSD-3-Clause")
+    rows = [
+        (1, "Copyright (c) 2020 Foo. " + " ".join(L.MIT.split()), "MIT"),
+        (2, "The MIT License? " + " ".join(L.MIT.split()), None),
+        (3, "MIT License Copyright (c) 2020 Foo Inc. and others " + " ".join(L.MIT.split()), "MIT"),
+        (4, "Copyright 2020 A\nCopyright <year> B, all rights reserved. " + L.MIT, "MIT"),
+        (5, "Copyright (c) 1999 Some One. All rights reserved. " + " ".join(bsd[bsd.index("Redistribution") :].split()), "BSD-3-Clause"),
+        (6, "Copyright 2020 Permission Isle. " + "z" * L.STATED + " " + L.MIT, None),
+    ]
+    docs = spark.createDataFrame([(d, t, "", "", "") for d, t, _ in rows], SHAPE)
+    got = {r.doc_id: r.license for r in L.license_scan(docs, L.known_digests(spark)).collect()}
+    assert got == {d: k for d, _, k in rows}
