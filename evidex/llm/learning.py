@@ -19,10 +19,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
 
     Bound: per_class documents of each class and `chars` characters of them, taken whole in the order of their ids' hashes. A
     document that the rest of `chars` can't hold is passed over for learning and the next is looked at, so length by itself rules
-    out a text of over `chars` only. Ids with labels of both kinds count as 1; other labels are passed over; rows that repeat an id
-    and a text count once.
+    out a text of over `chars` only. Ids with labels of both kinds count as 1; other labels and labels of ids that docs lacks are
+    passed over; rows that repeat an id and a text count once.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(learn).groupBy("doc_id").agg(F.max(label).alias("y"))
+    labelled = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(learn).groupBy("doc_id").agg(F.max(label).alias("y"))
+    there = docs.select("doc_id").where(F.col("doc_id").isNotNull()).where(learn).distinct()
+    known = written(labelled.join(there, "doc_id", "left_semi"), "known")
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(11))
     picked = None

@@ -130,6 +130,15 @@ def test_sample_is_bounded_by_characters_not_by_length(spark):
     assert sum(len(r.text) > 100_000 for r in some) == 4 and len(some) == 14
 
 
+def test_labels_without_a_document_take_no_place_in_the_sample(spark):
+    from evidex.llm.learning import labelled_sample
+
+    docs = spark.createDataFrame([(d, f"text {d}", "", "", "") for d in range(1000, 1010)] + [(1000, "text 1000", "", "", "")], DOCS)
+    labels = spark.createDataFrame([(d, d % 2) for d in range(1010)], "doc_id long, toxic int")
+    sample, totals = labelled_sample(docs, labels, "toxic", crc_remainder("doc_id", 5) >= 0, per_class=5)
+    assert sorted(r.text for r in sample.collect()) == [f"text {d}" for d in range(1000, 1010)] and totals == (5, 5)
+
+
 def softmax(values):
     top = max(values)
     e = [math.exp(v - top) for v in values]
