@@ -14,10 +14,17 @@
 
 The pipeline's stage (drop_near_copies) has a setting of its own: texts are near-copies if the sets of their NEAR_SHINGLE-word
 shingles have a Jaccard similarity of LEAST (four fifths) or more. Texts with equal sets are one class. Two sets that alike
-share one of the fifth of their shingles (and one more) with the least hashes, so these are the lossless keys. Within a key, sets
-of like size whose fingerprints of 256 bits differ in at most NEAR_BITS meet in a loose cluster (at 0.8, 39 to 48 bits are expected,
-with a standard deviation of 6; pivots rule out nothing at so wide a bound). Within a loose cluster, pairs are judged by the exact
-similarity of their sets; clusters with over SET_CHUNK shingles are dealt as pairs of chunks. Links are spanning throughout.
+share one of the fifth of their shingles (and one more) with the least hashes, so these are the lossless keys. Within a key, pairs
+of like size go through a pivot distance table; those left whose fingerprints of 256 bits differ in at most NEAR_BITS meet in a
+loose cluster (at 0.8, 39 to 48 bits are expected, with a standard deviation of 6). Within a loose cluster, pairs go through the
+table again, and what is left is judged by the exact similarity of the sets; clusters with over SET_CHUNK shingles are dealt as
+pairs of chunks. Links are spanning throughout.
+
+That table is taken before SimHash's majority, since majorities of unrelated texts lie too evenly around any fixed fingerprint for a
+bound of NEAR_BITS. A set is a bit vector over all hashes, and these are dealt in 24 parts with a fixed reference fingerprint each; a
+distance is the set's Hamming distance to it within the part. Two sets of a and b shingles differ in at most (a + b) / 9 places if
+they are alike at 0.8, and by the triangle inequality in at least the sum of their 24 coordinate differences: what that discards is
+lost to no link.
 
 Results for odd input: null ids take part, and a component's id is its smallest id that is not null; rows that repeat an id
 each give a row; an empty table gives none; columns other than doc_id and text are not looked at. For drop_near_copies a document
@@ -48,6 +55,7 @@ NEAR_SHINGLE = 5
 LEAST = (4, 5)
 NEAR_BITS = 90
 SKETCH = ["s0", "s1", "s2", "s3"]
+TABLE = ["d0", "d1", "d2"]
 SET_CHUNK = 1_000_000
 
 
@@ -180,12 +188,29 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > len(shingles), bitorder="little").view("<i8")
 
 
+def pivot_distances(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of 24 Hamming distances for each set: in part h % 24 of the hashes h, to the fingerprint of all h with bit 32 unset there.
+
+    They are without what the reference has itself, equal for all sets, and cut to eight bits, which makes no difference greater.
+    """
+    h, n = np.concatenate(sets), len(PIVOTS)
+    cell = np.repeat(np.arange(len(sets)) * n, [len(s) for s in sets]) + (h % np.uint64(n)).astype(np.int64)
+    step = 2.0 * ((h >> np.uint64(32)) & np.uint64(1)) - 1
+    return np.clip(np.bincount(cell, step, len(sets) * n), -127, 127).astype(np.int8).reshape(-1, n)
+
+
+def undiscarded(distances: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positions of the pairs (a, b) of rows whose coordinate differences leave a similarity of LEAST possible. distances: wider than eight bits."""
+    apart = np.abs(distances[a] - distances[b]).sum(axis=1, dtype=np.int64)
+    return np.flatnonzero((LEAST[1] + LEAST[0]) * apart <= (LEAST[1] - LEAST[0]) * (size[a] + size[b]))
+
+
 def _class(shingles: np.ndarray) -> int:
     return int(mix(mix(shingles + PIVOTS[0]).sum(keepdims=True) + np.uint64(len(shingles))).view(np.int64)[0])
 
 
 def _prints(shingle: int):
-    """For mapInArrow over (doc_id, t, text): doc_id, t, the set's class k, its size, sketch and keys."""
+    """For mapInArrow over (doc_id, t, text): doc_id, t, the set's class k, its size, sketch, pivot distances and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,8 +220,8 @@ def _prints(shingle: int):
                 keys = [s[: len(s) - -(-len(s) * LEAST[0] // LEAST[1]) + 1].view(np.int64) for s in sets]
                 ends = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
                 columns = [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-                columns += [pa.array(np.ascontiguousarray(c)) for c in sketches.T]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], ["doc_id", "t", "k", "size", *SKETCH, "keys"])
+                columns += [pa.array(np.ascontiguousarray(c)) for c in (*sketches.T, *pivot_distances(sets).view("<i8").T)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], ["doc_id", "t", "k", "size", *SKETCH, *TABLE, "keys"])
 
     return run
 
@@ -213,7 +238,8 @@ def _sets(shingle: int):
 
 
 def _loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over rows (g, c, role, k, size, sketch) whose groups (g, c) follow one another: spanning links of like sketches."""
+    """For mapInArrow over rows (g, c, role, k, size, sketch, pivot distances) whose groups (g, c) follow one another: spanning links of
+    the pairs that the pivots do not discard and whose sketches are alike."""
 
     def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(rows):
@@ -221,7 +247,8 @@ def _loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1))))
         order = np.lexsort((rows[:, 4], group))
         group, rows = group[order], rows[order]
-        role, size, bits = rows[:, 2], rows[:, 4], np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
+        role, size, bits = rows[:, 2], rows[:, 4], np.ascontiguousarray(rows[:, 5:9]).view(np.uint64)
+        distances = np.ascontiguousarray(rows[:, 9:]).view(np.int8).astype(np.int16)
         names, own = np.unique(rows[:, 3], return_inverse=True)
         links, at, k = Links(len(names)), np.arange(len(rows)), 0
         while True:
@@ -234,12 +261,13 @@ def _loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pair = at[(role[at] | role[at + k]) == 3]
             pair = pair[(role[pair] == 3) | (role[pair] != role[pair + k])]
             pair = pair[links.parent[own[pair]] != links.parent[own[pair + k]]]
+            pair = pair[undiscarded(distances, size, pair, pair + k)]
             pair = pair[np.bitwise_count(bits[pair] ^ bits[pair + k]).sum(axis=1, dtype=np.int64) <= NEAR_BITS]
             if len(pair):
                 pair = pair[links.add(own[pair], own[pair + k])]
                 yield pa.RecordBatch.from_arrays([pa.array(names[own[pair]]), pa.array(names[own[pair + k]])], ["a", "b"])
 
-    rest = np.zeros((0, 9), np.int64)
+    rest = np.zeros((0, 12), np.int64)
     for b in batches:
         rows = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)])
         change = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
@@ -250,16 +278,17 @@ def _loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def alike(sets: list[np.ndarray], role: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of the pairs of sets whose Jaccard similarity is LEAST or more."""
+    """Spanning links of the pairs of sets whose Jaccard similarity is LEAST or more; pairs that the pivots discard are not looked at closer."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     sets, role = [sets[i] for i in order], role[order]
     size = np.array([len(s) for s in sets])
     start = np.cumsum(size) - size
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ids, distances = np.unique(np.concatenate(sets), return_inverse=True)[1], pivot_distances(sets).astype(np.int16)
     links, mark, a, b = Links(len(sets)), np.zeros(len(ids), bool), [], []
     for i in range(len(sets) - 1):
         j = np.arange(i + 1, np.searchsorted(size, LEAST[1] * size[i] // LEAST[0], side="right"))
         j = j[(links.parent[j] != links.parent[i]) & ((role[j] | role[i]) == 3) & ((role[j] == 3) | (role[j] != role[i]))]
+        j = j[undiscarded(distances, size, np.full(len(j), i), j)]
         if not len(j):
             continue
         mine = ids[start[i] : start[i] + size[i]]
@@ -307,14 +336,14 @@ def near_copy_components(docs: DataFrame, shingle: int = NEAR_SHINGLE, hot: int
     kept is true for one document of each component, the first by id (null last) and then by t, and so for all rows that repeat it.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
-    shape = "doc_id long, t long, k long, size long, s0 long, s1 long, s2 long, s3 long, keys array<long>"
+    shape = "doc_id long, t long, k long, size long, s0 long, s1 long, s2 long, s3 long, d0 long, d1 long, d2 long, keys array<long>"
     prints = written(texts.select("doc_id", "t", "text").mapInArrow(_prints(shingle), shape), "near-prints")
     document = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
-    once = [F.first(c).alias(c) for c in ("size", *SKETCH, "keys")]
+    once = [F.first(c).alias(c) for c in ("size", *SKETCH, *TABLE, "keys")]
     classes = written(prints.groupBy("k").agg(F.min(document).alias("least"), F.min("t").alias("t"), *once), "near-classes")
     keyed = classes.select("k", F.explode("keys").alias("g")).select("*", F.expr("count(1) over (partition by g)").alias("n")).where("n > 1")
-    keyed = _dealt(keyed.join(classes.select("k", "size", *SKETCH), "k"), F.ceil(F.col("n") / hot), "g")
-    loose = keyed.select("g", "c", "role", "k", "size", *SKETCH).mapInArrow(_loose, "a long, b long")
+    keyed = _dealt(keyed.join(classes.select("k", "size", *SKETCH, *TABLE), "k"), F.ceil(F.col("n") / hot), "g")
+    loose = keyed.select("g", "c", "role", "k", "size", *SKETCH, *TABLE).mapInArrow(_loose, "a long, b long")
     clusters = written(classes.select("k", "t", "size").join(connected_components(loose, "near-loose"), F.col("k") == F.col("node")).select("k", "t", "size", "root"), "near-clusters")
     clusters = clusters.join(clusters.groupBy("root").agg(F.sum("size").alias("total")), "root")
     needed = texts.select("t", "text").join(clusters.select("t"), "t", "left_semi").dropDuplicates(["t"])

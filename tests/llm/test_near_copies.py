@@ -98,3 +98,39 @@ def test_rows_that_share_an_id(spark):
 def test_small_tables(spark):
     empty = spark.createDataFrame([], SHAPE)
     assert S.near_copy_components(empty).count() == 0 and S.drop_near_copies(empty).columns == empty.columns
+
+
+def test_pivots_lose_no_link():
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in [0, *range(1, 60), 100, 300, 1000, 30_000]:
+        s = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+        # pairs at exactly 0.8 where n allows it: shared, and a ninth of it on either side or a quarter on one
+        sets += [np.sort(s[:n]), np.sort(s[: n + n // 4]), np.sort(s[: n + n // 9]), np.sort(np.concatenate([s[:n], s[n + n // 9 : n + n // 9 * 2]]))]
+    at, size = np.arange(0, len(sets), 4), np.array([len(s) for s in sets])
+    table = S.pivot_distances(sets).astype(np.int16)
+    for a, b in [(0, 0), (0, 1), (0, 2), (2, 3)]:
+        assert len(S.undiscarded(table, size, at + a, at + b)) == len(at)
+    for i in (5, 50, 100):
+        h = sets[4 * i % len(sets)]
+        part = h[h % np.uint64(24) == 7]
+        unset = int((part >> np.uint64(32) & np.uint64(1) == 0).sum())
+        assert table[4 * i % len(sets), 7] == len(part) - 2 * unset
+
+
+def test_pivots_discard_before_sets_are_looked_at(spark, monkeypatch):
+    rng, rows, kept = random.Random(6), [], {}
+    for d in range(60):
+        w = ["w%d" % rng.randrange(90_000) for _ in range(54)]
+        other = list(w)
+        for i in (2, 27, 51):
+            other[i] = "changed%d" % d
+        rows += [(d, " ".join(w), "", ""), (1000 + d, " ".join(other), "", "")]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        assert 0.55 < len(a & b) / len(a | b) < 0.7
+    write = S.written
+    monkeypatch.setattr(S, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    got = S.near_copy_components(spark.createDataFrame(rows, SHAPE))
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(r[0], r[0]) for r in rows}
+    # all these pairs share shingles and have like sketches; without pivots most would be read again as whole sets
+    assert kept["near-clusters"].count() < 40
