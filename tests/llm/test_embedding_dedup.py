@@ -118,3 +118,31 @@ def test_tiny_and_huge_vectors(spark):
     both = got(E.embedding_components(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")))
     assert [r for r in both if r[0] > 3 and r[0] < 300] == [r for r in want if r[0] > 3]
     assert {r[0]: r[1:] for r in both if r[0] >= 300} == {300: (1, 300), 301: (1, 300), 302: (0, 302), 303: (5, 0), 304: (5, 0)}
+
+
+@pytest.mark.parametrize("shelf", [E.SHELF if hasattr(E, "SHELF") else 0, 600])
+def test_a_low_threshold_does_not_write_a_vector_for_every_list(spark, monkeypatch, shelf):
+    """Where all lists are probed: links and components of all pairs, while vectors are written a bounded number of times."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 24))
+    x[:90] = x[0] + rng.normal(size=(90, 24)) * 0.01
+    rows = [(i, [float(v) for v in row.astype(np.float32)]) for i, row in enumerate(x)]
+    rows += [(2000 + i, rows[i][1]) for i in range(5)] + [(3000, None), (3001, [0.0] * 24), (None, rows[9][1])]
+    df = spark.createDataFrame([(d, v, 0, "") for d, v in rows], SHAPE)
+    sent, packed = spark.sparkContext.accumulator(0), E._rows
+
+    def counted(*given):
+        inner = packed(*given)
+
+        def run(batches):
+            for b in inner(batches):
+                sent.add(sum(len(k) // 8 for k in b.column("k").to_pylist()))
+                yield b
+
+        return run
+
+    monkeypatch.setattr(E, "_rows", counted)
+    monkeypatch.setattr(E, "SHELF", shelf, raising=False)
+    assert got(E.embedding_components(df, 0.4, float("inf"))) == brute(rows, 0.4)
+    shelves = max(17, -(-700 * 24 // shelf)) | 1 if shelf else 17
+    assert 700 < sent.value <= 700 * ((shelves + 1) // 2 + max(4, shelves // 4))
