@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import os
 import uuid
 from collections.abc import Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyarrow import fs
@@ -25,6 +28,22 @@ def place(path: str) -> tuple[fs.FileSystem, str]:
     return store, base.rstrip("/") + ("" if at < 0 else path[at:])
 
 
+#: Files of a folder that a task hands on at a time.
+LISTED = 4096
+
+
+def entries(store: fs.FileSystem, folder: str) -> Iterator[tuple[str, int]]:
+    """Name and length of each file of a folder. Of a local folder one is held at a time; other stores hand over a whole listing."""
+    if not isinstance(store, fs.LocalFileSystem):
+        yield from ((f.base_name, f.size) for f in store.get_file_info(fs.FileSelector(folder)) if f.is_file)
+        return
+    with os.scandir(folder) as found:
+        for entry in found:
+            with contextlib.suppress(FileNotFoundError):  # a file may go meanwhile
+                if entry.is_file():
+                    yield entry.name, entry.stat().st_size
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
@@ -140,8 +159,9 @@ def settle(spark: SparkSession, folder: str) -> None:
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, _ = place(folder)
         for b in batches:
-            found = own.get_file_info(fs.FileSelector(stage, allow_not_found=True)) if len(b) else []
-            yield pa.RecordBatch.from_arrays([pa.array([f.base_name for f in found if not f.base_name.startswith(".")], pa.string())], ["name"])
+            there = len(b) and own.get_file_info(stage).type == fs.FileType.Directory
+            for some in batched((name for name, _ in entries(own, stage) if not name.startswith(".")) if there else (), LISTED):
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["name"])
 
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, _ = place(folder)

@@ -1,7 +1,7 @@
 """Files of any size as pages: text whose pages are parted by form feeds, read by byte ranges, and digests taken block by block.
 
 A task lists the files and their lengths, empty ones too; a file is cut in ranges of bytes that tasks share. A pass over the ranges counts their
-form feeds, running sums number the pages, and a range reads the pages whose form feed lies in it (the first page belongs to
+form feeds, sums over the ranges before number the pages, and a range reads the pages whose form feed lies in it (the first page belongs to
 the first range), on into the next ranges if need be. A file is never held whole, only one page at a time. Ranges outside the
 pages asked for are not read. The first pages alone are read from the front of each file without counting.
 """
@@ -11,14 +11,15 @@ from __future__ import annotations
 import fnmatch
 import hashlib
 from collections.abc import Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidex.operators.running import running
-from evidex.sources.folders import place, uri
+from evidex.sources.folders import LISTED, entries, place, uri
 
 BLOCK = 1 << 20
 RANGE = 64 << 20
@@ -39,11 +40,12 @@ def listed(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = place(where)
         head = "file:" if where.startswith("file:") else where[: where.index("/", where.index("://") + 3)]
+        head += f"/{folder.strip('/')}".rstrip("/")
         for b in batches:
             for _ in range(len(b)):
-                found = [f for f in store.get_file_info(fs.FileSelector(folder)) if f.is_file and not f.base_name.startswith((".", "_")) and fnmatch.fnmatchcase(f.base_name, glob)]
-                paths = [f.path if head == "file:" else "/" + f.path.lstrip("/") for f in found]
-                yield pa.RecordBatch.from_arrays([pa.array([head + p for p in paths], pa.string()), pa.array([f.base_name for f in found], pa.string()), pa.array([f.size for f in found], pa.int64())], ["path", "filename", "length"])
+                for some in batched((e for e in entries(store, folder) if not e[0].startswith((".", "_")) and fnmatch.fnmatchcase(e[0], glob)), LISTED):
+                    names, sizes = zip(*some)
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{head}/{n}" for n in names], pa.string()), pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["path", "filename", "length"])
 
     return _spread(spark.range(0, 1, 1, 1).mapInArrow(run, "path string, filename string, length long"), "path")
 
@@ -91,7 +93,11 @@ def with_digests(files: DataFrame) -> DataFrame:
 
 
 def ranges(files: DataFrame, size: int = RANGE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """path, n, start, stop, breaks, base: byte ranges of files (path, length), the form feeds in each and those before it. keep: text columns that go along."""
+    """path, n, start, stop, breaks, base: byte ranges of files (path, length), the form feeds in each and those before it. keep: text columns that go along.
+
+    A file's ranges, a row for each `size` bytes, meet in a window. A join would be with as many rows as there are files, which Spark
+    takes for the few bytes that the listing started from, and would broadcast.
+    """
     cut = files.select("path", "length", *keep, F.explode(F.expr(f"sequence(0L, greatest(length - 1, 0L) div {size}L)")).alias("n"))
     cut = cut.select("path", *keep, "n", (F.col("n") * size).alias("start"), F.least((F.col("n") + 1) * size, F.col("length")).alias("stop"))
     cut = _spread(cut, "path", "n")
@@ -102,7 +108,8 @@ def ranges(files: DataFrame, size: int = RANGE, keep: tuple[str, ...] = ()) -> D
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int64())], [*b.schema.names, "breaks"])
 
     counted = cut.mapInArrow(run, ", ".join(["path string", *[f"{c} string" for c in keep], "n long, start long, stop long, breaks long"]))
-    return running(counted, "n", sums={"base": F.col("breaks")}, by=("path",), span=1024)
+    before = W.partitionBy("path", *keep).orderBy("n").rowsBetween(W.unboundedPreceding, -1)
+    return counted.withColumn("base", F.coalesce(F.sum("breaks").over(before), F.lit(0)))
 
 
 def _read(path: str, start: int, stop: int | None, number: int | None, first: int, last: int | None) -> Iterator[tuple[int, str]]:
@@ -166,4 +173,5 @@ def pages(files: DataFrame, first: int = 1, last: int | None = None, size: int =
     # the front range holds pages 1 to breaks + 1, another base + 2 to base + breaks + 1
     least, most = F.when(F.col("start") == 0, 1).otherwise(F.col("base") + 2), F.col("base") + F.col("breaks") + 1
     wanted = cut.where((least <= most) & (most >= first) & (F.lit(True) if last is None else least <= last))
-    return wanted.select("path", "start", "stop", "base", *keep).mapInArrow(run, shape)
+    # a file's ranges come from one window, but are for many tasks to read
+    return _spread(wanted.select("path", "start", "stop", "base", *keep), "path", "start").mapInArrow(run, shape)

@@ -39,6 +39,33 @@ def test_pages_by_ranges(spark, tmp_path, monkeypatch):
     assert paged.pages(files.limit(0)).count() == 0
 
 
+def test_many_files_are_neither_broadcast_nor_listed_at_once(spark, tmp_path, monkeypatch):
+    """Neither the ranges of all files nor a folder's names stand in one place: driver and listing task hold few at a time."""
+    monkeypatch.setattr(paged, "LISTED", 7, raising=False)
+    monkeypatch.setattr(folders, "LISTED", 7, raising=False)
+    named = spark.range(30).select(F.concat("id", F.lit(".txt")).alias("name"), F.concat(F.lit("a\f"), "id", F.lit("\f")).alias("body"))
+    assert folders.write_files(named, str(tmp_path)) == 30
+    (tmp_path / ".hidden.txt").write_text("x")
+    (tmp_path / "sub.txt").mkdir()
+    files = paged.listed(spark, str(tmp_path), "*.txt")
+    assert sorted((r.path, r.filename, r.length) for r in files.collect()) == sorted((f"file:{tmp_path}/{k}.txt", f"{k}.txt", 3 + len(str(k))) for k in range(30))
+    found = paged.pages(files, size=2)
+    assert got(found) == sorted((f"{k}.txt", i, t, len(t)) for k in range(30) for i, t in enumerate(("a", str(k), ""), 1))
+    plan = found._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    (tmp_path / "long.md").write_text("\f" * 400)
+    shared = paged.pages(paged.listed(spark, str(tmp_path), "*.md"), size=2).groupBy(F.spark_partition_id()).count().collect()
+    assert len(shared) == 4 and sum(r["count"] for r in shared) == 401
+
+
+def test_a_file_of_two_documents(spark, tmp_path):
+    """A file that is listed under two keys has all its pages, with their own numbers, under each."""
+    (tmp_path / "a.txt").write_text("one\ftwo\fthree")
+    files = paged.listed(spark, str(tmp_path), "*.txt").withColumn("key", F.explode(F.array(F.lit("x"), F.lit("y"))))
+    want = [(k, i, t) for k in "xy" for i, t in enumerate(("one", "two", "three"), 1)]
+    assert sorted((r.key, r.page_number, r.text) for r in paged.pages(files, size=3, keep=("key",)).collect()) == want
+
+
 def test_a_file_over_two_gigabytes(spark, tmp_path):
     """Most of it is a hole: one page of 2.2 GB that nobody asks for is passed over, and the pages around it are read."""
     path, size = tmp_path / "large.pdf", 2_200_000_000
