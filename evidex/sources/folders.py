@@ -60,11 +60,12 @@ def put(folder: str, name: str, body: bytes) -> bool:
     return True
 
 
-def replace(folder: str, name: str, body: bytes) -> None:
-    """As put, whatever stands there."""
+def replace(folder: str, name: str, body: bytes, aside: str = ".") -> None:
+    """As put, whatever stands there. aside: the folder below it where the file is made; tasks that make many files in one folder wait for one another."""
     store, path = place(folder)
-    store.create_dir(path, recursive=True)
-    part = f"{path}/.{uuid.uuid4().hex}"
+    made = path if aside == "." else f"{path}/{aside}"
+    store.create_dir(made, recursive=True)
+    part = f"{made}/.{uuid.uuid4().hex}"
     with store.open_output_stream(part) as out:
         out.write(body)
     store.move(part, f"{path}/{name}")
@@ -127,7 +128,7 @@ def write_files(named: DataFrame, folder: str, keep: bool = False) -> int:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = place(folder)
-        n = 0
+        n, own = 0, f".{uuid.uuid4().hex}"
         for b in batches:
             for name, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if "/" in name:
@@ -137,7 +138,7 @@ def write_files(named: DataFrame, folder: str, keep: bool = False) -> int:
                     if _digest(store, f"{path}/{name}") != hashlib.sha256(body).hexdigest():
                         raise FileExistsError(f"{folder}/{name} holds other bytes")
                     continue
-                replace(f"{folder}/{stage}", name, body)
+                replace(f"{folder}/{stage}", name, body, own)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     rows = named.select("name", F.col("body").cast("binary").alias("body"))
